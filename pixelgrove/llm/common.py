@@ -8,6 +8,7 @@ no Python code runs per word.  Everything is modulo 2**64 (numpy's wrap-around).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,21 @@ from pyspark.sql import functions as F
 #: Rows up to which a side made of ids or short rows is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that one vectorised block covers; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 U = np.uint64
+
+
+def _give_back_memory() -> None:
+    """Python workers live long and handle large buffers: let freed ones return to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_give_back_memory()
 _INV_MAX = (1 << 64) - 1
 
 

@@ -147,6 +147,7 @@ def dedup_lines(
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
     seen = spark.sparkContext.broadcast(twice_seen(source.select("text"), least, log_bits, hashes))
     found = materialise(suspects(source, seen, least, log_bits, hashes), "suspects")
+    seen.destroy()  # the suspects are written; no later plan reads the filter
     often = found.distinct().groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= documents).drop("n")
     often = materialise(often, "often")
     drops = found.distinct().join(sized(often), ["h", "l"]).where("doc_id <> keep")
