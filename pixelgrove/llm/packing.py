@@ -16,8 +16,10 @@ fewer than sum(capacity // length) pieces over the class sizes, whatever the inp
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Words whose ids a worker remembers before it starts over.
-CACHE_WORDS = 600_000
-_BREAKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+CACHE_WORDS = 900_000
+_BREAKS = bytes.maketrans(b"\n\t\r", b"   ")
+#: UTF-8 bytes of code points below U+0300, none of which combine or change when normalised.
+_PLAIN = bytes(range(0xCC))
+_MARKS = b".,!?;:"
 
 
 @lru_cache(2)
@@ -40,35 +44,36 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
+    assert array("I").itemsize == 4 and sys.byteorder == "little"
     return Tokenizer.from_file(path), {}
 
 
-def _prepared(text: str) -> str:
+def _prepared(text: bytes) -> bytes:
     """text with A-Z lower-cased where the tokenizer, which normalises and lower-cases later, gives the
     same ids: not with special tokens, and only if both forms are normalised already."""
-    if "<|" in text:
+    if b"<|" in text:
         return text
-    if text.isascii():
-        return text.lower()
-    lower = text.translate(_UPPER) if any("A" <= c <= "Z" for c in text) else text
-    return lower if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower) else text
+    lower = text.lower()
+    if not text.translate(None, _PLAIN):
+        return lower
+    return lower if unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", lower.decode()) else text
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
+def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit bytes.  Spaces, tabs and line ends separate tokens, so the
     stretches between them are encoded once per worker and looked up after that."""
     tokenizer, known = _tokenizer(path)
-    split = [_prepared(x).translate(_BREAKS).split(" ") for x in texts]
+    split = [_prepared(x).translate(_BREAKS).split(b" ") for x in texts]
     missing = set().union(*split).difference(known)
     if len(known) + len(missing) > CACHE_WORDS:
         known.clear()
         missing = set().union(*split)
     if missing:
         # a trailing mark is a token run of its own after a letter
-        ends = {w: (w[:-1], w[-1]) for w in missing if len(w) > 1 and w[-1] in ".,!?;:" and w[:-1].isalpha()}
+        ends = {w: (w[:-1], w[-1:]) for w in missing if len(w) > 1 and w[-1] in _MARKS and w[:-1].decode().isalpha()}
         whole = [w for w in {x for w in missing for x in ends.get(w, (w,))} if w not in known]
-        for w, e in zip(whole, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, e in zip(whole, tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
         for w, (a, b) in ends.items():
             known[w] = known[a] + known[b]
     get = known.__getitem__
@@ -95,7 +100,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
                 batch = whole.slice(at, 500)
                 rows: list[tuple] = []
                 ids = batch.column(0).to_pylist()
-                for doc, data in zip(ids, token_bytes([x or "" for x in batch.column(1).to_pylist()], path)):
+                for doc, data in zip(ids, token_bytes([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], path)):
                     data += end
                     n, start = len(data) // 4, 0
                     for size in [capacity] * (n // capacity) + cuts[n % capacity]:
