@@ -144,15 +144,28 @@ def _windows(window: int):
 
 
 def repeats(texts: DataFrame, index: FingerprintIndex, run: str, window: int, newer_than: int | None) -> DataFrame:
-    """(doc_id, starts) of the windows of the run's documents that a smaller doc_id holds."""
+    """(doc_id, spans) of the windows of the run's documents that a smaller doc_id holds: limits of their starts, alternating."""
     shared = materialise(index.shared(run), "shared")
     places = index.read(index.runs).join(shared, "fp").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
     places = materialise(places, "places")
     looked = texts.join(sized(places), "doc_id").select("doc_id", "text", "pos")
     windows = looked.mapInArrow(_windows(window), "w long, v int, doc_id long, s int")
     firsts = windows.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "v", "first")
+    firsts = materialise(firsts, "firsts")  # as a table of its own, so that the join can split a window that very many documents hold
     mine = windows if newer_than is None else windows.where(F.col("doc_id") > newer_than)
-    return mine.join(firsts, ["w", "v"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
+    starts = mine.join(firsts, ["w", "v"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
+    return starts.mapInArrow(_spans, "doc_id long, spans array<int>")
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of starts as runs: first, last + 1, first, last + 1 ..."""
+    for batch in batches:
+        out = []
+        for x in batch.column(1).to_pylist():
+            s = np.sort(np.array(x, np.int32))
+            cut = np.flatnonzero(np.diff(s) > 1)
+            out.append(np.stack([s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)] + 1], 1).reshape(-1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "spans"])
 
 
 def _rest(columns: list[str], at: int, window: int):
@@ -160,15 +173,15 @@ def _rest(columns: list[str], at: int, window: int):
         for batch in batches:
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             n, gone, out = [], [], []
-            for text, starts in zip(texts, batch.column(len(columns)).to_pylist()):
+            for text, spans in zip(texts, batch.column(len(columns)).to_pylist()):
                 words = text.split()
                 n.append(len(words))
-                if starts:
-                    edge = np.zeros(len(words) + window + 1, np.int64)
-                    np.add.at(edge, np.array(starts), 1)
-                    np.add.at(edge, np.array(starts) + window, -1)
-                    away = np.cumsum(edge)[: len(words)] > 0
-                    words = [w for w, x in zip(words, away.tolist()) if not x]
+                if spans:
+                    kept, at_word = [], 0
+                    for a, b in zip(spans[::2], spans[1::2]):  # a run of starts covers up to its last start's window
+                        kept += words[at_word:a]
+                        at_word = max(at_word, b - 1 + window)
+                    words = kept + words[at_word:]
                 gone.append(n[-1] - len(words))
                 out.append(b" ".join(words))
             made = pa.array(out, pa.binary()).cast(batch.schema.field(at).type)
@@ -218,11 +231,11 @@ def dedup_substrings(
     starts = found[0]
     for x in found[1:]:
         starts = starts.unionByName(x)
-    total = starts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-    starts = starts.select(F.col("doc_id").alias("_doc"), "starts")
+    total = starts.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    starts = starts.select(F.col("doc_id").alias("_doc"), "spans")
 
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    joined = joined.join(sized(starts, total // 8, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = joined.join(sized(starts, total // 2, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left").drop("_doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(columns)])
     return joined.mapInArrow(_rest(columns, columns.index(text_col), window), f"{fields}, n_words long, n_removed long")
