@@ -205,6 +205,6 @@ def feature_space_flags(space: Column) -> dict[str, Column]:
 def balance_weights(df: DataFrame, cls: str, name: str = "weight") -> DataFrame:
     """n / (classes * rows of the class), from a small table of class counts."""
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_N"), F.count(F.lit(1)).alias("_k"))
-    weights = counts.join(F.broadcast(total), F.lit(True)).select(cls, (F.col("_N") / (F.col("_k") * F.col("_n"))).alias(name))
+    total = counts.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_k"))
+    weights = counts.join(F.broadcast(total), F.lit(True)).select(cls, (F.col("_total") / (F.col("_k") * F.col("_n"))).alias(name))
     return df.join(F.broadcast(weights), cls)  # one row per class

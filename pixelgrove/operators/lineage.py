@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000, cut_every: int = 8) -> DataFrame:
+def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000, cut_every: int = 3) -> DataFrame:
     """(source, target, depth) of all paths from start ids to target ids along the edges.
 
     A start that is a target matches at depth 0.  end_at_match prunes branches at a match; a stop id ends

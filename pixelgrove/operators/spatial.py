@@ -112,6 +112,10 @@ def _mmse(mean: Column, var: Column, value: Column, sigma: float) -> Column:
     return mean + F.when(var > 0, varx / F.nullif(var, F.lit(0.0))).otherwise(0.0) * (value - mean)
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda c: c[name]
+
+
 def _moments(a: Column) -> tuple[Column, Column]:
     n = F.nullif(F.size(a), F.lit(0))
     m = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
@@ -136,7 +140,7 @@ def improved_sigma(df: DataFrame, keys: Sequence[str], values: Sequence[str], lo
     x = x.withColumn("_pick", F.filter("_seven", lambda c: (c["s"] > low * F.col("_x")) & (c["s"] < high * F.col("_x"))))
     out = []
     for i, b in enumerate(values):
-        m, v = _moments(F.transform("_pick", lambda c, i=i: c[f"v{i}"]))
+        m, v = _moments(F.transform("_pick", _field(f"v{i}")))
         est = F.when(F.size("_pick") == 0, 0.0).otherwise(_mmse(m, v, F.col(b) * F.col(b), inner))
         est = F.when(F.col("kept"), F.col(b) * F.col(b)).when(F.col("inside"), est).otherwise(0.0)
         est = F.sqrt(F.greatest(F.coalesce(F.nanvl(est, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_scores
+from . import queries_pixels, queries_results, queries_scores
 
-_PARTS = (queries_scores,)
+_PARTS = (queries_scores, queries_pixels, queries_results)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
