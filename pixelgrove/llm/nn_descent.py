@@ -15,22 +15,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, forget, group_bounds, grouped, in_blocks, materialise
+from .common import Forest, components, forget, group_bounds, grouped, in_blocks, lists, materialise
 
 #: Vectors of one start block, of one exact block, and members compared at one node at once.
-START_BLOCK, EXACT_BLOCK, NODE_BLOCK = 192, 512, 128
+START_BLOCK, EXACT_BLOCK, NODE_BLOCK = 192, 128, 128
 
 
-def _matrix(column: pa.Array, kind: type) -> np.ndarray:
-    """Equally long binary values as rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()]) if len(column) else np.zeros((0, 0), kind)
+_GRID = np.linspace(-4, 4, 257)
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,16 +51,28 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "v"])
 
 
-def _directions(dim: int, seed: int) -> np.ndarray:
-    x = np.random.default_rng([seed, dim]).standard_normal(dim)
-    return (x / np.linalg.norm(x)).astype(np.float32)
+@lru_cache(64)
+def _directions(dim: int, seeds: tuple[int, ...]) -> np.ndarray:
+    """One unit direction per column."""
+    x = np.stack([np.random.default_rng([s, dim]).standard_normal(dim) for s in seeds], 1)
+    return x / np.linalg.norm(x, axis=0)
 
 
-def _projected(seeds: list[int]):
+def _projected(seeds: tuple[int, ...]):
+    """share: for each direction, the place of the projection in a normal distribution of deviation 1 / sqrt(dim)."""
+    normal = NormalDist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = [[0.5 * (1 + math.erf(float(v @ _directions(len(v), s)) * math.sqrt(len(v) / 2))) for s in seeds] for v in (np.frombuffer(x, np.float32) for x in batch.column("f").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("f"), pa.array(share, pa.list_(pa.float64()))], ["id", "part", "f", "share"])
+            f = batch.column("f").to_pylist()
+            share = np.zeros((len(f), len(seeds)))
+            size = np.array([len(x) // 4 for x in f])
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                m = np.frombuffer(b"".join(f[x] for x in at), np.float32).reshape(len(at), dim)
+                z = m @ _directions(dim, seeds) * math.sqrt(dim)
+                share[at] = np.interp(z, _GRID, [normal.cdf(x) for x in _GRID])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("f"), lists(share.reshape(-1), np.arange(len(f) + 1) * len(seeds), pa.float64())], ["id", "part", "f", "share"])
 
     return run
 
@@ -165,12 +176,12 @@ class Graph:
 
     def start(self, directions: int) -> None:
         """Best neighbours inside blocks along fresh random directions."""
-        seeds = list(range(self.seed, self.seed + directions))
+        seeds = tuple(range(self.seed, self.seed + directions))
         self.seed += directions
         rows = self.reps.select("id", "part", "f").mapInArrow(_projected(seeds), "id long, part long, f binary, share array<double>")
         sizes = self.reps.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
         rows = rows.join(sizes, "part").select("id", "part", "f", "n", F.posexplode("share").alias("seed", "share"))
-        rows = rows.withColumn("block", F.floor(F.col("share") * F.ceil(F.col("n") / START_BLOCK)).cast("long"))
+        rows = rows.withColumn("block", F.floor(F.least(F.col("share"), F.lit(0.9999999)) * F.ceil(F.col("n") / START_BLOCK)).cast("long"))
         crowd = rows.groupBy("part", "seed", "block").agg(F.count(F.lit(1)).alias("c"))
         rows = rows.join(crowd, ["part", "seed", "block"])  # a crowded block is dealt out at random
         rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "seed"), F.ceil(F.col("c") / (2 * START_BLOCK))))

@@ -141,7 +141,7 @@ def _scan(scanners: list[Scanner], ids: list[int]):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered])))
                     spans[a + d] = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
                     n_hit[a + d] = int(covered.sum())
-                    items[a + d] = sorted(ids[x] for x in own)
+                    items[a + d] = sorted({ids[x] for x in own})
             flat = [y for x in spans for z in x for y in z]
             span_bounds = np.append(0, np.cumsum([2 * len(x) for x in spans]))
             item_bounds = np.append(0, np.cumsum([len(x) for x in items]))
