@@ -77,6 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_PHRASES = ", ".join(f"({len(p.split())}, '{p}', '{label}')" for p, label in license_join.PHRASES.items())
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for t, label in license_join.TEMPLATES.items())
+
 #: DuckDB twins of the queries that SQL can express.
 ORACLES = {
     "op1_minhash": r"""
@@ -90,6 +93,18 @@ ORACLES = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op3_license_scan": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT * FROM (VALUES {_PHRASES}) t(m, phrase, label)), t AS (SELECT * FROM (VALUES {_TEMPLATES}) t(label, own)),
+        g AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM p)),
+        b AS (SELECT doc_id, k - 1 AS k, label FROM g JOIN p ON p.m = g.m AND array_to_string(w[k:k + g.m - 1], ' ') = phrase),
+        n AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word FROM b GROUP BY 1),
+        l AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+        x AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), own)) / len(own) AS c FROM l, t WHERE 100 * len(list_intersect(list_distinct(w), own)) >= 80 * len(own)),
+        best AS (SELECT doc_id, max(c) AS c FROM x GROUP BY 1),
+        bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM b) GROUP BY 1),
+        al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM x) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)""",
     "op4_decontamination": f"""
         WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         p AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS t FROM i WHERE len(w) > 0),
