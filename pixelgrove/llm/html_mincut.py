@@ -44,8 +44,11 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
 
+# Those of the words above that also describe the layout around an article ("content with-sidebar", "entry-header").
+LAYOUT_WORDS = frozenset("header nav search share side sidebar footer tags toolbar".split())
+
 # Weights of the linear classifier; positive speaks for content.
-WEIGHTS = {"bias": -0.6, "good_tag": 3.0, "good_word": 1.5, "hard_tag": -6.0, "bad_word": -6.0, "header": -3.0, "links": -4.0, "words": 0.6, "marks": 0.8, "paragraph": 0.9, "heading": 0.6, "hidden": -8.0}
+WEIGHTS = {"bias": -0.6, "good_tag": 3.0, "good_word": 1.5, "hard_tag": -9.0, "bad_word": -9.0, "header": -3.0, "links": -4.0, "words": 0.6, "marks": 0.8, "paragraph": 0.9, "heading": 0.6, "hidden": -8.0}
 #: Capacities of the smoothness edges.
 NEXT, NEXT_SAME_PARENT, SAME_PARENT, SAME_SECTION = 0.3, 0.9, 0.4, 0.3
 
@@ -79,7 +82,12 @@ class _Node:
             hard = True
         if tag == "header" and not good_tag:
             header = True
-        if tag not in ("html", "body") and names & BAD_WORDS and not (tag in GOOD_TAGS and not names & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"}):
+        wrong = names & BAD_WORDS
+        if names & GOOD_WORDS or tag in GOOD_TAGS:
+            wrong -= LAYOUT_WORDS
+        if good_tag:
+            wrong -= {"header"}
+        if wrong and tag not in ("html", "body"):
             bad = True
         if names & GOOD_WORDS:
             good_word = True
