@@ -4,14 +4,16 @@ Only documents carry labels.  A sentence's probability is logistic in its words
 beginnings; a document is toxic if any sentence is (noisy-or: 1 - prod(1 - p)).  Fitting the
 document likelihood therefore teaches the sentence scores, which then locate the sentences.
 
-Fitting takes a bounded sample of the labelled rows (``sample``, by hash order).  Spark counts the
-sample's features by label and keeps the ``features`` most telling; the driver then sees only
-the places of these features in the sample and fits the weights.  Scoring is one pass over all
+Fitting takes a bounded sample of the labelled rows (``sample``, by hash order), copies once.  Spark
+counts the sample's features by label and keeps the at most ``features`` most telling of those that
+chance does not explain; the driver then sees only the places of these features in the sample and
+fits the weights.  Scoring is one pass over all
 texts, no shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import PLAIN, U, Words, blocks, materialise, mix, signed
+from .minhash import shingle_sets
 
 #: Bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -74,14 +77,15 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_noisy_or(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, empty: np.ndarray, label: np.ndarray, n_features: int, start: np.ndarray, steps: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood.
+def fit_noisy_or(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, empty: np.ndarray, label: np.ndarray, prior: np.ndarray, steps: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the noisy-or likelihood; weights are held near their prior, so that a few
+    telling features do not explain the sample alone.
 
     doc: of each sentence that holds features; sentence, feature: its places; empty: each
     document's sentences without features; label: of each document.
     """
-    w, b = start.copy(), -6.0
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    w, b = prior.copy(), -6.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     n = len(label)
     for t in range(1, steps + 1):
         z = np.bincount(sentence, w[feature], minlength=len(doc)) + b if len(doc) else np.zeros(0)
@@ -89,15 +93,23 @@ def fit_noisy_or(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, emp
         p = np.clip(-np.expm1(-total), 1e-9, 1)
         pull = np.where(label == 1, -(1 - p) / p, 1.0) / n
         gz = pull[doc] * _sigmoid(z)
-        g = np.bincount(feature, gz[sentence], minlength=n_features) + ridge * w / n
-        gb = gz.sum() + (pull * empty).sum() * _sigmoid(b)
-        g = np.append(g, gb)
+        g = np.bincount(feature, gz[sentence], minlength=len(w)) + ridge * (w - prior) / n
+        g = np.append(g, gz.sum() + (pull * empty).sum() * _sigmoid(b))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
+def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two minima over the text's word shingles: near copies share them with the probability of their similarity."""
+    for batch in batches:
+        marks = np.zeros((2, batch.num_rows), U)
+        for i, x in enumerate(shingle_sets(batch.column(2), 5)):
+            marks[:, i] = (mix(x + U(1)).min(), mix(x ^ U(77)).min()) if len(x) else (0, i)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(marks[0])), pa.array(signed(marks[1]))], ["doc_id", "toxic", "text", "a", "b"])
+
+
 def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
@@ -146,7 +158,7 @@ def train(
     features: int = 4_000,
     at_least: int = 4,
     steps: int = 250,
-    ridge: float = 0.3,
+    ridge: float = 1.0,
 ) -> Model:
     """Fit on labelled rows (``rows``: a condition on id_col that says which labels may be used)."""
     known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(f"`{id_col}` is not null and toxic is not null")
@@ -156,13 +168,25 @@ def train(
     chosen = materialise(known.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), id_col)
     texts = materialise(texts.select(F.col(id_col).cast("long").alias("doc_id"), "toxic", "text"), "texts")
+    # copies are one observation, else a copied toxic text would make all its words telling
+    texts = texts.mapInArrow(_with_marks, "doc_id long, toxic int, text string, a long, b long").dropDuplicates(["a", "toxic"]).dropDuplicates(["b", "toxic"])
+    texts = materialise(texts.select("doc_id", "toxic", "text"), "observations")
     toxic, total = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     empty = Model(np.zeros(0, U), np.zeros(0), -6.0)
     if not toxic or toxic == total:  # nothing to tell apart
         return Model(empty.code, empty.weight, 6.0 if toxic else -9.0)
-    counts = texts.mapInArrow(_document_features, "code long, toxic long").groupBy("code").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
-    odds = F.log((F.col("p") + 0.5) / (F.lit(toxic) + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (F.lit(total - toxic) + 1))
-    ranked = counts.withColumn("odds", odds).orderBy((F.abs("odds") * F.sqrt("n")).desc(), "code").limit(features).toPandas()
+    counts = texts.mapInArrow(_document_features, "code long, toxic long").groupBy("code").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialise(counts, "counts")
+    rate, n, p = toxic / total, F.col("n"), F.col("p")
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    # likelihood ratio of "as often in toxic documents as elsewhere", above what chance gives among so many features
+    gain = 2 * (part(p, n * rate) + part(n - p, n * (1 - rate)) + part(toxic - p, (total - n) * rate) + part(total - n - toxic + p, (total - n) * (1 - rate)))
+    chance = 2 * math.log(max(2, counts.count())) + 4
+    told = counts.withColumn("gain", gain).where((n >= at_least) & (p > n * rate) & (F.col("gain") >= chance))
+    ranked = told.orderBy(F.desc("gain"), "code").limit(features).toPandas()
+    pseudo = 5  # observations at the base rate that every feature is given
+    hits, seen = ranked["p"].to_numpy(float), ranked["n"].to_numpy(float)
+    odds = np.log((hits + pseudo * rate) / (seen - hits + pseudo * (1 - rate))) - math.log(rate / (1 - rate))
     order = np.argsort(ranked["code"].to_numpy().view(U))
     code = ranked["code"].to_numpy().view(U)[order].copy()
     model = Model(code, np.zeros(len(code)), -6.0)
@@ -175,8 +199,7 @@ def train(
     keys, sentence = np.unique(owner * (1 << 32) + place, return_inverse=True)
     doc = (keys >> 32).astype(np.int64)
     bare = told["sentences"].to_numpy() - np.bincount(doc, minlength=len(told))
-    start = np.clip(ranked["odds"].to_numpy()[order], -1, 3)
-    weight, bias = fit_noisy_or(doc, sentence, feature, bare, label, len(code), start, steps, ridge)
+    weight, bias = fit_noisy_or(doc, sentence, feature, bare, label, np.clip(odds, -1, 4)[order], steps, ridge)
     return Model(code, weight, bias)
 
 
