@@ -199,7 +199,7 @@ def groups_by_maximum(df: DataFrame, key: str, value: str = "value") -> DataFram
 
 def region_table(metrics: DataFrame, labels: DataFrame, module: str = "module", data: str = "data_id", step: str = "step_id") -> DataFrame:
     """Region metrics with the label counts of the same module, data and step."""
-    return metrics.join(labels, [module, data, step])
+    return metrics.join(labels, list(dict.fromkeys([module, data, step])))
 
 
 def key_sets(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batchwise, classify, cluster_metrics, distribution, metrics
+from ..operators import batchwise, bundles, classify, cluster_metrics, distribution, metrics, results
+from ..sources import chips
 from ..operators import contingency as C
 from . import views
 from .rounding import rounded
@@ -312,3 +313,62 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
     t = views.feat(spark, d).withColumn("x", F.array("f1", "f2", "f3", "f4"))
     near = classify.nearest(t.where("id % 5 <> 0"), t.where("id % 20 = 0"), 5)
     return classify.vote(near)
+
+
+# ---------------------------------------------------------------- bundles and scans
+
+
+@query(
+    f"""{sql('scored')}, n AS (SELECT region, label, pred, count(*) AS n FROM scored WHERE label <> -1 GROUP BY ALL),
+        l AS (SELECT region, label AS c, sum(n) AS a FROM n GROUP BY ALL), p AS (SELECT region, pred AS c, sum(n) AS b FROM n GROUP BY ALL), h AS (SELECT region, label AS c, n AS tp FROM n WHERE label = pred),
+        s AS (SELECT region, c, a, b, coalesce(tp, 0) AS tp FROM l JOIN p USING (region, c) LEFT JOIN h USING (region, c)),
+        w AS (SELECT region, c AS class_name, tp / b AS precision, tp / a AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / b) * (tp / a) / (tp / b + tp / a) END AS f1, tp / (a + b - tp) AS iou FROM s)
+        SELECT region, metric || '.no_clouds' AS metric, class_name, round(value, 6) + 0.0 AS value FROM (UNPIVOT w ON precision, recall, f1, iou INTO NAME metric VALUE value)
+        UNION ALL SELECT region, 'accuracy.no_clouds', NULL, round(sum(CASE WHEN label = pred THEN n ELSE 0 END) / sum(n), 6) + 0.0 FROM n GROUP BY region"""
+)
+def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bundles.bundle(C.contingency(views.scored(spark, d), ["region"]), ["region"]))
+
+
+@query()
+def clustering_bundle(spark: SparkSession, d: str) -> DataFrame:
+    t = views.table(spark, d, "embeddings")
+    first = F.slice("embedding", 1, 4)
+    rows = t.select((F.col("vec_id") % 4).alias("part"), "label", (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("pred"))
+    return rounded(bundles.bundle(C.contingency(rows, ["part"]), ["part"], clustering=True))
+
+
+@query(
+    f"""{sql('scored')}, m AS (SELECT region, {_cells()} FROM scored GROUP BY region), c AS (SELECT region, label AS class_name, count(*) AS n FROM scored GROUP BY ALL)
+        SELECT region, class_name, n, round((n00 + n11) / nullif(n00 + n01 + n10 + n11, 0), 6) + 0.0 AS accuracy FROM m JOIN c USING (region)"""
+)
+def region_metrics_with_labels(spark: SparkSession, d: str) -> DataFrame:
+    t = views.scored(spark, d)
+    scores = C.binary_counts(t, ["region"]).select("region", metrics.accuracy().alias("accuracy"))
+    labels = distribution.class_counts(t).where("region is not null")
+    return rounded(results.region_table(scores, labels, "region", "region", "region").select("region", "class_name", "n", "accuracy"))
+
+
+@query("SELECT l_orderkey AS chip, l_linenumber AS row, round(l_discount * 10)::INT % 2 AS label FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_tax = 0)")
+def label_scan(spark: SparkSession, d: str) -> DataFrame:
+    t = views.table(spark, d, "lineitem")
+    label = F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.round(F.col("l_discount") * 10) % 2)
+    rows = t.select(F.col("l_orderkey").alias("chip"), F.col("l_linenumber").alias("row"), label.alias("label"))
+    return chips.labels_only(rows, ["chip"]).withColumn("label", F.col("label").cast("int"))
+
+
+@query("SELECT o_orderkey AS chip, o_custkey AS row, round(o_totalprice, 2) AS band, c_acctbal AS elevation FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) ON c_custkey = o_custkey")
+def elevation_join(spark: SparkSession, d: str) -> DataFrame:
+    data = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("chip"), F.col("o_custkey").alias("row"), F.round("o_totalprice", 2).alias("band"))
+    dem = views.table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("row"), F.col("c_acctbal").alias("elevation"))
+    return chips.with_elevation(data, dem, ["row"]).select("chip", "row", "band", "elevation")
+
+
+@query("SELECT l_orderkey AS pix, l_linenumber AS line, 1 - l_discount AS dry, l_discount AS water, CASE WHEN l_returnflag = 'A' THEN 'invalid' WHEN (l_returnflag <> 'N') = (l_discount > 0.5) THEN CASE WHEN l_discount > 0.5 THEN 'TP' ELSE 'TN' END ELSE CASE WHEN l_discount > 0.5 THEN 'FP' ELSE 'FN' END END AS category FROM lineitem")
+def two_class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import spectral as S
+
+    t = views.table(spark, d, "lineitem")
+    label = F.when(F.col("l_returnflag") == "A", -1).when(F.col("l_returnflag") == "N", 0).otherwise(1)
+    both = S.two_class("l_discount")
+    return t.select(F.col("l_orderkey").alias("pix"), F.col("l_linenumber").alias("line"), both["dry"].alias("dry"), both["water"].alias("water"), S.confusion_category(label, "l_discount", True).alias("category"))

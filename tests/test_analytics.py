@@ -461,3 +461,19 @@ def test_distribution(pixels):
     assert flags[100] == "no data" and flags[101] == "dry"
     shares = distribution.chip_type_share(distribution.chip_flags(pixels, ["region", "chip"])).collect()
     assert sum(r.n for r in shares) == 14
+
+
+def test_bundle(pixels):
+    from pyspark.sql import functions as F
+
+    from pixelgrove.operators import bundles
+
+    table = C.contingency(pixels, ["region"])
+    got = {(r.region, r.metric, r.class_name): r.value for r in bundles.bundle(table, ["region"], clustering=True).collect()}
+    counts = {r.region: r for r in metrics.scores(C.binary_counts(pixels, ["region"]), ["region"]).collect()}
+    for region, r in counts.items():
+        assert got[region, "accuracy.no_clouds", None] == pytest.approx(r.accuracy)
+        assert got[region, "iou.no_clouds", 1] == pytest.approx(r.iou1_1)
+    assert {m for _, m, _ in got} >= {"rand.no_clouds", "v_measure.no_clouds", "f1.max_agree.no_clouds", "bcubed_f.no_clouds"}
+    assert bundles.too_many_predictions(table, ["region"], 2) and not bundles.too_many_predictions(table, ["region"], 3)
+    assert bundles.bundle(table.where(F.lit(False)), ["region"]).count() == 0
