@@ -297,7 +297,8 @@ def components(edges: DataFrame) -> DataFrame:
     seal = None
     while True:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a table of its own: a join with the aggregate itself would keep all edges of a hub in one task
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -305,6 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialise(small.union(down).distinct(), "edges")
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(now)
+        forget(low)
         now = after
         if seal is not None and tuple(mark) == seal:
             break
