@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
-    show = lambda x: "null" if x is None or x is pd.NaT or x != x else f"{float(x):.5g}" if isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "if" else str(x)
+    show = lambda x: "null" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{float(x):.5g}" if isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "if" else str(x)
     return sorted(tuple(show(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
