@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by NN-descent.
 
-A neighbour graph is refined until it settles: start lists come from blocks along random
-directions, then every round compares, at each node, the node's neighbours and reverse neighbours
-with each other (neighbours of neighbours) and keeps each one's best.  Nodes whose whole list
-lies above the threshold are saturated: their lists double.  An audit compares a bounded
-sample of vectors with all rows, in blocks; while it finds too many links outside the graph's
-components, further rounds with fresh directions follow.
+A neighbour graph is refined until it settles: start lists come from blocks of equal signs along
+random directions, then every round compares, at each node, the node's neighbours and reverse neighbours
+with each other (neighbours of neighbours) and keeps each one's best, until few list entries change.
+Lists are short (saturated ones longer), so they alone would lose links between dense groups: every block of
+a comparison therefore also gives a spanning forest of all its pairs at the threshold, and groups
+come from these ties.  An audit compares a bounded sample of vectors with all rows, in blocks; while it finds too
+many links outside the groups, by link or by vector, further rounds with fresh directions follow, and as
+the last step all rows of a label are compared, in pairs of blocks.
 
 Edges at the threshold give groups; inside each group links are confirmed and counted exactly in
 double precision, in blocks, so that the counts are whole however short the lists were.
@@ -13,23 +15,24 @@ double precision, in blocks, so that the counts are whole however short the list
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, forget, group_bounds, grouped, in_blocks, lists, materialise
+from .common import Forest, components, forget, group_bounds, grouped, in_blocks, lists, materialise, sized
 
-#: Vectors of one start block, of one exact block, and members compared at one node at once.
-START_BLOCK, EXACT_BLOCK, NODE_BLOCK = 192, 128, 128
-
-
-_GRID = np.linspace(-4, 4, 257)
+#: Vectors of one start block, of one exact block, members compared at one node at once, and vectors of one block of the last step.
+START_BLOCK, EXACT_BLOCK, NODE_BLOCK, WHOLE_BLOCK = 192, 128, 128, 1024
+#: Signs along random directions that a start block can be told by.
+BITS = 40
+#: The lists have settled when at most this share of their entries is new.
+SETTLED = 0.01
+#: Rows that a comparison gives: list entries, and ties (links that hold a group together, whatever the lists keep).
+_FOUND = "id long, nbr long, sim float, tie boolean"
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,39 +56,55 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lru_cache(64)
 def _directions(dim: int, seeds: tuple[int, ...]) -> np.ndarray:
-    """One unit direction per column."""
-    x = np.stack([np.random.default_rng([s, dim]).standard_normal(dim) for s in seeds], 1)
-    return x / np.linalg.norm(x, axis=0)
+    """BITS directions for each seed, one per column."""
+    return np.concatenate([np.random.default_rng([s, dim]).standard_normal((dim, BITS)) for s in seeds], 1)
 
 
 def _projected(seeds: tuple[int, ...]):
-    """share: for each direction, the place of the projection in a normal distribution of deviation 1 / sqrt(dim)."""
-    normal = NormalDist()
+    """code: for each seed, the signs along its directions, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column("f").to_pylist()
-            share = np.zeros((len(f), len(seeds)))
+            code = np.zeros((len(f), len(seeds)), np.int64)
             size = np.array([len(x) // 4 for x in f])
             for dim in np.unique(size).tolist():
                 at = np.flatnonzero(size == dim)
                 m = np.frombuffer(b"".join(f[x] for x in at), np.float32).reshape(len(at), dim)
-                z = m @ _directions(dim, seeds) * math.sqrt(dim)
-                share[at] = np.interp(z, _GRID, [normal.cdf(x) for x in _GRID])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("f"), lists(share.reshape(-1), np.arange(len(f) + 1) * len(seeds), pa.float64())], ["id", "part", "f", "share"])
+                sign = (m @ _directions(dim, seeds) > 0).reshape(len(at), len(seeds), BITS)
+                code[at] = sign @ (1 << np.arange(BITS))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), batch.column("f"), lists(code.reshape(-1), np.arange(len(f) + 1) * len(seeds), pa.int64())], ["id", "part", "f", "code"])
 
     return run
 
 
-def _best(k: int):
-    """Of rows sorted by (block keys ..., id) with f: each one's k best others of its block, as (id, nbr, sim)."""
+def _forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix of links, as pairs of places."""
+    left = link.any(1)
+    x, y = [], []
+    while left.any():
+        open_ = [int(left.argmax())]
+        left[open_[0]] = False
+        while open_:
+            at = open_.pop()
+            more = np.flatnonzero(link[at] & left)
+            left[more] = False
+            open_ += more.tolist()
+            x.append(np.full(len(more), at))
+            y.append(more)
+    join = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
+    return join(x), join(y)
+
+
+def _best(k: int, level: float):
+    """Of rows sorted by block keys with f: each one's k best others of its block, and the block's ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["part", "seed", "block", "sub"], 4000):
             keys = [table.column(c).to_numpy() for c in ("part", "seed", "block", "sub")]
             ids, f = table.column("id").to_numpy(), table.column("f").to_pylist()
             bounds = group_bounds(*keys)
-            a, b, s = [], [], []
+            a, b, s, ties = [], [], [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 n = hi - lo
                 if n < 2:
@@ -99,47 +118,50 @@ def _best(k: int):
                 a.append(np.repeat(own, top))
                 b.append(own[best].reshape(-1))
                 s.append(np.take_along_axis(sim, best, 1).reshape(-1))
-            yield _edges(a, b, s)
+                ties.append(own[np.stack(_forest(sim >= level))])
+            yield _rows(a, b, s, ties)
 
     return run
 
 
-def _edges(a: list, b: list, s: list) -> pa.RecordBatch:
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(join(a, np.int64)), pa.array(join(b, np.int64)), pa.array(join(s, np.float32))], ["id", "nbr", "sim"])
+def _rows(a: list, b: list, s: list, ties: list) -> pa.RecordBatch:
+    n, more = sum(map(len, a)), sum(x.shape[1] for x in ties)
+    join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
+    a, b = a + [x[0] for x in ties], b + [x[1] for x in ties]
+    return pa.RecordBatch.from_arrays([join(a, np.int64), join(b, np.int64), join([*s, np.ones(more)], np.float32), pa.array(np.arange(n + more) >= n)], ["id", "nbr", "sim", "tie"])
 
 
 def _lists(k: int, most: int, level: float):
-    """Of edges sorted by id: each one's k best distinct neighbours; up to most of those at the level (saturated lists)."""
+    """Of entries sorted by id: each one's k best distinct neighbours; up to most of those at the level (saturated lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["id"]):
-            i, n, s = (table.column(c).to_numpy() for c in ("id", "nbr", "sim"))
-            order = np.lexsort((n, i))
-            i, n, s = i[order], n[order], s[order]
+            i, n, s, fresh = (table.column(c).to_numpy() for c in ("id", "nbr", "sim", "fresh"))
+            order = np.lexsort((fresh, n, i))  # a pair that is known stays as it is
+            i, n, s, fresh = i[order], n[order], s[order], fresh[order]
             first = np.ones(len(i), bool)
             first[1:] = (i[1:] != i[:-1]) | (n[1:] != n[:-1])
-            i, n, s = i[first], n[first], s[first]
-            order = np.lexsort((-s, i))
-            i, n, s = i[order], n[order], s[order]
+            i, n, s, fresh = i[first], n[first], s[first], fresh[first]
+            order = np.lexsort((fresh, -s, i))
+            i, n, s, fresh = i[order], n[order], s[order], fresh[order]
             bounds = group_bounds(i)
             size = np.diff(bounds)
             rank = np.arange(len(i)) - np.repeat(bounds[:-1], size)
             keep = (rank < k) | ((rank < most) & (s >= level))
-            yield _edges([i[keep]], [n[keep]], [s[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(n[keep]), pa.array(s[keep]), pa.array(fresh[keep])], ["id", "nbr", "sim", "fresh"])
 
     return run
 
 
-def _local_join(k: int):
-    """At each node (rows sorted by z, sub): members compared with each other; each one's best that beat its list."""
+def _local_join(k: int, level: float):
+    """At each node (rows sorted by z, sub): members compared with each other; each one's best that beat its list, and the ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["z", "sub"], 20_000):
             z, sub, ids, worst = (table.column(c).to_numpy() for c in ("z", "sub", "u", "worst"))
             f = table.column("f").to_pylist()
             bounds = group_bounds(z, sub)
-            a, b, s = [], [], []
+            a, b, s, ties = [], [], [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 n = hi - lo
                 if n < 2:
@@ -154,67 +176,120 @@ def _local_join(k: int):
                 a.append(ids[lo + x])
                 b.append(ids[lo + best[x, y]])
                 s.append(value[x, y])
-            yield _edges(a, b, s)
+                ties.append(ids[lo:hi][np.stack(_forest(sim >= level))])
+            yield _rows(a, b, s, ties)
+
+    return run
+
+
+def _all_ties(level: float):
+    """Of rows sorted by (part, i, j): the ties of each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, ["part", "i", "j"], 2000):
+            ids, f = table.column("id").to_numpy(), table.column("f").to_pylist()
+            bounds = group_bounds(*(table.column(c).to_numpy() for c in ("part", "i", "j")))
+            ties = []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                m = np.frombuffer(b"".join(f[lo:hi]), np.float32).reshape(hi - lo, -1)
+                link = m @ m.T >= level
+                np.fill_diagonal(link, False)
+                ties.append(ids[lo:hi][np.stack(_forest(link))])
+            yield _rows([], [], [], ties)
 
     return run
 
 
 class Graph:
-    """Neighbour lists of reps (id, part, n, f), kept as a scratch table of edges."""
+    """Neighbour lists of reps (id, part, n, f), kept as a scratch table of edges, and the ties found so far."""
 
     def __init__(self, reps: DataFrame, level: float, k: int, most: int) -> None:
         self.reps, self.level, self.k, self.most, self.seed = reps, level, k, most, 0
         self.edges: DataFrame | None = None
+        self.ties: list[DataFrame] = []
 
-    def _keep(self, rows: DataFrame) -> None:
+    def _keep(self, found: DataFrame) -> bool:
+        """Takes in what a comparison found; whether the lists have settled."""
+        found = materialise(found, "found")
+        self.ties.append(found.where("tie").select("id", "nbr"))
+        rows = found.where("not tie").select("id", "nbr", "sim", F.lit(True).alias("fresh"))
         if self.edges is not None:
-            rows = rows.union(self.edges)
-        after = materialise(rows.repartition("id").sortWithinPartitions("id").mapInArrow(_lists(self.k, self.most, self.level), "id long, nbr long, sim float"), "graph")
+            rows = rows.union(self.edges.withColumn("fresh", F.lit(False)))
+        after = materialise(rows.repartition("id").sortWithinPartitions("id").mapInArrow(_lists(self.k, self.most, self.level), "id long, nbr long, sim float, fresh boolean"), "graph")
         if self.edges is not None:
             forget(self.edges)
-        self.edges = after
+        self.edges = after.select("id", "nbr", "sim")
+        total, new = after.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        return new <= SETTLED * total
 
     def start(self, directions: int) -> None:
-        """Best neighbours inside blocks along fresh random directions."""
+        """Best neighbours inside blocks of equal signs along fresh random directions."""
         seeds = tuple(range(self.seed, self.seed + directions))
         self.seed += directions
-        rows = self.reps.select("id", "part", "f").mapInArrow(_projected(seeds), "id long, part long, f binary, share array<double>")
+        rows = materialise(self.reps.select("id", "part", "f").mapInArrow(_projected(seeds), "id long, part long, f binary, code array<long>"), "codes")
+        codes = rows
         sizes = self.reps.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(sizes, "part").select("id", "part", "f", "n", F.posexplode("share").alias("seed", "share"))
-        rows = rows.withColumn("block", F.floor(F.least(F.col("share"), F.lit(0.9999999)) * F.ceil(F.col("n") / START_BLOCK)).cast("long"))
-        crowd = rows.groupBy("part", "seed", "block").agg(F.count(F.lit(1)).alias("c"))
-        rows = rows.join(crowd, ["part", "seed", "block"])  # a crowded block is dealt out at random
-        rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "seed"), F.ceil(F.col("c") / (2 * START_BLOCK))))
+        rows = rows.join(sized(materialise(sizes, "sizes")), "part").select("id", "part", "f", "n", F.posexplode("code").alias("seed", "code"))
+        bits = lambda count, block: F.greatest(F.ceil(F.log2(F.col(count) / block)), F.lit(0))
+        low = lambda n: F.pmod("code", F.pow(F.lit(2.0), F.least(n, F.lit(BITS))).cast("long"))
+        rows = rows.withColumn("bits", bits("n", START_BLOCK)).withColumn("block", low(F.col("bits")))
+        keys = ["part", "seed", "block"]
+        count = lambda name: sized(materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), "crowd"))
+        rows = rows.join(count("c"), keys)  # a crowded block is told by more signs
+        rows = rows.withColumn("block", low(F.col("bits") + bits("c", 2 * START_BLOCK)))
+        rows = rows.join(count("e"), keys)  # and dealt out at random if it still is one
+        rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "seed"), F.ceil(F.col("e") / (2 * START_BLOCK))))
         keys = ["part", "seed", "block", "sub"]
         rows = rows.select(*keys, "id", "f").repartition(*keys).sortWithinPartitions(*keys)
-        self._keep(rows.mapInArrow(_best(self.k), "id long, nbr long, sim float"))
+        self._keep(rows.mapInArrow(_best(self.k, self.level), _FOUND))
+        forget(codes)
 
-    def refine(self) -> None:
-        """One NN-descent round."""
+    def refine(self) -> bool:
+        """One NN-descent round; whether the lists have settled."""
         worst = self.edges.groupBy("id").agg(F.min("sim").alias("worst"))
         both = self.edges.select(F.col("id").alias("z"), F.col("nbr").alias("u")).union(self.edges.select("nbr", "id")).union(self.reps.select("id", "id")).distinct()
         crowd = both.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
         members = both.join(crowd, "z").withColumn("sub", F.pmod(F.xxhash64("u", "z"), F.ceil(F.col("c") / NODE_BLOCK)))
         vectors = self.reps.select(F.col("id").alias("u"), "f").join(worst.withColumnRenamed("id", "u"), "u", "left").fillna(-2.0, ["worst"])
         members = members.select("z", "u", "sub").join(vectors, "u").repartition("z", "sub").sortWithinPartitions("z", "sub")
-        self._keep(members.select("z", "sub", "u", "worst", "f").mapInArrow(_local_join(4), "id long, nbr long, sim float"))
+        return self._keep(members.select("z", "sub", "u", "worst", "f").mapInArrow(_local_join(4, self.level), _FOUND))
 
-    def groups(self) -> DataFrame:
-        return materialise(components(self.edges.where(F.col("sim") >= self.level).select(F.col("id").alias("a"), F.col("nbr").alias("b"))).withColumnsRenamed({"node": "id", "component": "g"}), "groups")
+    def settle(self, rounds: int = 1) -> None:
+        """At least so many rounds, and on until few entries change; lists only get better, so this ends."""
+        done = 0
+        while not self.refine() or done + 1 < rounds:
+            done += 1
+
+    def compare_all(self) -> None:
+        """The ties of all pairs of one part."""
+        sizes = materialise(self.reps.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        rows = in_blocks(self.reps.select("id", "part", "f").join(sized(sizes), "part"), "part", "n", "id", WHOLE_BLOCK)
+        rows = rows.select("part", "i", "j", "id", "f").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+        self.ties.append(materialise(rows.mapInArrow(_all_ties(self.level), _FOUND), "found").select("id", "nbr"))
 
-    def audit(self, groups: DataFrame, sample: int) -> tuple[int, int]:
-        """Links of sampled vectors to all rows, and how many of them lie inside one group."""
+    def groups(self) -> DataFrame:
+        """(id, g) of the vectors that ties hold together."""
+        ties = self.ties[0]
+        for more in self.ties[1:]:
+            ties = ties.union(more)
+        out = materialise(components(ties.select(F.col("id").alias("a"), F.col("nbr").alias("b"))).withColumnsRenamed({"node": "id", "component": "g"}), "groups")
+        for old in self.ties:
+            forget(old)
+        self.ties = [out.select("id", F.col("g").alias("nbr"))]
+        return out
+
+    def audit(self, groups: DataFrame, sample: int) -> float:
+        """Of the links of sampled vectors to all rows, the share inside one group: of all links, or as mean over the vectors if less."""
         own = self.reps.join(groups, "id", "left").select("id", "part", F.coalesce("g", "id").alias("g"), "f")
         chosen = own.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(sample).toPandas()
         if not len(chosen):
-            return 0, 0
+            return 1.0
         by_dim = {}
         for n, x in chosen.groupby(chosen["f"].map(len)):
             by_dim[n] = (x["id"].to_numpy(), x["part"].to_numpy(), x["g"].to_numpy(), np.stack([np.frombuffer(v, np.float32) for v in x["f"]]))
         level = self.level
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            links = inside = 0
             for batch in batches:
                 i, p, g = (batch.column(c).to_numpy() for c in ("id", "part", "g"))
                 f = batch.column("f").to_pylist()
@@ -224,12 +299,13 @@ class Graph:
                     if len(at):
                         m = np.frombuffer(b"".join(f[x] for x in at), np.float32).reshape(len(at), -1)
                         hit = (m @ q.T >= level) & (p[at][:, None] == qp) & (i[at][:, None] != qi)
-                        links += int(hit.sum())
-                        inside += int((hit & (g[at][:, None] == qg)).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([inside])], ["links", "inside"])
+                        links, inside = hit.sum(0), (hit & (g[at][:, None] == qg)).sum(0)
+                        some = links > 0
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[some]), pa.array(links[some]), pa.array(inside[some])], ["q", "links", "inside"])
 
-        row = own.mapInArrow(run, "links long, inside long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("inside"), F.lit(0))).first()
-        return int(row[0]), int(row[1])
+        each = own.mapInArrow(run, "q long, links long, inside long").groupBy("q").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside"))
+        row = each.agg(F.sum("inside") / F.sum("links"), F.avg(F.col("inside") / F.col("links"))).first()
+        return 1.0 if row[0] is None else min(row)
 
 
 def _exact(threshold: float):
@@ -275,12 +351,15 @@ def near_embeddings(
     most: int = 32,
     directions: int = 4,
     rounds: int = 2,
-    sample: int = 256,
+    sample: int = 1024,
     recall: float = 0.995,
     extra_rounds: int = 4,
 ) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
+    rounds: least number of rounds before the lists may count as settled; extra_rounds: times that fresh directions
+    are tried before all rows of a label are compared, when the audit's recall is missed.
+
     Vectors are compared only with equal, non-null labels (and equal length).  Equal directions count as
     copies of one vector from the start, so thousands of copies are one node.
 
@@ -303,15 +382,17 @@ def near_embeddings(
 
     graph = Graph(classes.select("id", "part", "f"), threshold - 1e-4, k, most)
     graph.start(directions)
-    for _ in range(rounds):
-        graph.refine()
+    graph.settle(rounds)
+    groups = graph.groups()
     for attempt in range(extra_rounds + 1):
-        groups = graph.groups()
-        links, inside = graph.audit(groups, sample)
-        if inside >= recall * links or attempt == extra_rounds:
+        if graph.audit(groups, sample) >= recall:
             break
-        graph.start(directions)
-        graph.refine()
+        if attempt < extra_rounds:
+            graph.start(directions)
+            graph.settle()
+        else:
+            graph.compare_all()
+        groups = graph.groups()
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     members = groups.join(sizes, "g").join(classes.select("id", "copies", "v"), "id")

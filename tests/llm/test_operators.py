@@ -289,6 +289,22 @@ def test_embedding_blocks(spark, monkeypatch):
     assert all(got[i][0] <= x[0] for i, x in want.items())
 
 
+def test_embedding_pairs_far_apart_in_the_blocks(spark, monkeypatch):
+    """Isolated pairs in a label that is large against a block: fresh directions, or all rows, find them."""
+    monkeypatch.setattr(nn_descent, "START_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((500, 64))
+    twin = base + rng.standard_normal((500, 64)) * 0.36
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, twin]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute.embeddings(rows)
+    assert sum(x[0] for x in want.values()) > 500
+    got = found(nn_descent.near_embeddings(frame, directions=1), "vec_id", "n_links", "component_id", "kept")
+    assert sum(got[i][0] for i in want) >= 0.99 * sum(x[0] for x in want.values())
+    got = found(nn_descent.near_embeddings(frame, directions=1, rounds=0, extra_rounds=0), "vec_id", "n_links", "component_id", "kept")
+    assert got == want
+
+
 # ---------------------------------------------------------------- 9
 
 
