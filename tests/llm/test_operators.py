@@ -305,6 +305,18 @@ def test_embedding_pairs_far_apart_in_the_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_embedding_links_between_dense_groups(spark):
+    """Two groups whose members' lists are full of their own group: links across hold them together."""
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = q[0], 0.951 * q[0] + np.sqrt(1 - 0.951**2) * q[1]
+    rows = [(i, (centres[i % 2] + rng.standard_normal(64) * 0.1 / 8).tolist(), 1) for i in range(100)]
+    got = found(nn_descent.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id", "n_links", "component_id", "kept")
+    assert got == brute.embeddings(rows)
+    assert {x[1] for x in got.values()} == {0}
+    assert min(x[0] for x in got.values()) > 49  # more than the own group's
+
+
 # ---------------------------------------------------------------- 9
 
 
