@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 
 def _border(c: Column, width: Column, k: int, kind: str) -> Column:
-    """The positions at which a pixel stands in a line padded by k on both sides (mirror: edge not repeated)."""
-    shift = 1 if kind == "mirror" else 0
-    low = F.when((c >= shift) & (c < k + shift), -c - (1 - shift))
-    high = F.when((c <= width - 1 - shift) & (c > width - 1 - k - shift), 2 * width - 1 - shift - c)
-    return F.array_compact(F.array(c, low, high))
+    """The positions at which a pixel stands in a line padded by k on both sides (mirror: edge not repeated); lines shorter than k fold repeatedly."""
+    period = F.greatest(2 * (width - 1), F.lit(1)) if kind == "mirror" else 2 * width
+    back = 0 if kind == "mirror" else 1
+
+    def here(p: Column) -> Column:
+        at = F.pmod(p, period)
+        return F.least(at, period - back - at) == c
+
+    beyond = [x for j in range(k) for x in (F.lit(-1 - j), width + j)]
+    return F.array_compact(F.array(c, *[F.when(here(x), x) for x in beyond]))
 
 
 def padded(df: DataFrame, keys: Sequence[str], axis: str, k: int, kind: str, size: str) -> DataFrame:

@@ -93,9 +93,16 @@ def mask_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{sql('bands')} SELECT pix, line, CASE WHEN line % 2 = 0 THEN -1.0 ELSE b1 END AS b1 FROM bands WHERE pix % 50 = 0")
 def mask_combination(spark: SparkSession, d: str) -> DataFrame:
-    t = views.bands(spark, d).where("pix % 50 = 0").dropDuplicates(["pix", "line", "b1"])
-    source = t.select(*_KEYS, F.when(F.col("line") % 2 == 0, -1).otherwise(1).alias("m")).distinct()
-    every = views.bands(spark, d).where("pix % 50 = 0")
+    return _combined(views.bands(spark, d).where("pix % 50 = 0"))  # the rows that its twin covers
+
+
+@query()
+def mask_combination_all(spark: SparkSession, d: str) -> DataFrame:
+    return _combined(views.bands(spark, d))
+
+
+def _combined(every: DataFrame) -> DataFrame:
+    source = every.select(*_KEYS, F.when(F.col("line") % 2 == 0, -1).otherwise(1).alias("m")).distinct()
     return columns.combine_masks(every, source, _KEYS, {"b1": "m"}).select(*_KEYS, "b1")
 
 
@@ -156,20 +163,14 @@ def _near(win: int, kind: str, value: str = "v") -> str:
         WHERE q.chip = p.chip AND q.region = p.region AND q.row = ({fold('p.row + dr', 'h')}) AND q.col = ({fold('p.col + dc', 'w')}) AND h > {k})"""
 
 
-def _tall(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """Chips that are taller than a border of k rows."""
-    t = views.raster(spark, d)
-    return t.join(t.groupBy("chip").agg(F.max("row").alias("_h")).where(F.col("_h") >= k).select("chip"), "chip", "left_semi")
-
-
 @query(f"{_SIZE}, {_near(7, 'mirror')} SELECT region, chip, row, col, round(avg(x), 6) + 0.0 AS v FROM near GROUP BY ALL")
 def boxcar(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.boxcar(_tall(spark, d, 3), _CHIP, ["v"], 7))
+    return rounded(spatial.boxcar(views.raster(spark, d), _CHIP, ["v"], 7))
 
 
 @query(f"{_SIZE}, {_near(3, 'mirror')} SELECT region, chip, row, col, round(median(x), 6) + 0.0 AS v FROM near GROUP BY ALL")
 def median_window(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.median(_tall(spark, d, 1), _CHIP, "v", 3))
+    return rounded(spatial.median(views.raster(spark, d), _CHIP, "v", 3))
 
 
 @query(
@@ -177,7 +178,7 @@ def median_window(spark: SparkSession, d: str) -> DataFrame:
         SELECT m.region, m.chip, m.row, m.col, round(m + (v - m) * greatest((vary - s * s / 4.4) / (1 + 1 / 4.4), 0) / vary, 6) + 0.0 AS v FROM m JOIN raster USING (region, chip, row, col)"""
 )
 def lee(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.lee(_tall(spark, d, 3), _CHIP, ["v"], 7))
+    return rounded(spatial.lee(views.raster(spark, d), _CHIP, ["v"], 7))
 
 
 @query(

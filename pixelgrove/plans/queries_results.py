@@ -200,7 +200,16 @@ def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT l_orderkey, l_linenumber AS step, list(DISTINCT l_suppkey) AS nodes FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY ALL), a AS (SELECT l_orderkey, step, unnest(nodes) AS n FROM s) SELECT DISTINCT x.n AS predecessor, y.n AS successor FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND y.step = x.step + 1")
 def sequence_edges(spark: SparkSession, d: str) -> DataFrame:
-    t = views.table(spark, d, "lineitem").where("l_orderkey % 100 = 0").groupBy(F.col("l_orderkey").alias("sequence"), F.col("l_linenumber").alias("step")).agg(F.collect_set("l_suppkey").alias("starts"))
+    return _sequences(views.table(spark, d, "lineitem").where("l_orderkey % 100 = 0"))  # the rows that its twin covers
+
+
+@query()
+def sequence_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    return _sequences(views.table(spark, d, "lineitem"))
+
+
+def _sequences(lines: DataFrame) -> DataFrame:
+    t = lines.groupBy(F.col("l_orderkey").alias("sequence"), F.col("l_linenumber").alias("step")).agg(F.collect_set("l_suppkey").alias("starts"))
     return lineage.sequence_edges(t.withColumn("ends", F.col("starts")))
 
 

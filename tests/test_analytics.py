@@ -477,3 +477,30 @@ def test_bundle(pixels):
     assert {m for _, m, _ in got} >= {"rand.no_clouds", "v_measure.no_clouds", "f1.max_agree.no_clouds", "bcubed_f.no_clouds"}
     assert bundles.too_many_predictions(table, ["region"], 2) and not bundles.too_many_predictions(table, ["region"], 3)
     assert bundles.bundle(table.where(F.lit(False)), ["region"]).count() == 0
+
+
+# ---------------------------------------------------------------- whole inputs
+
+
+@pytest.mark.parametrize("kind,pad", [("mirror", "reflect"), ("reflect", "symmetric")])
+@pytest.mark.parametrize("shape", [(1, 5), (2, 9), (3, 4)])
+def test_borders_of_small_chips(spark, kind, pad, shape):
+    a = np.arange(shape[0] * shape[1], dtype=float).reshape(shape) ** 2
+    df = spark.createDataFrame([(0, r, c, float(v)) for (r, c), v in np.ndenumerate(a)], "chip int, row int, col int, v double")
+    got = {(r.row, r.col): r.v for r in spatial.window_mean(df, ["chip"], ["v"], 7, kind).collect()}
+    want = np.lib.stride_tricks.sliding_window_view(np.pad(a, 3, pad), (7, 7)).mean((2, 3))
+    assert len(got) == a.size
+    assert all(abs(got[i] - v) < 1e-9 for i, v in np.ndenumerate(want))
+
+
+def test_queries_over_whole_tables(spark, tmp_path):
+    from pixelgrove.plans import registry
+
+    lines = [(o, n, 10 * o + n) for o in range(1, 5) for n in (1, 2, 3)]
+    t = spark.createDataFrame([(o, n, s, 0.5, 0.25, 10.0, 100.0) for o, n, s in lines], "l_orderkey long, l_linenumber int, l_suppkey long, l_discount double, l_tax double, l_quantity double, l_extendedprice double")
+    t.write.parquet(f"{tmp_path}/lineitem.parquet")
+    every = registry.queries()
+    got = {tuple(r) for r in every["sequence_edges_all"](spark, str(tmp_path)).select("predecessor", "successor").collect()}
+    assert got == {(10 * o + n, 10 * o + n + 1) for o in range(1, 5) for n in (1, 2)}
+    got = {tuple(r) for r in every["mask_combination_all"](spark, str(tmp_path)).select("pix", "line", "b1").collect()}
+    assert got == {(o, n, -1.0 if n == 2 else 0.5) for o, n, _ in lines}
