@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,17 +126,21 @@ def quadratic_discriminant(df: DataFrame, features: Sequence[str], label: str, r
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def _distance(a: Column, b: Column, metric: str) -> Column:
-    gap = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    zero = F.lit(0.0)
-    if metric == "manhattan":
-        return F.aggregate(gap, zero, lambda s, x: s + x)
-    if metric == "chebyshev":
-        return F.array_max(gap)
+def _distances(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of every row of q from every row of t, summed by dimension as a column expression would; NaN: not defined."""
+    out = np.zeros((len(q), len(t)))
     if metric == "cosine":
-        dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), zero, lambda s, v: s + v)
-        return 1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), zero)
-    return F.sqrt(F.aggregate(gap, zero, lambda s, x: s + x * x))
+        for x, y in zip(q.T, t.T):
+            out += x[:, None] * y
+        size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((t * t).sum(1))
+        return 1 - out / np.where(size == 0, np.nan, size)
+    for x, y in zip(q.T, t.T):
+        gap = np.abs(x[:, None] - y)
+        if metric == "chebyshev":
+            np.maximum(out, gap, out=out)
+        else:
+            out += gap if metric == "manhattan" else gap * gap
+    return out if metric in ("manhattan", "chebyshev") else np.sqrt(out)
 
 
 def vote(neighbours: DataFrame, query: str = "query", weights: str = "uniform") -> DataFrame:
@@ -149,23 +154,66 @@ def vote(neighbours: DataFrame, query: str = "query", weights: str = "uniform")
     return votes.groupBy(query).agg(F.max_by("label", F.struct("_w", -F.col("label"))).alias("prediction"))
 
 
-#: Rows up to which the training side of the exact search is broadcast.
-INDEX_ROWS = 50_000
+#: Training rows and queries of one block of the exact search.
+TRAIN_BLOCK, QUERY_BLOCK = 2048, 2048
+
+
+def _nearest_in_blocks(k: int, metric: str):
+    """Of a pair of blocks: each query's k nearest training rows, by (distance, id); undefined distances last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        train = table.filter(pa.array(side == 1)).sort_by("id")
+        queries = table.filter(pa.array(side == 0))
+        length = max([len(v) for v in table.column("v").to_pylist() if v is not None], default=0)
+
+        def matrix(part: pa.Table) -> np.ndarray:
+            out = np.full((part.num_rows, length), np.nan)
+            for x, v in zip(out, part.column("v").to_pylist()):
+                if v is not None:
+                    x[: len(v)] = [np.nan if e is None else e for e in v]
+            if not length:
+                return np.full((part.num_rows, 1), np.nan)
+            return out
+
+        dist = _distances(matrix(queries), matrix(train), metric)
+        top = min(k, train.num_rows)
+        if not top or not queries.num_rows:
+            at, of = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            key = np.where(np.isnan(dist), np.inf, dist)
+            at, of = np.nonzero(key <= np.partition(key, top - 1, axis=1)[:, top - 1 : top])
+            order = np.lexsort((of, np.isnan(dist[at, of]), key[at, of], at))
+            at, of = at[order], of[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            keep = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < top
+            at, of = at[keep], of[keep]
+        value = dist[at, of]
+        found = [queries.column("query").take(pa.array(at)), train.column("id").take(pa.array(of)), train.column("label").take(pa.array(of)), pa.array(value, mask=np.isnan(value))]
+        return pa.table(found, names=["query", "id", "label", "distance"])
+
+    return run
 
 
 def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", vector: str = "x", label: str = "y", id_col: str = "id") -> DataFrame:
-    """(query, id, label, distance) of the k nearest training rows, by (distance, id); exact.
+    """(query, id, label, distance) of the k nearest training rows, by (distance, id); exact, for any number of rows.
 
-    The training side must be a bounded index: its size is checked.  Beyond INDEX_ROWS use nearest_lsh.
+    Every block of queries meets every block of training rows in a task of its own; the k best of each are merged by query.
     """
-    index = train.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_t"))
-    if index.limit(INDEX_ROWS + 1).count() > INDEX_ROWS:
-        raise ValueError(f"exact search takes up to {INDEX_ROWS} training rows; use nearest_lsh")
-    block = index.agg(F.array_sort(F.collect_list(F.struct("id", "label", "_t"))).alias("_index"))  # bounded by the check
-    q = queries.select(F.col(id_col).alias("query"), F.col(vector).cast("array<double>").alias("_q")).join(F.broadcast(block), F.lit(True))
-    found = F.transform("_index", lambda t: F.struct(_distance(F.col("_q"), t["_t"], metric).alias("distance"), t["id"].alias("id"), t["label"].alias("label")))
-    q = q.select("query", F.inline(F.slice(F.array_sort(found), 1, k)))
-    return q.select("query", "id", "label", "distance")
+    index = train.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(id_col).alias("query"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = {f.name: f.dataType for f in [*index.schema, *asked.schema]}
+    many = lambda df, size: max(1, -(-df.count() // size))
+    rows, cols = many(asked, QUERY_BLOCK), many(index, TRAIN_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+    dealt = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+    left = asked.select(dealt("query", rows).alias("i"), each(cols).alias("j"), F.lit(0).alias("side"), "query", none("id"), none("label"), "v")
+    right = index.select(each(rows).alias("i"), dealt("id", cols).alias("j"), F.lit(1).alias("side"), none("query"), "id", "label", "v")
+    schema = ", ".join(f"{name} {kinds[name].simpleString()}" for name in ("query", "id", "label")) + ", distance double"
+    found = left.union(right).groupBy("i", "j").applyInArrow(_nearest_in_blocks(k, metric), schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), "id"))
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def nearest_lsh(train: DataFrame, queries: DataFrame, k: int, bucket: float, tables: int = 8, radius: float = float("inf"), vector: str = "x", label: str = "y", id_col: str = "id") -> DataFrame:

@@ -504,3 +504,18 @@ def test_queries_over_whole_tables(spark, tmp_path):
     assert got == {(10 * o + n, 10 * o + n + 1) for o in range(1, 5) for n in (1, 2)}
     got = {tuple(r) for r in every["mask_combination_all"](spark, str(tmp_path)).select("pix", "line", "b1").collect()}
     assert got == {(o, n, -1.0 if n == 2 else 0.5) for o, n, _ in lines}
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    """More training rows than one block holds, and than the former limit, ties included."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 60, (51_000, 3)).astype(float)
+    t = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, x array<double>, y int")
+    monkeypatch.setattr(classify, "TRAIN_BLOCK", 8000)
+    got = {}
+    for r in classify.nearest(t, t.where("id % 5100 = 0"), 7).collect():
+        got.setdefault(r.query, []).append((r.distance, r.id))
+    for q in range(0, 51_000, 5100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert sorted(got[q]) == [(d[i], i) for i in np.lexsort((np.arange(len(d)), d))[:7]]
+    assert len(got) == 10
