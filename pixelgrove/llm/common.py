@@ -129,37 +129,45 @@ PLAIN = _letters(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-class Words:
-    """Words of a run of documents: byte starts and ends in buf, hashes, and first[d] .. first[d + 1] of document d."""
+def runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of mask; first (one longer) marks where a document starts, which ends a run."""
+    n = len(mask)
+    fresh, done = mask.copy(), mask.copy()
+    fresh[1:] &= ~mask[:-1] | first[1:n]
+    done[:-1] &= ~mask[1:] | first[1:n]
+    return np.flatnonzero(fresh), np.flatnonzero(done) + 1
 
-    __slots__ = ("buf", "bounds", "start", "end", "hash", "first", "_total")
 
-    def __init__(self, buf: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> None:
-        """buf: bytes; bounds: the documents' limits in buf (n + 1)."""
+class Span:
+    """Hashes of stretches of bytes, by one prefix sum."""
+
+    __slots__ = ("_total",)
+
+    def __init__(self, buf: np.ndarray) -> None:
         n = len(buf)
-        self.buf, self.bounds = buf, bounds
-        mask = kind[buf]
-        before = np.empty(n, bool)
-        before[:1] = False
-        before[1:] = mask[:-1]
-        inside = bounds[:-1][bounds[:-1] < n]
-        before[inside] = False
-        self.start = np.flatnonzero(mask & ~before)
-        after = np.empty(n, bool)
-        after[-1:] = False
-        after[:-1] = mask[1:]
-        last = bounds[1:][bounds[1:] > 0] - 1
-        after[last] = False
-        self.end = np.flatnonzero(mask & ~after) + 1
-        self.first = np.searchsorted(self.start, bounds)
         self._total = np.zeros(n + 1, U)
         np.cumsum(_codes()[buf] * _BYTES.upto(n + 1)[0][:n], out=self._total[1:])
-        self.hash = self.between(self.start, self.end)
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from start up to end."""
         return mix((self._total[end] - self._total[start]) * _BYTES.upto(len(self._total))[1][start])
 
+
+class Words(Span):
+    """Words of a run of documents: byte starts and ends in buf, hashes, and first[d] .. first[d + 1] of document d."""
+
+    __slots__ = ("buf", "bounds", "start", "end", "hash", "first")
+
+    def __init__(self, buf: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> None:
+        """buf: bytes; bounds: the documents' limits in buf (n + 1)."""
+        super().__init__(buf)
+        self.buf, self.bounds = buf, bounds
+        at = np.zeros(len(buf) + 1, bool)
+        at[bounds] = True
+        self.start, self.end = runs(kind[buf], at)
+        self.first = np.searchsorted(self.start, bounds)
+        self.hash = self.between(self.start, self.end)
+
     def grams(self, k: int, second: bool = False) -> np.ndarray:
         """Hash of the k words from each word on; what runs past a document's end is of no use."""
         return grams(self.hash, k, second)
@@ -190,15 +198,21 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def in_bytes(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of blocks of about size bytes."""
+    rows, at = len(bounds) - 1, 0
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def blocks(column: pa.Array, kind: np.ndarray, lower: bool) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) for blocks of about BLOCK_BYTES of the column."""
     buf, bounds = column_bytes(column)
-    rows, at = len(bounds) - 1, 0
-    while at < rows:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES, "right")) - 1)
+    for at, to in in_bytes(bounds, BLOCK_BYTES):
         part = buf[bounds[at] : bounds[to]]
         yield at, to, Words(_LOWER[part] if lower else part, bounds[at : to + 1] - bounds[at], kind)
-        at = to
 
 
 def signed(x: np.ndarray) -> np.ndarray:

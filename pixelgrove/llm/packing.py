@@ -15,11 +15,10 @@ fewer than sum(capacity // length) pieces over the class sizes, whatever the inp
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-import sys
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,55 +28,188 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BLOCK_BYTES, Span, U, column_bytes, in_bytes, materialise, runs
 
-#: Words whose ids a worker remembers before it starts over.
-CACHE_WORDS = 900_000
-_BREAKS = bytes.maketrans(b"\n\t\r", b"   ")
-#: UTF-8 bytes of code points below U+0300, none of which combine or change when normalised.
-_PLAIN = bytes(range(0xCC))
-_MARKS = b".,!?;:"
+#: Token runs whose ids a worker remembers before it starts over, and slots of its table.
+CACHE_RUNS, _SLOT_BITS = 1_500_000, 22
+#: Bytes from which on a token run is remembered by a digest of its bytes.
+LONG_RUN = 48
+
+# Classes of bytes as the tokenizer's splitting pattern sees them.
+SPACE, LETTER, DIGIT, OTHER, FOREIGN, WHOLE = range(6)
+_CLASS = np.array(
+    [FOREIGN if b >= 0x80 else SPACE if b == 0x20 or 0x09 <= b <= 0x0D else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else OTHER for b in range(256)],
+    np.uint8,
+)
+#: Second bytes, after the first, of the code points below U+0280 that are no letters or that lower-casing takes apart: U+00D7, U+00F7, U+0130.
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+
+
+# The tokenizer's normalising and splitting that `_token_runs` stands for.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
 
 
 @lru_cache(2)
 def _tokenizer(path: str):
+    """The tokenizer, whether its tokens are those of `_token_runs`, by id whether it ends a run, and the runs known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    assert array("I").itemsize == 4 and sys.byteorder == "little"
-    return Tokenizer.from_file(path), {}
-
-
-def _prepared(text: bytes) -> bytes:
-    """text with A-Z lower-cased where the tokenizer, which normalises and lower-cases later, gives the
-    same ids: not with special tokens, and only if both forms are normalised already."""
-    if b"<|" in text:
-        return text
-    lower = text.lower()
-    if not text.translate(None, _PLAIN):
-        return lower
-    return lower if unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", lower.decode()) else text
-
-
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit bytes.  Spaces, tabs and line ends separate tokens, so the
-    stretches between them are encoded once per worker and looked up after that."""
-    tokenizer, known = _tokenizer(path)
-    split = [_prepared(x).translate(_BREAKS).split(b" ") for x in texts]
-    missing = set().union(*split).difference(known)
-    if len(known) + len(missing) > CACHE_WORDS:
-        known.clear()
-        missing = set().union(*split)
-    if missing:
-        # a trailing mark is a token run of its own after a letter
-        ends = {w: (w[:-1], w[-1:]) for w in missing if len(w) > 1 and w[-1] in _MARKS and w[:-1].decode().isalpha()}
-        whole = [w for w in {x for w in missing for x in ends.get(w, (w,))} if w not in known]
-        for w, e in zip(whole, tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-        for w, (a, b) in ends.items():
-            known[w] = known[a] + known[b]
-    get = known.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    made = Tokenizer.from_file(path)
+    form = json.loads(made.to_str())
+    parts, splits, model = ((form[x] or {}) for x in ("normalizer", "pre_tokenizer", "model"))
+    suffix = model.get("end_of_word_suffix")
+    words = (
+        bool(suffix)
+        and [x["type"] for x in parts.get("normalizers", [])] == _NORMALISERS
+        and [x["pattern"].get("Regex") for x in splits.get("pretokenizers", []) if x["type"] == "Split"] == [_PATTERN]
+    )
+    vocabulary = made.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+    return made, words, ends, _Known()
+
+
+class _Known:
+    """Ids of the token runs seen so far: an open hash table of keys, and each row's stretch of ids."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = 0
+        self.key, self.row = np.zeros(1 << _SLOT_BITS, U), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.ids, self.limits = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 if it is not known."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), (keys >> U(64 - _SLOT_BITS)).astype(np.int64)
+        while len(todo):
+            there = self.key[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.row[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << _SLOT_BITS) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct keys that are not known, with their ids in a row."""
+        n, at = self.rows, self.limits[self.rows]
+        to = at + len(ids)
+        if n + len(keys) + 1 > len(self.limits):
+            self.limits = np.concatenate([self.limits, np.zeros(max(len(self.limits), len(keys)), np.int64)])
+        if to > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
+        self.ids[at:to] = ids
+        self.limits[n + 1 : n + 1 + len(keys)] = at + np.cumsum(sizes)
+        self.rows = n + len(keys)
+        todo, slot = np.arange(len(keys)), (keys >> U(64 - _SLOT_BITS)).astype(np.int64)
+        while len(todo):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = keys[todo[free]]
+            won = self.key[slot] == keys[todo]
+            self.row[slot[won]] = n + todo[won]
+            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << _SLOT_BITS) - 1)
+
+
+def _encode(runs: list[str], whole: np.ndarray, tokenizer, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the runs in a row and their numbers.  Those that are one token before merging are encoded
+    as one text: an id that ends a run tells them apart."""
+    size = np.zeros(len(runs), np.int64)
+    single, apart = np.flatnonzero(~whole), np.flatnonzero(whole)
+    text = " ".join([runs[i] for i in single.tolist()])
+    together = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    size[single] = np.diff(np.flatnonzero(ends[together]) + 1, prepend=0)
+    each = [x.ids for x in tokenizer.encode_batch_fast([runs[i] for i in apart.tolist()], add_special_tokens=False)]
+    size[apart] = [len(x) for x in each]
+    ids = np.empty(size.sum(), "<u4")
+    mine = np.repeat(whole, size)
+    ids[~mine], ids[mine] = together, [x for e in each for x in e]
+    return ids, size
+
+
+def _token_runs(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the token runs of the documents between bounds, and which bytes lie in stretches kept whole.
+
+    A run is what the tokenizer's pattern takes as one token before its merges: letters, one digit, other marks, or a
+    contraction.  A stretch between spaces stays whole if it holds a special token or a code point
+    that normalising, lower-casing or classing could treat by its neighbours; the tokenizer splits it itself.
+    """
+    n = len(buf)
+    kind = _CLASS[buf]
+    after = np.append(buf[1:], np.uint8(0))
+    lead = np.flatnonzero((buf >= 0xC3) & (buf <= 0xC9))
+    if len(lead):
+        fine = np.ones(len(lead), bool)
+        for a, b in _NO_LETTERS:
+            fine &= (buf[lead] != a) | (after[lead] != b)
+        kind[lead[fine]] = LETTER
+        kind[lead[fine] + 1] = LETTER
+    first = np.zeros(n + 1, bool)
+    first[bounds] = True
+    odd = np.flatnonzero((kind == FOREIGN) | ((buf == 0x3C) & (after == 0x7C)))
+    if len(odd):
+        start, end = runs(kind != SPACE, first)
+        of = np.unique(np.searchsorted(start, odd, "right") - 1)
+        edge = np.zeros(n + 1, np.int8)
+        edge[start[of]] += 1
+        edge[end[of]] -= 1
+        kind[np.cumsum(edge[:-1], dtype=np.int8) > 0] = WHOLE
+    change = first[:-1] | (kind == DIGIT)
+    change[1:] |= kind[1:] != kind[:-1]
+    # a lone apostrophe before these letters is one token with them
+    quote = np.flatnonzero((buf[:-2] == 0x27) & (kind[:-2] == OTHER) & change[:-2] & (kind[1:-1] == LETTER) & ~first[1:-2])
+    if len(quote):
+        one, two = buf[quote + 1] | 0x20, buf[quote + 2] | 0x20
+        short = (one == 0x73) | (one == 0x74) | (one == 0x6D) | (one == 0x64)
+        same = (kind[quote + 2] == LETTER) & ~first[quote + 2]
+        long = same & (((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)))
+        change[quote[short | long] + 1] = False
+        rest = np.concatenate([quote[short] + 2, quote[long] + 3])
+        rest = rest[rest < n]
+        change[rest] |= kind[rest] == LETTER
+    start = np.flatnonzero(change)
+    end = np.append(start[1:], n)
+    real = kind[start] != SPACE
+    return start[real], end[real], kind == WHOLE
+
+
+def token_ids(buf: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents of buf in a row, and the documents' limits in them.  A token run is encoded once per worker and looked
+    up after that; with a tokenizer that splits texts in another way a whole document is one run."""
+    tokenizer, words, ends, known = _tokenizer(path)
+    if not len(buf):
+        return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+    if words:
+        start, end, whole = _token_runs(buf, bounds)
+        lower = np.where(~whole & (buf >= 0x41) & (buf <= 0x5A), buf | 0x20, buf)
+        whole = whole[start]
+    else:
+        full = np.diff(bounds) > 0
+        start, end, lower, whole = bounds[:-1][full], bounds[1:][full], buf, np.ones(full.sum(), bool)
+    keys = Span(lower).between(start, end)
+    for i in np.flatnonzero(end - start >= LONG_RUN).tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(lower[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    keys[keys == 0] = 1
+    row = known.find(keys)
+    new = np.flatnonzero(row < 0)
+    if len(new):
+        own, at = np.unique(keys[new], return_index=True)
+        if known.rows + len(own) > CACHE_RUNS:
+            known.clear()
+            own, at = np.unique(keys, return_index=True)
+            new = np.arange(len(keys))
+        at = new[at]
+        data = lower.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())]
+        known.add(own, *_encode(texts, whole[at], tokenizer, ends))
+        row = known.find(keys)
+    at, size = known.limits[row], known.limits[row + 1] - known.limits[row]
+    total = np.append(0, np.cumsum(size))
+    ids = known.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+    return ids, total[np.searchsorted(start, bounds)]
 
 
 @lru_cache(4)
@@ -94,20 +226,30 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, end = _cuts(capacity), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows: list[tuple] = []
-                ids = batch.column(0).to_pylist()
-                for doc, data in zip(ids, token_bytes([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], path)):
-                    data += end
-                    n, start = len(data) // 4, 0
-                    for size in [capacity] * (n // capacity) + cuts[n % capacity]:
-                        rows.append((doc, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n))
-                        start += size
-                columns = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        cuts, last = _cuts(capacity), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            buf, bounds = column_bytes(batch.column(1))
+            for a, b in in_bytes(bounds, 4 * BLOCK_BYTES):
+                ids, limits = token_ids(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], path)
+                sizes: list[int] = []
+                crcs: list[int] = []
+                count = []
+                for at, to in zip(limits[:-1].tolist(), limits[1:].tolist()):
+                    data = ids[at:to].tobytes() + last
+                    n, x = to - at + 1, 0
+                    own = [capacity] * (n // capacity) + cuts[n % capacity]
+                    for size in own:
+                        crcs.append(zlib.crc32(data[x : x + 4 * size]))
+                        x += 4 * size
+                    sizes += own
+                    count.append(len(own))
+                length, number = np.array(sizes, np.int64), np.repeat(np.arange(b - a), count)
+                before = np.cumsum(length) - length
+                tokens = np.diff(limits) + 1
+                start = before - (limits[:-1] + np.arange(b - a))[number]
+                doc = batch.column(0).slice(a, b - a).take(pa.array(number))
+                columns = [doc, pa.array(start), pa.array(length), pa.array(np.array(crcs, np.int64)), pa.array(tokens[number])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
