@@ -3,11 +3,15 @@
 A neighbour graph is refined until it settles: start lists come from blocks of equal signs along
 random directions, then every round compares, at each node, the node's neighbours and reverse neighbours
 with each other (neighbours of neighbours) and keeps each one's best, until few list entries change.
-Lists are short (saturated ones longer), so they alone would lose links between dense groups: every block of
-a comparison therefore also gives a spanning forest of all its pairs at the threshold, and groups
-come from these ties.  An audit compares a bounded sample of vectors with all rows, in blocks; while it finds too
-many links outside the groups, by link or by vector, further rounds with fresh directions follow, and as
-the last step all rows of a label are compared, in pairs of blocks.
+There are as many directions as two vectors at the threshold need to meet in one block with a probability of
+``met``, so their number grows with the logarithm of a label's size.  Lists are short (saturated ones longer), so they
+alone would lose links between dense groups: every block of a comparison therefore also gives a
+spanning forest of all its pairs at the threshold, and groups come from these ties.
+
+An audit compares sampled vectors with all rows, in blocks, and goes on to larger samples until it has seen
+links of ``audit_vectors`` vectors, all rows, or ``most_sample`` vectors.  Labels in which too many links lie outside the groups, by link or by
+vector, get further rounds with fresh directions, and as the last step all their rows are compared, in pairs
+of blocks.  What the audit saw is logged and written to ``report``.
 
 Edges at the threshold give groups; inside each group links are confirmed and counted exactly in
 double precision, in blocks, so that the counts are whole however short the lists were.
@@ -15,6 +19,8 @@ double precision, in blocks, so that the counts are whole however short the list
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,35 +29,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, forget, group_bounds, grouped, in_blocks, lists, materialise, sized
+from .common import Forest, components, fixed_binary, forget, group_bounds, grouped, in_blocks, lists, materialise, sized
 
 #: Vectors of one start block, of one exact block, members compared at one node at once, and vectors of one block of the last step.
 START_BLOCK, EXACT_BLOCK, NODE_BLOCK, WHOLE_BLOCK = 192, 128, 128, 1024
 #: Signs along random directions that a start block can be told by.
 BITS = 40
+#: Sets of directions that are worked on at once.
+DIRECTIONS = 6
 #: The lists have settled when at most this share of their entries is new.
 SETTLED = 0.01
 #: Rows that a comparison gives: list entries, and ties (links that hold a group together, whatever the lists keep).
 _FOUND = "id long, nbr long, sim float, tie boolean"
 
 
+_LOG = logging.getLogger(__name__)
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, dim, unit vector in double) of the vectors that can have links."""
     for batch in batches:
-        ids, labels, dims, out = [], [], [], []
-        for i, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if v is None or label is None or i is None or not v or any(x is None for x in v):
-                continue
-            x = np.array(v, np.float64)
-            top = np.abs(x).max()
-            if not np.isfinite(top) or top == 0:
-                continue
-            x = x / top  # no overflow or underflow in the norm
-            ids.append(i)
-            labels.append(label)
-            dims.append(len(x))
-            out.append((x / np.linalg.norm(x)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "v"])
+        column = batch.column(2)
+        at = np.asarray(column.offsets).astype(np.int64)
+        values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
+        wrong = np.append(0, np.cumsum(~np.isfinite(values)))
+        size = np.diff(at)
+        fine = (size > 0) & (wrong[at[1:]] == wrong[at[:-1]])
+        for c in batch.columns:
+            fine &= c.is_valid().to_numpy(zero_copy_only=False)
+        for dim in np.unique(size[fine]).tolist():
+            rows = np.flatnonzero(fine & (size == dim))
+            x = values[at[rows][:, None] + np.arange(dim)]
+            top = np.abs(x).max(1)
+            rows, x = rows[top > 0], x[top > 0] / top[top > 0, None]  # no overflow or underflow in the norm
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            own = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(rows), dim, np.int32)), fixed_binary(x)], ["vec_id", "label", "dim", "v"])
 
 
 @lru_cache(64)
@@ -203,10 +216,23 @@ def _all_ties(level: float):
 class Graph:
     """Neighbour lists of reps (id, part, n, f), kept as a scratch table of edges, and the ties found so far."""
 
-    def __init__(self, reps: DataFrame, level: float, k: int, most: int) -> None:
-        self.reps, self.level, self.k, self.most, self.seed = reps, level, k, most, 0
+    def __init__(self, reps: DataFrame, level: float, k: int, most: int, met: float, fixed: int | None = None) -> None:
+        self.reps, self.level, self.k, self.most, self.met, self.fixed, self.seed = reps, level, k, most, met, fixed, 0
         self.edges: DataFrame | None = None
         self.ties: list[DataFrame] = []
+        self.sizes = materialise(reps.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        self.largest = self.sizes.agg(F.max("n")).first()[0] or 0
+        #: Chance that vectors at the level have equal signs along a direction.
+        self.same = 1 - math.acos(min(1.0, max(-1.0, level))) / math.pi
+
+    def _of(self, parts: list[int] | None) -> DataFrame:
+        return self.reps if parts is None else self.reps.where(F.col("part").isin(parts))
+
+    def directions(self, n: int) -> int:
+        """Sets of directions after which a pair at the level has met with probability met, in a part of n vectors."""
+        bits = max(0, math.ceil(math.log2(max(1, n) / START_BLOCK)))
+        together = self.same**bits
+        return 1 if together >= self.met else math.ceil(math.log(1 - self.met) / math.log1p(-together))
 
     def _keep(self, found: DataFrame) -> bool:
         """Takes in what a comparison found; whether the lists have settled."""
@@ -222,14 +248,19 @@ class Graph:
         total, new = after.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
         return new <= SETTLED * total
 
-    def start(self, directions: int) -> None:
-        """Best neighbours inside blocks of equal signs along fresh random directions."""
-        seeds = tuple(range(self.seed, self.seed + directions))
-        self.seed += directions
-        rows = materialise(self.reps.select("id", "part", "f").mapInArrow(_projected(seeds), "id long, part long, f binary, code array<long>"), "codes")
+    def start(self, parts: list[int] | None = None) -> None:
+        """Best neighbours inside blocks of equal signs along fresh random directions, of some parts or all."""
+        need = self.fixed or self.directions(self.largest)
+        while need > 0:
+            self._blocks(self._of(parts), tuple(range(self.seed, self.seed + min(need, DIRECTIONS))))
+            self.seed += min(need, DIRECTIONS)
+            need -= DIRECTIONS
+
+    def _blocks(self, reps: DataFrame, seeds: tuple[int, ...]) -> None:
+        rows = materialise(reps.select("id", "part", "f").mapInArrow(_projected(seeds), "id long, part long, f binary, code array<long>"), "codes")
         codes = rows
-        sizes = self.reps.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(sized(materialise(sizes, "sizes")), "part").select("id", "part", "f", "n", F.posexplode("code").alias("seed", "code"))
+        rows = rows.join(sized(self.sizes), "part").select("id", "part", "f", "n", F.posexplode("code").alias("seed", "code"))
+        rows = rows.where((F.col("seed") == 0) | (F.col("n") > START_BLOCK))  # a part of one block meets as a whole
         bits = lambda count, block: F.greatest(F.ceil(F.log2(F.col(count) / block)), F.lit(0))
         low = lambda n: F.pmod("code", F.pow(F.lit(2.0), F.least(n, F.lit(BITS))).cast("long"))
         rows = rows.withColumn("bits", bits("n", START_BLOCK)).withColumn("block", low(F.col("bits")))
@@ -260,10 +291,9 @@ class Graph:
         while not self.refine() or done + 1 < rounds:
             done += 1
 
-    def compare_all(self) -> None:
-        """The ties of all pairs of one part."""
-        sizes = materialise(self.reps.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        rows = in_blocks(self.reps.select("id", "part", "f").join(sized(sizes), "part"), "part", "n", "id", WHOLE_BLOCK)
+    def compare_all(self, parts: list[int] | None = None) -> None:
+        """The ties of all pairs of some parts, or all."""
+        rows = in_blocks(self._of(parts).select("id", "part", "f").join(sized(self.sizes), "part"), "part", "n", "id", WHOLE_BLOCK)
         rows = rows.select("part", "i", "j", "id", "f").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
         self.ties.append(materialise(rows.mapInArrow(_all_ties(self.level), _FOUND), "found").select("id", "nbr"))
 
@@ -278,34 +308,51 @@ class Graph:
         self.ties = [out.select("id", F.col("g").alias("nbr"))]
         return out
 
-    def audit(self, groups: DataFrame, sample: int) -> float:
-        """Of the links of sampled vectors to all rows, the share inside one group: of all links, or as mean over the vectors if less."""
+    def audit(self, groups: DataFrame, sample: int, most_sample: int, audit_vectors: int) -> list[dict]:
+        """Per part with links seen: part, links and inside (those inside one group) of sampled vectors to all rows, and share, inside / links or
+        its mean over the vectors if less.  The sample grows until audit_vectors of it have links, or it has most_sample vectors or all rows."""
         own = self.reps.join(groups, "id", "left").select("id", "part", F.coalesce("g", "id").alias("g"), "f")
-        chosen = own.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(sample).toPandas()
-        if not len(chosen):
-            return 1.0
-        by_dim = {}
-        for n, x in chosen.groupby(chosen["f"].map(len)):
-            by_dim[n] = (x["id"].to_numpy(), x["part"].to_numpy(), x["g"].to_numpy(), np.stack([np.frombuffer(v, np.float32) for v in x["f"]]))
-        level = self.level
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                i, p, g = (batch.column(c).to_numpy() for c in ("id", "part", "g"))
-                f = batch.column("f").to_pylist()
-                size = np.array([len(x) for x in f])
-                for n, (qi, qp, qg, q) in by_dim.items():
-                    at = np.flatnonzero(size == n)
-                    if len(at):
-                        m = np.frombuffer(b"".join(f[x] for x in at), np.float32).reshape(len(at), -1)
-                        hit = (m @ q.T >= level) & (p[at][:, None] == qp) & (i[at][:, None] != qi)
-                        links, inside = hit.sum(0), (hit & (g[at][:, None] == qg)).sum(0)
-                        some = links > 0
-                        yield pa.RecordBatch.from_arrays([pa.array(qi[some]), pa.array(links[some]), pa.array(inside[some])], ["q", "links", "inside"])
-
-        each = own.mapInArrow(run, "q long, links long, inside long").groupBy("q").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside"))
-        row = each.agg(F.sum("inside") / F.sum("links"), F.avg(F.col("inside") / F.col("links"))).first()
-        return 1.0 if row[0] is None else min(row)
+        total = self.reps.count()
+        while True:
+            chosen = own.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(min(sample, most_sample)).toPandas()
+            by_dim = {}
+            for n, x in chosen.groupby(chosen["f"].map(len)):
+                by_dim[n] = (x["id"].to_numpy(), x["part"].to_numpy(), x["g"].to_numpy(), np.stack([np.frombuffer(v, np.float32) for v in x["f"]]))
+            each = own.mapInArrow(_audited(by_dim, self.level), "q long, links long, inside long")
+            each = each.groupBy("q").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside")).toPandas()
+            if len(each) >= audit_vectors or sample >= min(most_sample, total):
+                break
+            sample *= 4
+        out = []
+        for part, x in each.merge(chosen[["id", "part"]], left_on="q", right_on="id").groupby("part"):
+            share = min(x["inside"].sum() / x["links"].sum(), (x["inside"] / x["links"]).mean())
+            out.append({"part": int(part), "sampled": len(chosen), "links": int(x["links"].sum()), "inside": int(x["inside"].sum()), "share": float(share)})
+        return out
+
+
+def _audited(by_dim: dict, level: float):
+    """Of all rows: how many are linked with each sampled vector, and how many of them share its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, p, g = (batch.column(c).to_numpy() for c in ("id", "part", "g"))
+            f = batch.column("f").to_pylist()
+            size = np.array([len(x) for x in f])
+            for n, (qi, qp, qg, q) in by_dim.items():
+                at = np.flatnonzero(size == n)
+                for some in np.array_split(at, max(1, len(at) * len(qi) // (1 << 22))):
+                    if not len(some):
+                        continue
+                    m = np.frombuffer(b"".join(f[x] for x in some), np.float32).reshape(len(some), -1)
+                    x, y = np.nonzero(m @ q.T >= level)
+                    real = (p[some[x]] == qp[y]) & (i[some[x]] != qi[y])
+                    x, y = x[real], y[real]
+                    links = np.bincount(y, minlength=len(qi))
+                    inside = np.bincount(y[g[some[x]] == qg[y]], minlength=len(qi))
+                    seen = links > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[seen]), pa.array(links[seen]), pa.array(inside[seen])], ["q", "links", "inside"])
+
+    return run
 
 
 def _exact(threshold: float):
@@ -349,27 +396,33 @@ def near_embeddings(
     threshold: float = 0.93,
     k: int = 8,
     most: int = 32,
-    directions: int = 4,
+    met: float = 0.99,
+    directions: int | None = None,
     rounds: int = 2,
     sample: int = 1024,
+    most_sample: int = 16_384,
+    audit_vectors: int = 100,
     recall: float = 0.995,
     extra_rounds: int = 4,
+    report: list[dict] | None = None,
 ) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
-    rounds: least number of rounds before the lists may count as settled; extra_rounds: times that fresh directions
-    are tried before all rows of a label are compared, when the audit's recall is missed.
+    met: chance to meet that sets the number of directions, unless directions gives it; rounds: least number of rounds before the lists may count as settled; extra_rounds: times that fresh directions
+    are tried before all rows of a label are compared, when the audit's recall is missed in it; report: a list that
+    takes what each audit saw.
 
     Vectors are compared only with equal, non-null labels (and equal length).  Equal directions count as
     copies of one vector from the start, so thousands of copies are one node.
 
     Defined cases: null, empty and zero vectors, and such with null or non-finite components, link with nothing and
-    are their own component; repeated rows of one vec_id are one vector in the counts and each
-    returned; a null vec_id has no links, a null component and is kept; other columns are ignored.
+    are their own component; repeated rows of one vec_id are one vector in the counts (the smallest, if they
+    differ) and each returned; a null vec_id has no links, a null component and is kept; other columns are ignored.
     """
     ids = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"))
     source = vectors.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{label_col}`").cast("string"), F.col(f"`{vector_col}`").cast("array<double>"))
-    unit = materialise(source.mapInArrow(_unit, "vec_id long, label string, dim int, v binary").dropDuplicates(["vec_id"]), "unit")
+    unit = materialise(source.mapInArrow(_unit, "vec_id long, label string, dim int, v binary"), "vectors")
+    unit = materialise(unit.groupBy("vec_id").agg(F.min(F.struct("label", "dim", "v")).alias("x")).select("vec_id", "x.*"), "unit")
     classes = unit.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,18 +433,23 @@ def near_embeddings(
     classes = classes.select("label", "dim", "v", "id", "copies", F.xxhash64("label", "dim").alias("part"))
     classes = materialise(classes.mapInArrow(single, "label string, dim int, v binary, id long, copies long, part long, f binary"), "classes")
 
-    graph = Graph(classes.select("id", "part", "f"), threshold - 1e-4, k, most)
-    graph.start(directions)
+    graph = Graph(classes.select("id", "part", "f"), threshold - 1e-4, k, most, met, directions)
+    graph.start()
     graph.settle(rounds)
     groups = graph.groups()
     for attempt in range(extra_rounds + 1):
-        if graph.audit(groups, sample) >= recall:
+        seen = graph.audit(groups, sample, most_sample, audit_vectors)
+        _LOG.info("audit %d: %s", attempt, seen)
+        if report is not None:
+            report.append({"attempt": attempt, "parts": seen})
+        short = [x["part"] for x in seen if x["share"] < recall]
+        if not short:
             break
         if attempt < extra_rounds:
-            graph.start(directions)
+            graph.start(short)
             graph.settle()
         else:
-            graph.compare_all()
+            graph.compare_all(short)
         groups = graph.groups()
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
