@@ -183,6 +183,14 @@ def grams(h: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: n - k + 1] + U(k))
 
 
+def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from start up to end."""
+    up, down = _GRAMS2.upto(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the limits of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,20 +1,27 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-Documents arrive in batches of rising doc_id.  A batch's fingerprints (winnowed hashes of short
-word runs: every window of ``window`` words holds one, and equal windows select the same)
-become one immutable run, each file sorted by fingerprint.  The run is merged with the older
-runs on the fingerprint; fingerprints of two or more documents, one of them new, name the
-stretches of text to look at.  There every whole window is hashed (96 bits) and verified: a window is
-removed if its word sequence also starts in a document with a smaller doc_id.  When there are
-more than ``max_runs`` runs they are compacted into one sorted run.
-
-Work follows the input: fingerprints are about 2 / (window - gram + 2) of the words, and whole windows are
-hashed in shared stretches only.  Nothing is gathered per fingerprint; first occurrences are partial
-aggregates, and the joins on hashes are plain equi-joins that adaptive execution can split.
+Every window of ``window`` words has an anchor, the least hash of its word runs of ``gram`` words, so equal windows
+have equal anchors.  Consecutive windows of a document with one anchor form an entry (fp, r): the anchor and the hash of all the
+words that they cover; about one word in 18 starts one.  Documents arrive in batches:
+
+1. A batch's entries are pre-aggregated to the first document of each (fp, r).
+2. This table is one immutable run of the index, bucketed and sorted by (fp, r), so the merge join with the older
+   runs, bucketed alike, shuffles no history.
+3. An entry that an earlier document (of history or of the batch) has too is removed whole: all its windows start there as well.
+4. Inside a longer repeat nearly all entries agree; at its ends they differ.  Where an anchor has several
+   different entries, one of them new, the windows of their first documents are hashed one by one (96 bits) and
+   verified: a window goes if an earlier document holds it.  No other document needs this, as all its windows are in the entry's first one.
+5. When there are more than ``max_runs`` runs they are compacted: merged into one, first documents only.
+
+An index that is kept also keeps its documents' texts, for step 4, so a later call gets new texts alone.
+
+Nothing is gathered per fingerprint.  Entries held by very many documents are joined through a broadcast table
+(at most HOT_SHARE of them can exist), the others by a plain equi-join.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,149 +29,236 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, U, blocks, grams, materialise, scratch_dir, signed, sized
+from .common import BROADCAST_ROWS, SPACED, U, Words, blocks, forget, grams, materialise, scratch_dir, signed, sized, stretches
 
 GRAM = 16
+#: Entries with more than this part of all rows count as hot, so there are at most so many.
+HOT_SHARE = 10_000
+_RUN = "fp BIGINT, r BIGINT, doc_id BIGINT, last BIGINT, `rows` BIGINT"
+#: Stands for every document of history: smaller than any doc_id.
+EARLIER = -(1 << 63)
 
 
-def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
-    """best (np.minimum or np.maximum) over each w consecutive elements; two running passes in all."""
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive elements; two running passes in all."""
     n = len(x)
     if n < w:
         return x[:0]
-    worst = U(0xFFFFFFFFFFFFFFFF) if best is np.minimum else U(0)
-    pad = np.concatenate([x, np.full(-n % w, worst, U)]).reshape(-1, w)
-    ahead = best.accumulate(pad, axis=1).reshape(-1)
-    behind = best.accumulate(pad[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return best(behind[: n - w + 1], ahead[w - 1 : n])
-
-
-def winnow(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, fingerprint) of the selected word runs; first: limits of the documents in words."""
-    g = grams(hashes, gram)
-    w = window - gram + 1
-    least = _sliding(g, w, np.minimum)
-    if not len(least):
-        return np.zeros(0, np.int64), g[:0]
-    size = np.diff(first)
-    ok = np.zeros(len(least) + 1, np.int64)  # windows that lie inside a document
-    long = size >= window
-    np.add.at(ok, np.minimum(first[:-1][long], len(least)), 1)
-    np.add.at(ok, np.minimum(first[1:][long] - window + 1, len(least)), -1)
-    least = np.where(np.cumsum(ok[:-1]) > 0, least, U(0))
-    # a run is selected if it is the least of some window: the largest least around it is its own hash
-    pad = np.concatenate([np.zeros(w - 1, U), least, np.zeros(w - 1, U)])
-    around = _sliding(pad, w, np.maximum)[: len(g)]
-    at = np.flatnonzero((around == g[: len(around)]) & (around > U(0)))
-    return at, g[at]
-
-
-def fingerprints(texts: DataFrame, window: int) -> DataFrame:
-    """(fp, doc_id, pos) of texts (doc_id, text)."""
+    pad = np.concatenate([x, np.full(-n % w, 0xFFFFFFFFFFFFFFFF, U)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(pad, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
+
+
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window start the anchor, and whether the window lies inside one document."""
+    gram = min(GRAM, window)
+    least = _least(grams(words.hash, gram), window - gram + 1)
+    end = np.repeat(words.first[1:], np.diff(words.first))[: len(least)]
+    return least, np.arange(len(least)) + window <= end
+
+
+def entries(texts: DataFrame, window: int) -> DataFrame:
+    """(fp, r, doc_id, start, n) of texts (doc_id, text): n windows from the start-th word on have the anchor fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, words in blocks(batch.column(1), SPACED, lower=False):
-                at, fp = winnow(words.hash, words.first, window, GRAM)
-                doc = np.searchsorted(words.first, at, "right") - 1
-                pos = at - words.first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), pa.array(ids[a + doc]), pa.array(pos.astype(np.int32))], ["fp", "doc_id", "pos"])
+                least, inside = anchors(words, window)
+                first, last = inside.copy(), inside.copy()
+                same = least[1:] == least[:-1]
+                first[1:] &= ~(inside[:-1] & same)
+                last[:-1] &= ~(inside[1:] & same)
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                doc = np.searchsorted(words.first, start, "right") - 1
+                r = stretches(words.hash, start, end + window - 1) if len(start) else np.zeros(0, U)
+                place = (start - words.first[doc]).astype(np.int32), (end - start).astype(np.int32)
+                columns = [pa.array(signed(least[start])), pa.array(signed(r)), pa.array(ids[a + doc]), *map(pa.array, place)]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "r", "doc_id", "start", "n"])
 
-    return texts.mapInArrow(run, "fp long, doc_id long, pos int")
+    return texts.mapInArrow(run, "fp long, r long, doc_id long, start int, n int")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id, pos) in a folder that all executors share."""
+    """Sorted immutable runs of (fp, r, doc_id, last, rows) in a folder that all executors share: first and last document with
+    the entry, and how often it occurs.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, runs: list[str] | None = None, max_runs: int = 4) -> None:
-        self.spark, self.folder = spark, folder or scratch_dir(spark)
-        self.runs, self.max_runs, self.made = list(runs or []), max_runs, 0
-
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("fp long, doc_id long, pos int").parquet(*paths)
+    folder: where the index lives; without one it is a scratch index for one call, which keeps no texts.
+    An index with a folder can be opened again by the same folder.
+    """
 
-    def _path(self) -> str:
+    def __init__(self, spark: SparkSession, folder: str | None = None, max_runs: int = 4) -> None:
+        self.spark, self.folder, self.kept, self.max_runs = spark, folder or scratch_dir(spark), folder is not None, max_runs
+        self.runs: list[str] = []
+        self.texts: list[DataFrame] = []
+        self.made = 0
+        if self.kept:
+            self._open()
+
+    def _open(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted((x.getPath().getName() for x in files.listStatus(path)), key=lambda x: int(x.split("-")[1])) if files.exists(path) else []
+        replaced = max((int(x.split("-")[1]) for x in names if x.startswith("merged-")), default=-1)
+        for name in names:
+            kind, number, buckets = name.split("-")
+            self.made = max(self.made, int(number) + 1)
+            if not files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")):
+                continue  # left by a lost call
+            if kind == "texts":
+                self.texts.append(self.spark.read.schema("doc_id long, text string").parquet(f"{self.folder}/{name}"))
+            elif int(number) >= replaced:
+                table = f"entries_{uuid.uuid4().hex}"
+                self.spark.sql(f"CREATE TABLE {table} ({_RUN}) USING parquet CLUSTERED BY (fp, r) SORTED BY (fp, r) INTO {buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+                self.runs.append(table)
+
+    def read(self, runs: list[str] | None = None) -> DataFrame:
+        """The rows of some runs, or all."""
+        out = None
+        for name in self.runs if runs is None else runs:
+            rows = self.spark.table(name)
+            out = rows if out is None else out.union(rows)
+        return out if out is not None else self.spark.createDataFrame([], _RUN)
+
+    def _write(self, rows: DataFrame, kind: str = "run") -> str:
+        """One run, of rows that a group-by (fp, r) has dealt out: as many buckets as shuffle partitions, so each is one file."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"entries_{uuid.uuid4().hex}"
+        writer = rows.write.mode("errorifexists").bucketBy(buckets, "fp", "r").sortBy("fp", "r").format("parquet")
+        writer.option("path", f"{self.folder}/{kind}-{self.made}-{buckets}").saveAsTable(table)
         self.made += 1
-        return f"{self.folder}/run-{len(self.runs)}-{self.made}"
-
-    def append(self, rows: DataFrame) -> str:
-        """Write one run: files sorted by fingerprint, never changed after."""
-        path = self._path()
-        rows.sortWithinPartitions("fp", "doc_id").write.mode("errorifexists").parquet(path)
-        self.runs.append(path)
-        return path
+        return table
+
+    def append(self, rows: DataFrame, texts: DataFrame) -> str:
+        """A new run; its documents' texts are kept too if the index is."""
+        if self.kept:
+            path = f"{self.folder}/texts-{self.made}-0"
+            texts.write.mode("errorifexists").parquet(path)
+            texts = self.spark.read.schema("doc_id long, text string").parquet(path)
+            self.made += 1
+        name = self._write(rows)
+        self.runs.append(name)
+        self.texts.append(texts)
+        return name
 
     def compact(self) -> None:
-        """Merge all runs into one, dealt out by fingerprint and sorted."""
+        """Merge all runs into one of first documents."""
         if len(self.runs) > 1:
-            path = self._path()
-            self.read(self.runs).distinct().repartition("fp").sortWithinPartitions("fp", "doc_id").write.mode("errorifexists").parquet(path)
-            self.runs = [path]
-
-    def shared(self, new: str) -> DataFrame:
-        """fp of two documents or more, at least one of them in the run new."""
-        old = [x for x in self.runs if x != new]
-        rows = self.read([new]).select("fp", "doc_id", F.lit(1).alias("new"))
-        if old:
-            rows = rows.union(self.read(old).select("fp", "doc_id", F.lit(0).alias("new")))
-        return rows.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("new").alias("new")).where("a < b and new = 1").select("fp")
+            rows = self.read().groupBy("fp", "r").agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.sum("rows").alias("rows"))
+            merged = self._write(rows, "merged")
+            self._drop(self.runs)
+            self.runs = [merged]
+
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
+            rows = self.spark.table(name)
+            forget(rows)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Forget the tables' names; files of a scratch index go too."""
+        for name in self.runs:
+            if not self.kept:
+                forget(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
 
 
 def _windows(window: int):
-    """Of (doc_id, text, pos): hash and start of every whole window over a shared run."""
-    reach = window - GRAM
+    """Of (doc_id, text, fps): hash and start of every window with one of these anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            held = batch.column(2)
+            wanted = batch.column(2).to_pylist()
             for a, b, words in blocks(batch.column(1), SPACED, lower=False):
-                part = held.slice(a, b - a)
-                count = np.asarray(part.value_lengths().fill_null(0))
-                pos = np.asarray(part.flatten()).astype(np.int64)
-                n = len(words.hash)
-                size = np.diff(words.first)
-                low = np.repeat(words.first[:-1], count)
-                high = np.repeat(words.first[:-1] + np.maximum(size - window + 1, 0), count)  # starts end before this
-                s, e = np.maximum(low + pos - reach, low), np.minimum(low + pos + 1, high)
-                fine = s < e
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, s[fine], 1)
-                np.add.at(edge, e[fine], -1)
-                start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                least, inside = anchors(words, window)
+                hit = np.zeros(len(least), bool)
+                for d in range(a, b):
+                    lo, hi = words.first[d - a], min(words.first[d - a + 1], len(least))
+                    if lo < hi:
+                        hit[lo:hi] = np.isin(signed(least[lo:hi]), wanted[d])
+                start = np.flatnonzero(hit & inside)
                 w, v = words.grams(window), words.grams(window, True)
                 doc = np.searchsorted(words.first, start, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(w[start]) if len(start) else np.zeros(0, np.int64)), pa.array((v[start] >> U(32)).astype(np.uint32).view(np.int32) if len(start) else np.zeros(0, np.int32)), pa.array(ids[a + doc]), pa.array((start - words.first[doc]).astype(np.int32))],
-                    ["w", "v", "doc_id", "s"],
-                )
+                if len(start):
+                    columns = [signed(w[start]), (v[start] >> U(32)).astype(np.uint32).view(np.int32), ids[a + doc], (start - words.first[doc]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["w", "v", "doc_id", "start"])
 
     return run
 
 
-def repeats(texts: DataFrame, index: FingerprintIndex, run: str, window: int, newer_than: int | None) -> DataFrame:
-    """(doc_id, spans) of the windows of the run's documents that a smaller doc_id holds: limits of their starts, alternating."""
-    shared = materialise(index.shared(run), "shared")
-    places = index.read(index.runs).join(shared, "fp").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    places = materialise(places, "places")
-    looked = texts.join(sized(places), "doc_id").select("doc_id", "text", "pos")
-    windows = looked.mapInArrow(_windows(window), "w long, v int, doc_id long, s int")
-    firsts = windows.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "v", "first")
-    firsts = materialise(firsts, "firsts")  # as a table of its own, so that the join can split a window that very many documents hold
-    mine = windows if newer_than is None else windows.where(F.col("doc_id") > newer_than)
-    starts = mine.join(firsts, ["w", "v"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
-    return starts.mapInArrow(_spans, "doc_id long, spans array<int>")
+def _places(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """The windows anchored at (fp, doc_id) of rows, from texts (doc_id, text)."""
+    wanted = materialise(rows.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "anchors")
+    size = wanted.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0]
+    looked = texts.join(sized(wanted, size), "doc_id").select("doc_id", "text", "fps")
+    return looked.mapInArrow(_windows(window), "w long, v int, doc_id long, start int")
+
+
+def _matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows (on, doc_id ...) with an earlier document by the table keys (on, first, rows): hot keys by broadcast, the others by a plain join."""
+    total = keys.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    limit = max(1000, total // HOT_SHARE)
+    hot = keys.where(F.col("rows") > limit).select(*on, F.col("first").alias("early"))
+    tagged = rows.join(F.broadcast(hot), on, "left")
+    cold = tagged.where("early is null").join(keys.where(F.col("rows") <= limit).select(*on, "first"), on).where("doc_id > first")
+    return tagged.where("doc_id > early").drop("early").unionByName(cold.drop("early", "first"))
+
+
+def repeats(texts: DataFrame, index: FingerprintIndex, window: int) -> DataFrame:
+    """Takes the batch texts (doc_id, text) into the index; (doc_id, spans) of its windows that an earlier document
+    holds: limits of their starts, alternating."""
+    older = list(index.texts)
+    each = materialise(entries(texts, window), "entries")
+    history = index.read().groupBy("fp", "r").agg(F.count(F.lit(1)).alias("runs"))
+    firsts = each.groupBy("fp", "r").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    old = index.read().select("fp", "doc_id")
+    new = index.spark.table(index.append(firsts, texts))
+
+    known = new.join(history, ["fp", "r"], "left").withColumn("first", F.when(F.col("runs").isNull(), F.col("doc_id")).otherwise(F.lit(EARLIER)))
+    keys = materialise(known.where("first < last").select("fp", "r", "first", "rows"), "keys")
+    whole = _matched(each, keys, ["fp", "r"]).select("doc_id", "start", "n")
+
+    # anchors of several different entries, one of them new
+    fresh = materialise(new.join(history, ["fp", "r"], "left_anti").select("fp", "doc_id"), "fresh")
+    n = fresh.count()
+    near = old.join(F.broadcast(fresh.select("fp").distinct()), "fp", "left_semi") if n <= BROADCAST_ROWS else old
+    seen = fresh.select("fp", F.lit(1).alias("new")).union(near.select("fp", F.lit(0)))
+    doubt = seen.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("new").alias("new")).where("c > 1 and new = 1").select("fp")
+    doubt = sized(materialise(doubt, "doubt"))
+    places = _places(fresh.join(doubt, "fp"), texts, window)
+    if older:
+        before = older[0]
+        for x in older[1:]:
+            before = before.union(x)
+        held = _places(old.join(doubt, "fp"), before, window)
+        places = places.union(held.withColumn("doc_id", F.lit(EARLIER)))
+    places = materialise(places, "windows")
+    single = places.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    single = materialise(single.where("first < last").select("w", "v", "first", "rows"), "firsts")
+    part = _matched(places, single, ["w", "v"]).select("doc_id", "start", F.lit(1).alias("n"))
+
+    spans = whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc_id", "x.start", "x.n")
+    out = materialise(spans.mapInArrow(_spans, "doc_id long, spans array<int>"), "repeats")
+    for done in (each, keys, fresh, places, single):
+        forget(done)
+    return out
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of starts as runs: first, last + 1, first, last + 1 ..."""
+    """Stretches of starts as disjoint ones: first, last + 1, first, last + 1 ..."""
     for batch in batches:
+        at, start, n = np.asarray(batch.column(1).offsets), np.asarray(batch.column(1).flatten()), np.asarray(batch.column(2).flatten())
+        at = at - at[0]
         out = []
-        for x in batch.column(1).to_pylist():
-            s = np.sort(np.array(x, np.int32))
-            cut = np.flatnonzero(np.diff(s) > 1)
-            out.append(np.stack([s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)] + 1], 1).reshape(-1))
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            order = np.argsort(start[lo:hi], kind="stable")
+            s = start[lo:hi][order]
+            e = np.maximum.accumulate((s + n[lo:hi][order]))
+            cut = np.flatnonzero(s[1:] > e[:-1])
+            out.append(np.stack([s[np.append(0, cut + 1)], e[np.append(cut, len(s) - 1)]], 1).reshape(-1).astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "spans"])
 
 
@@ -196,7 +290,8 @@ def dedup_substrings(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 50,
-    batches: int = 2,
+    batches: int = 3,
+    max_runs: int = 1,
     index: FingerprintIndex | None = None,
 ) -> DataFrame:
     """docs with the kept words joined by one space as text, and n_words (before) and n_removed.
@@ -205,37 +300,39 @@ def dedup_substrings(
     window whose word sequence also starts in a document with a smaller doc_id; windows are judged
     on the input.
 
-    index: given runs are history; then docs must have larger doc_ids than its documents, whose
-    texts must be part of docs too if their windows are to be verified.
+    index: history; every document in it counts as earlier than those of docs, whatever its id, and a document that is sent
+    again repeats itself.  It takes in docs, so the next call needs new documents only.  Without one a scratch index serves
+    the batches (of rising doc_id) of this call, with max_runs as its bound.
 
     Defined cases: null texts become empty; texts shorter than the window stay; rows with a null
     doc_id are neither indexed nor changed; repeated rows of one doc_id do not count against each
-    other (doc_id is the key of the text); own columns n_words and n_removed of docs are replaced.
+    other (doc_id is the key of the text); own columns named n_words and n_removed, in any case, are replaced.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    index = index or FingerprintIndex(spark)
+    own = index is None
+    index = FingerprintIndex(spark, max_runs=max_runs) if own else index
     cuts = sorted(set(texts.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     limits = [None, *[int(x) for x in cuts], None]
-    found: list[DataFrame] = []
+    starts = None
     for low, high in zip(limits[:-1], limits[1:]):
         batch = texts
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        run = index.append(fingerprints(batch, window))
-        found.append(materialise(repeats(texts, index, run, window, low), "repeats"))
-        if len(index.runs) > index.max_runs:
+        found = repeats(batch, index, window)
+        starts = found if starts is None else starts.unionByName(found)
+        if len(index.runs) > index.max_runs and not (own and high is None):
             index.compact()
-    starts = found[0]
-    for x in found[1:]:
-        starts = starts.unionByName(x)
+    if own:
+        index.close()
     total = starts.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    starts = starts.select(F.col("doc_id").alias("_doc"), "spans")
+    doc, spans = f"doc_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"
+    starts = starts.select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
 
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    joined = joined.join(sized(starts, total // 2, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = joined.join(sized(starts, total, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col(doc), "left").drop(doc)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(columns)])
     return joined.mapInArrow(_rest(columns, columns.index(text_col), window), f"{fields}, n_words long, n_removed long")

@@ -363,31 +363,3 @@ def test_substrings(docs, rows, empty, batches):
     got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     assert found(got, *got.columns) == brute.substrings(rows)
     assert substring_index.dedup_substrings(empty, batches=batches).count() == 0
-
-
-def test_substring_index_grows_and_compacts(spark):
-    """Later calls find what earlier ones indexed, before and after compaction."""
-    rng = random.Random(8)
-    texts = [(i, " ".join(words(rng, 120, 10**6))) for i in range(12)]
-    texts += [(20 + i, texts[i][1][50:] + " tail") for i in range(12)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    index = substring_index.FingerprintIndex(spark, max_runs=2)
-    for low, high in ((0, 8), (8, 12)):
-        substring_index.dedup_substrings(frame.where(f"doc_id >= {low} and doc_id < {high}"), batches=2, index=index).count()
-    assert len(index.runs) <= 2
-    run = index.append(substring_index.fingerprints(frame.where("doc_id >= 20"), 50))
-    got = {r.doc_id for r in substring_index.repeats(frame, index, run, 50, 19).collect()}
-    assert got == set(range(20, 32))
-
-
-def test_winnowing_guarantee():
-    """Equal windows select the same run, wherever they stand."""
-    rng = np.random.default_rng(5)
-    passage = rng.integers(0, 2**63, 50, dtype=np.uint64)
-    chosen = []
-    for _ in range(20):
-        a, b = rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64), rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)
-        h = np.concatenate([a, passage, b])
-        at, fp = substring_index.winnow(h, np.array([0, len(h)]), 50, substring_index.GRAM)
-        chosen.append({int(f) for p, f in zip(at, fp) if len(a) <= p <= len(a) + 50 - substring_index.GRAM})
-    assert set.intersection(*chosen)
