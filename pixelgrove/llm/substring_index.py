@@ -15,14 +15,15 @@ words that they cover; about one word in 18 starts one.  Documents arrive in bat
 
 An index that is kept also keeps its documents' texts, for step 4, so a later call gets new texts alone.
 
-Nothing is gathered per fingerprint.  Entries held by very many documents are joined through a broadcast table
-(at most HOT_SHARE of them can exist), the others by a plain equi-join.
+Nothing is gathered per fingerprint.  Hashes held by very many documents (fewer than HOT_SHARE can exist) are looked up where
+the rows are, the others by a plain equi-join.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,14 +198,41 @@ def _places(rows: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     return looked.mapInArrow(_windows(window), "w long, v int, doc_id long, start int")
 
 
-def _matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """rows (on, doc_id ...) with an earlier document by the table keys (on, first, rows): hot keys by broadcast, the others by a plain join."""
+def _hot(keys: list) -> Callable:
+    """Of rows (two hashes, doc_id, start, n): those that hot keys (two hashes, first) give an earlier document, neighbours joined."""
+    one, two, first = (np.array([k[c] for k in keys], np.int64) for c in range(3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, doc, start, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            at = np.minimum(np.searchsorted(one, x), len(one) - 1)
+            hit = (one[at] == x) & (two[at] == y) & (doc > first[at])
+            doc, start, end = doc[hit], start[hit], (start + n)[hit]
+            if len(doc):
+                new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != end[:-1]))
+                last = np.append(new[1:], True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new].astype(np.int32)), pa.array((end[last] - start[new]).astype(np.int32))], ["doc_id", "start", "n"])
+
+    return run
+
+
+def _matched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, start, n) of the rows (two hashes, doc_id, start, n) with an earlier document by the table keys (two hashes, first, rows).
+
+    Hot keys, fewer than HOT_SHARE, are looked up where the rows are; the others, with few rows each, by a plain join.
+    """
+    on = keys.columns[:2]
     total = keys.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    limit = max(1000, total // HOT_SHARE)
-    hot = keys.where(F.col("rows") > limit).select(*on, F.col("first").alias("early"))
-    tagged = rows.join(F.broadcast(hot), on, "left")
-    cold = tagged.where("early is null").join(keys.where(F.col("rows") <= limit).select(*on, "first"), on).where("doc_id > first")
-    return tagged.where("doc_id > early").drop("early").unionByName(cold.drop("early", "first"))
+    hot = keys.where(F.col("rows") > max(1000, total // HOT_SHARE)).orderBy(*on).collect()
+    same = Counter(k[0] for k in hot)
+    hot = [k for k in hot if same[k[0]] == 1]
+    rows = rows.select(*on, "doc_id", "start", "n")
+    cold = rows
+    if hot:
+        table = F.broadcast(rows.sparkSession.createDataFrame([tuple(k[:2]) for k in hot], keys.select(*on).schema))
+        cold, keys = rows.join(table, on, "left_anti"), keys.join(table, on, "left_anti")
+    out = cold.join(keys.select(*on, "first"), on).where("doc_id > first").select("doc_id", "start", "n")
+    return out.union(rows.mapInArrow(_hot(hot), "doc_id long, start int, n int")) if hot else out
 
 
 def repeats(texts: DataFrame, index: FingerprintIndex, window: int) -> DataFrame:
@@ -219,7 +247,7 @@ def repeats(texts: DataFrame, index: FingerprintIndex, window: int) -> DataFrame
 
     known = new.join(history, ["fp", "r"], "left").withColumn("first", F.when(F.col("runs").isNull(), F.col("doc_id")).otherwise(F.lit(EARLIER)))
     keys = materialise(known.where("first < last").select("fp", "r", "first", "rows"), "keys")
-    whole = _matched(each, keys, ["fp", "r"]).select("doc_id", "start", "n")
+    whole = _matched(each, keys)
 
     # anchors of several different entries, one of them new
     fresh = materialise(new.join(history, ["fp", "r"], "left_anti").select("fp", "doc_id"), "fresh")
@@ -238,7 +266,7 @@ def repeats(texts: DataFrame, index: FingerprintIndex, window: int) -> DataFrame
     places = materialise(places, "windows")
     single = places.groupBy("w", "v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
     single = materialise(single.where("first < last").select("w", "v", "first", "rows"), "firsts")
-    part = _matched(places, single, ["w", "v"]).select("doc_id", "start", F.lit(1).alias("n"))
+    part = _matched(places.withColumn("n", F.lit(1)), single)
 
     spans = whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("doc_id", "x.start", "x.n")
     out = materialise(spans.mapInArrow(_spans, "doc_id long, spans array<int>"), "repeats")
