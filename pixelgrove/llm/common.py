@@ -44,9 +44,11 @@ _INV_MAX = (1 << 64) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (local tests) a temporary one."""
+    """A new folder below spark.checkpoint.dir; where that is unset a temporary one with a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -74,6 +76,17 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS
     return F.broadcast(small) if n <= limit else small
 
 
+def own_name(stem: str) -> str:
+    """A column name that no table of a user has."""
+    return f"{stem}_{uuid.uuid4().hex}"
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids, which may hold no null."""
+    name = own_name("gone")
+    return docs.join(sized(ids.toDF(name)), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+
+
 # ---------------------------------------------------------------- hashing of words
 
 

@@ -41,10 +41,15 @@ def train(
     known = known.where("lang is not null and text is not null and id is not null")
     if rows is not None:
         known = known.where(rows)
-    hashed = known.select("lang", F.substring("text", 1, text_bytes).alias("text"), F.xxhash64("id").alias("h"))
+    # a stretch of each text, chosen by hash
+    start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.char_length("text") - text_bytes + 1, F.lit(1))).cast("int")
+    hashed = known.select("lang", F.substring("text", start + 1, F.lit(text_bytes)).alias("text"), F.xxhash64("id").alias("h"))
     slots = hashed.groupBy("lang", F.pmod("h", F.lit(texts)).alias("slot")).agg(F.min_by("text", F.struct("h", "text")).alias("text"))
     out: dict[str, list[tuple[int, bytes]]] = {}
-    for row in slots.limit(texts * max_languages).toLocalIterator():
+    languages = known.select("lang").distinct().count()
+    if languages > max_languages:
+        raise ValueError(f"{languages} languages, but max_languages is {max_languages}")
+    for row in slots.toLocalIterator():
         out.setdefault(row["lang"], []).append((row["slot"], row["text"].encode().lower()))
     return {lang: b"\n".join(t for _, t in sorted(own)) for lang, own in sorted(out.items())}
 

@@ -6,12 +6,13 @@ corpus hold them, rarest first:
 
 * prefix filter: with t tokens and o = ceil(share * t / 100) needed ones, a match holds one of the
   t - o + 1 rarest tokens of the template,
-* length filter: a block needs at least o distinct tokens,
-* positional filter: if the first common prefix token is the template's p-th (from 0), at most
-  t - p tokens can be common, which must reach o.
+* length filter: a block needs at least o of the templates' tokens,
+* positional filter: if the first common token is the template's p-th (from 0) and the block's q-th, at most
+  min(t - p, b - q) tokens can be common, which must reach o; b is the number of template tokens in the block.
 
 Only the templates' tokens are counted (their number is that of the fixed templates), so the order
-is a bounded table.  Surviving candidates are verified by intersection.
+is a bounded table; other tokens of a block cannot be common and have no place in it.  Only a block's prefix of b - o + 1 tokens,
+with the least o, is exploded.  Surviving candidates are verified by intersection.
 
 Beside the join, four fixed phrases are located word by word (the base labels).
 """
@@ -110,10 +111,12 @@ def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int)
     least = min(r[5] for r in rows)
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line"))
     lines = lines.where(F.col("line").rlike(rf"(?i)(?<!{_WORD})(?:{'|'.join(sorted(rare))})(?!{_WORD})"))
-    lines = lines.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= least)
-    lines = lines.withColumn("block", F.xxhash64("doc_id", "line"))
-    hits = lines.select("doc_id", "block", "tokens", F.explode(F.array_intersect("tokens", F.array(*[F.lit(x) for x in sorted(rare)]))).alias("token")).join(F.broadcast(prefixes), "token")
-    hits = hits.where((F.size("tokens") >= F.col("need")) & (F.size("own") - F.col("p") >= F.col("need")))
+    ranked = sorted({t for _, _, own in _template_rows() for t in own}, key=lambda t: (order.get(t, 0), t))
+    # the block's template tokens in the global order
+    lines = lines.withColumn("tokens", F.array_intersect(F.array(*[F.lit(x) for x in ranked]), _tokens(F.col("line")))).where(F.size("tokens") >= least)
+    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)
+    hits = lines.select("doc_id", "tokens", F.posexplode(prefix).alias("q", "token")).join(F.broadcast(prefixes), "token")
+    hits = hits.where(F.least(F.size("own") - F.col("p"), F.size("tokens") - F.col("q")) >= F.col("need"))
     common = F.size(F.array_intersect("tokens", "own"))
     hits = hits.withColumn("common", common).where("common >= need")
     return hits.groupBy("doc_id", "label").agg(F.max(F.col("common") / F.size("own")).alias("containment"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U, group_bounds, grouped, materialise, mix, sized
+from .common import BROADCAST_ROWS, U, group_bounds, grouped, materialise, own_name, mix, sized
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SLICE_BITS = 16
@@ -132,8 +132,9 @@ def dedup_lines(
     documents: int = 5,
     log_bits: int = 28,
     hashes: int = 2,
+    counts: bool = True,
 ) -> DataFrame:
-    """docs with the text rewritten, and n_lines (before) and n_dropped.
+    """docs with the text rewritten, and, with counts, n_lines (before) and n_dropped.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased.  Keys of at
     least ``least`` code points in at least ``documents`` documents stay only in the largest
@@ -141,7 +142,7 @@ def dedup_lines(
 
     Defined cases: a null text counts as empty and becomes empty, one empty line; repeated rows
     (same doc_id) count as one document and are each rewritten; rows with a null doc_id keep all their
-    lines and count for nothing; own columns n_lines and n_dropped of docs are replaced.
+    lines and count for nothing; own columns n_lines and n_dropped of docs, in any case, are replaced by the counts.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -151,14 +152,15 @@ def dedup_lines(
     often = found.distinct().groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= documents).drop("n")
     often = materialise(often, "often")
     drops = found.distinct().join(sized(often), ["h", "l"]).where("doc_id <> keep")
-    drops = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h", "l")).alias("_drop"), F.count(F.lit(1)).alias("_n"))
+    drops = drops.groupBy("doc_id").agg(F.collect_list(F.struct("h", "l")).alias("lines"), F.count(F.lit(1)).alias("n"))
     drops = materialise(drops, "drops")
-    pairs = drops.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    drops = drops.select(F.col("doc_id").alias("_doc"), "_drop")
+    pairs = drops.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    doc, lines_ = own_name("doc"), own_name("lines")
+    drops = drops.select(F.col("doc_id").alias(doc), F.col("lines").alias(lines_))
 
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(text_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    joined = joined.join(sized(drops, pairs, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = joined.join(sized(drops, pairs, BROADCAST_ROWS), F.col(f"`{id_col}`").cast("long") == F.col(doc), "left").drop(doc)
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +176,8 @@ def dedup_lines(
                 gone.append(lines[-1] - len(each))
                 out.append(b"\n".join(each) if gone[-1] else text)
             made = pa.array(out, pa.binary()).cast(batch.schema.field(at).type)
-            arrays = [*batch.columns[:at], made, *batch.columns[at + 1 : len(columns)], pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "n_lines", "n_dropped"])
+            more = [pa.array(lines, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 : len(columns)], *more], columns + ["n_lines", "n_dropped"][: len(more)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[: len(columns)])
-    return joined.mapInArrow(run, f"{fields}, n_lines long, n_dropped long")
+    return joined.mapInArrow(run, f"{fields}, n_lines long, n_dropped long" if counts else fields)

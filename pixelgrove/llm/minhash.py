@@ -47,6 +47,7 @@ from .common import (
     mix,
     signed,
     sized,
+    without,
 )
 
 #: Signatures that one task compares with each other at once, and texts in the exact stage.
@@ -177,8 +178,11 @@ def _exact_edges(width: int, share: int):
             sets = list(shingle_sets(table.column("text").combine_chunks(), width))
             a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                n = hi - lo
-                own = sets[lo:hi]
+                full = [x for x in range(lo, hi) if len(sets[x])]  # a repeated id may also have an empty text
+                n = len(full)
+                if n < 2:
+                    continue
+                own, names = [sets[x] for x in full], ids[full]
                 size = np.array([len(x) for x in own])
                 vocabulary, local = np.unique(np.concatenate(own), return_inverse=True)
                 start = np.append(0, np.cumsum(size))
@@ -192,8 +196,8 @@ def _exact_edges(width: int, share: int):
                     union = size[x] + size[x + 1 :] - both
                     for y in np.flatnonzero(100 * both >= share * union).tolist():
                         if forest.join(x, x + 1 + y):
-                            a.append(ids[lo + x])
-                            b.append(ids[lo + x + 1 + y])
+                            a.append(names[x])
+                            b.append(names[x + 1 + y])
                             left -= 1
                     if not left:
                         break
@@ -252,5 +256,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the rows that near_duplicates does not keep; columns stay.  A doc_id that is
     kept keeps all its rows."""
-    gone = materialise(near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select("doc_id").distinct()
+    return without(docs, id_col, materialise(gone, "gone"))

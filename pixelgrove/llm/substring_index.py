@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, U, Words, blocks, forget, grams, materialise, scratch_dir, signed, sized, stretches
+from .common import BROADCAST_ROWS, SPACED, U, Words, blocks, forget, grams, materialise, own_name, scratch_dir, signed, sized, stretches
 
 GRAM = 16
 #: Entries with more than this part of all rows count as hot, so there are at most so many.
@@ -356,7 +356,7 @@ def dedup_substrings(
     if own:
         index.close()
     total = starts.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    doc, spans = f"doc_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"
+    doc, spans = own_name("doc"), own_name("spans")
     starts = starts.select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
 
     columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]

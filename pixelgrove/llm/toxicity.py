@@ -169,7 +169,9 @@ def train(
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), id_col)
     texts = materialise(texts.select(F.col(id_col).cast("long").alias("doc_id"), "toxic", "text"), "texts")
     # copies are one observation, else a copied toxic text would make all its words telling
-    texts = texts.mapInArrow(_with_marks, "doc_id long, toxic int, text string, a long, b long").dropDuplicates(["a", "toxic"]).dropDuplicates(["b", "toxic"])
+    texts = texts.mapInArrow(_with_marks, "doc_id long, toxic int, text string, a long, b long")
+    for mark in ("a", "b"):
+        texts = texts.groupBy(mark, "toxic").agg(F.min(F.struct("doc_id", "text", "a", "b")).alias("x")).select("toxic", "x.*")
     texts = materialise(texts.select("doc_id", "toxic", "text"), "observations")
     toxic, total = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     empty = Model(np.zeros(0, U), np.zeros(0), -6.0)
@@ -191,6 +193,7 @@ def train(
     code = ranked["code"].to_numpy().view(U)[order].copy()
     model = Model(code, np.zeros(len(code)), -6.0)
     told = texts.mapInArrow(_sentence_features(model), "doc_id long, toxic int, sentences long, sentence array<long>, feature array<long>").toPandas()
+    told = told.sort_values("doc_id", kind="stable", ignore_index=True)  # sums in one order, however the rows were dealt
     label = told["toxic"].to_numpy()
     size = told["feature"].map(len).to_numpy()
     owner = np.repeat(np.arange(len(told)), size)

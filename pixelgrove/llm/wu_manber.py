@@ -18,19 +18,21 @@ so no pass ships more than the bound.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PLAIN, U, Words, blocks, lists, materialise, mix, sized
+from .common import PLAIN, U, Words, blocks, lists, materialise, mix, without
 
 #: Words of a segment: the stretch of ends that one cursor covers.
 SEGMENT = 192
 _TABLE_BITS = 20
+_ITEM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def _pair(h: np.ndarray) -> np.ndarray:
@@ -103,17 +105,17 @@ class Scanner:
         return out
 
 
-def patterns_of(items: list[tuple[int, bytes]], window: int) -> dict[int, dict[bytes, list[int]]]:
-    """By length: pattern -> numbers of the items that hold it.  items: (number, utf-8 text)."""
+def patterns_of(items: list[tuple], window: int) -> dict[int, dict[bytes, list[int]]]:
+    """By length: pattern -> numbers of the items that hold it.  items: (number, utf-8 text), and the first and last + 1 of its windows if not all."""
     out: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for number, text in items:
+    for number, text, *part in items:
         buf = np.frombuffer(text.lower(), np.uint8)
         words = Words(buf, np.array([0, len(buf)]), PLAIN)
         each = [buf[a:b].tobytes() for a, b in zip(words.start, words.end)]
         if not each:
             continue
         m = min(window, len(each))
-        for i in range(len(each) - m + 1):
+        for i in range(*(part or (0, len(each) - m + 1))):
             out[m][b" ".join(each[i : i + m])].append(number)
     return {m: dict(x) for m, x in out.items()}
 
@@ -174,23 +176,27 @@ def contamination(
     lines = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     passes: list[DataFrame] = []
     schema = "doc_id long, text_key long, n_words long, n_hit long, spans array<long>, items array<long>"
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple] = []
     size = 0
 
     def flush() -> None:
         nonlocal held, size
-        ids = [x for x, _ in held]
-        scanners = [Scanner(m, x) for m, x in sorted(patterns_of([(n, t) for n, (_, t) in enumerate(held)], window).items())]
+        ids = [x[0] for x in held]
+        scanners = [Scanner(m, x) for m, x in sorted(patterns_of([(n, *x[1:]) for n, x in enumerate(held)], window).items())]
         passes.append(source.mapInArrow(_scan(scanners, ids), schema))
         held, size = [], 0
 
-    # the benchmark streams through the driver slice by slice; a slice never exceeds the bound
+    # the benchmark streams through the driver slice by slice; a slice never exceeds the bound, not even within a long item
     for row in lines.toLocalIterator():
         text = row["text"].encode()
-        held.append((row["item_id"], text))
-        size += len(text.split())
-        if size > patterns_per_pass:
-            flush()
+        n = len(_ITEM_WORD.findall(text))
+        windows, at = (max(1, n - window + 1) if n else 0), 0
+        while at < windows:
+            to = min(windows, at + patterns_per_pass - size)
+            held.append((row["item_id"], text, at, to))
+            size, at = size + to - at, to
+            if size >= patterns_per_pass:
+                flush()
     if held or not passes:
         flush()
     if len(passes) == 1:
@@ -210,19 +216,20 @@ def _united(every: DataFrame) -> DataFrame:
         .groupBy("doc_id", "text_key", "_r")
         .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     )
-    united = F.udf(_union, "array<long>")("s")
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return merged.withColumn("spans", united).select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
+    return merged.withColumn("spans", _union("s")).select("doc_id", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
-def _union(limits: list[int]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(zip(limits[::2], limits[1::2])):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+def _union(limits: str) -> Column:
+    """Alternating limits of spans, as those of disjoint ones in order."""
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(limits) / 2).cast("int") - 1), lambda i: F.struct(F.get(limits, (2 * i).cast("int")).alias("a"), F.get(limits, (2 * i + 1).cast("int")).alias("b")))
+    none = F.array().cast("array<long>")
+
+    def add(out: Column, x: Column) -> Column:
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), x["b"])))
+        return F.when((F.size(out) > 0) & (x["a"] <= F.get(out, F.size(out) - 1)), longer).otherwise(F.concat(out, F.array(x["a"], x["b"])))
+
+    return F.when(F.size(limits) == 0, none).otherwise(F.aggregate(F.array_sort(pairs), none, add))
 
 
 def items_digest(items: str = "items"):
@@ -233,5 +240,5 @@ def items_digest(items: str = "items"):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the rows in which a benchmark window occurs; columns stay."""
     marked = contamination(docs, benchmark, id_col=id_col, **how)
-    gone = materialise(marked.where("n_hit > 0").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(sized(gone), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = marked.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
+    return without(docs, id_col, materialise(gone, "contaminated"))
