@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each reads what the one before it wrote as Parquet."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote as Parquet.
+
+Cases that all stages share: an empty table gives an empty one; columns beside doc_id and text pass through, whatever their
+names (packing gives its own); rows that repeat, or share a doc_id, are each kept or dropped with their doc_id.
+"""
 
 from __future__ import annotations
 
@@ -11,32 +15,41 @@ from pixelgrove.llm.common import scratch_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.3; the model learns from the labels that op5 learns from."""
+    """Documents that score under 0.3; the model learns from the labels that op5 learns from.
+
+    A null or empty text scores 0 and stays, as does a null doc_id with a clean text; without labels of both kinds all stay.
+    """
     usable = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rows=usable)
     return toxicity.keep_clean(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated lines left in the largest doc_id only; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
+    """Documents with repeated lines left in the largest doc_id only; n_chars follows the text.
+
+    A null text becomes empty; a row with a null doc_id keeps its lines.
+    """
+    out = line_dedup.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words are near nothing and stay, as do rows with a null doc_id.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
+    """Documents without any benchmark window; texts without words and rows with a null doc_id stay."""
     return wu_manber.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    """Pieces of the remaining documents in sequences of at most 2048 tokens; a text without words is its end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
