@@ -292,7 +292,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(columns: list[str], at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             n, gone, out = [], [], []
             for text, spans in zip(texts, batch.column(len(columns)).to_pylist()):
