@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000, cut_every: int = 3) -> DataFrame:
+def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000) -> DataFrame:
     """(source, target, depth) of all paths from start ids to target ids along the edges.
 
     A start that is a target matches at depth 0.  end_at_match prunes branches at a match; a stop id ends
-    its branch.  One row per path.  Level by level: one join of the frontier with the edges; lineage is cut every few levels in the shared checkpoint folder.
+    its branch.  One row per path.  Level by level: one join of the frontier with the edges, written once to the shared folder.
+    After max_levels, as with a cycle that never ends, it raises an error.
     """
     spark = edges.sparkSession
     a, b = ("predecessor", "successor") if forward else ("successor", "predecessor")
@@ -30,22 +33,23 @@ def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFram
         if ends is not None:
             live = live.join(ends, F.col("at") == F.col("_stop"), "left_anti")
         frontier = live.join(step, F.col("at") == F.col("_from")).select("source", F.col("_to").alias("at"))
-        if depth % cut_every == cut_every - 1:
-            frontier = checkpointed(frontier)
-            found = checkpointed(found)
+        frontier = written(frontier)
         if frontier.isEmpty():
-            break
-    return found if found is not None else spark.createDataFrame([], "source long, target long, depth int")
+            return found
+    raise ValueError(f"paths of over {max_levels} levels; do the edges hold a cycle?")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+def written(df: DataFrame) -> DataFrame:
+    """df through a table in the folder of spark.checkpoint.dir; where that is unset, a temporary one with a local master."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def closure_sql(spark, edges: DataFrame, start: DataFrame, max_levels: int = 1000) -> DataFrame:
@@ -69,6 +73,42 @@ def closest_metric(edges: DataFrame, modules: DataFrame, metric_nodes: DataFrame
     return near.join(parameters, "source") if parameters is not None else near
 
 
+def per_module(modules: Sequence[str], given: Sequence | None, name: str) -> list:
+    """One setting per module: a single one, or none, holds for all."""
+    given = [None] if given is None else list(given)
+    if len(given) not in (1, len(modules)):
+        raise ValueError(f"{name}: one value, or one for each of the {len(modules)} modules")
+    return given * len(modules) if len(given) == 1 else given
+
+
+def module_metrics(
+    nodes: DataFrame,
+    edges: DataFrame,
+    metric: DataFrame,
+    modules: Sequence[str],
+    experiments: Sequence[str | None] | None = None,
+    filters: Sequence[Mapping | None] | None = None,
+    kind: str = "type",
+    experiment: str = "experiment",
+) -> DataFrame:
+    """(module, source, target, value): the closest metrics of several modules, each with its own experiment and filter.
+
+    nodes: node, kind, experiment and configuration columns; metric: node, value; filters: column -> wanted value (null-safe).
+    One search serves all modules.
+    """
+    if len(modules) < 2:
+        raise ValueError("a comparison needs two modules or more")
+    chosen = None
+    for name, ex, wanted in zip(modules, per_module(modules, experiments, "experiments"), per_module(modules, filters, "filters")):
+        part = nodes.where(F.col(kind) == name)
+        for column, value in {**({experiment: ex} if ex is not None else {}), **(wanted or {})}.items():
+            part = part.where(F.col(column).eqNullSafe(F.lit(value)))
+        part = part.select(F.lit(name).alias("module"), F.col("node").alias("source"))
+        chosen = part if chosen is None else chosen.union(part)
+    near = closest_metric(edges, chosen.select("source").distinct(), metric.select("node").distinct())
+    return chosen.join(near.select("source", "target"), "source").join(metric.select(F.col("node").alias("target"), "value"), "target").select("module", "source", "target", "value")
+
+
 def last_evaluation(edges: DataFrame, finals: DataFrame, metric_nodes: DataFrame) -> DataFrame:
     """From final modules back to the metric modules."""
     return search(edges, finals, metric_nodes, forward=False)
@@ -95,7 +135,7 @@ def surrogate_ids(new: DataFrame, existing: DataFrame, id_col: str, order: Seque
     Ids come from range-partition offsets, so the rows are never brought into one task.
     """
     parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = checkpointed(parts)
+    parts = written(parts)
     low = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = existing.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("_max"))

@@ -7,7 +7,10 @@ are one row or one column of one chip, so no task holds more than a strip.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
+from math import lgamma
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +93,23 @@ def lee(df: DataFrame, keys: Sequence[str], values: Sequence[str], win: int = 7,
     return both.select(*keys, "row", "col", *[(F.col(f"_m_{v}") + (F.col(v) - F.col(f"_m_{v}")) * F.col("_k")).alias(v) for v in values])
 
 
-# Bounds and deviation of the sigma range for 4.4 looks and sigma 0.9.
-SIGMA_RANGE = {(4.4, 0.9): (0.394, 1.848, 0.3726)}
+@lru_cache(32)
+def sigma_range(looks: float, sigma: float) -> tuple[float, float, float]:
+    """(low, high, variance) of the sigma range: the stretch of a speckle of mean 1 (gamma of shape looks) that holds
+    the share sigma of it and has mean 1; variance: around 1, inside the stretch."""
+    grid = np.linspace(0, 1 + 60 / np.sqrt(looks), 400_001)
+    density = np.exp(looks * np.log(looks) - lgamma(looks) + (looks - 1) * np.log(np.maximum(grid, 1e-300)) - looks * grid)
+    total = lambda y: np.append(0, np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(grid)))
+    mass, mean, square = (total(density * w) for w in (1.0, grid, (grid - 1) ** 2))
+    low, high = 0.0, float(np.interp(1 - sigma, mass, grid))
+    for _ in range(60):  # the mean rises with the lower limit
+        a = (low + high) / 2
+        b = float(np.interp(np.interp(a, grid, mass) + sigma, mass, grid))
+        if np.interp(b, grid, mean) - np.interp(a, grid, mean) < sigma:
+            low = a
+        else:
+            high = a
+    return a, b, float(np.interp(b, grid, square) - np.interp(a, grid, square)) / sigma
 
 
 def point_targets(df: DataFrame, keys: Sequence[str], values: Sequence[str], percentile: float = 0.98) -> DataFrame:
@@ -111,10 +129,10 @@ def point_targets(df: DataFrame, keys: Sequence[str], values: Sequence[str], per
     return x.drop("_count", "_target", "_near", "_limit", "_rows", "_cols")
 
 
-def _mmse(mean: Column, var: Column, value: Column, sigma: float) -> Column:
-    s2 = sigma * sigma
-    varx = F.greatest((var - mean * mean * s2) / (1 + s2), F.lit(0.0))
-    return mean + F.when(var > 0, varx / F.nullif(var, F.lit(0.0))).otherwise(0.0) * (value - mean)
+def _gain(mean: Column, var: Column, noise: float) -> Column:
+    """Share of the local deviation that is kept; noise: variance of the speckle."""
+    var = F.greatest(var, F.lit(1e-10))
+    return F.greatest((var - mean * mean * noise) / (1 + noise), F.lit(0.0)) / var
 
 
 def _field(name: str) -> Callable[[Column], Column]:
@@ -132,21 +150,24 @@ def improved_sigma(df: DataFrame, keys: Sequence[str], values: Sequence[str], lo
 
     Point targets stay; elsewhere a 3 x 3 estimate of the span picks the pixels of the 7 x 7 neighbourhood inside
     the sigma range, from which each band is estimated.  Pixels within three of the edge are 0 unless they
-    are point targets.  bounds: (low, high, deviation) of the range for looks and sigma.
+    are point targets.  All bands share the gain of the span.  bounds: (low, high, variance) of the range instead of the one
+    that follows from looks and sigma.
     """
-    low, high, inner = bounds or SIGMA_RANGE[looks, sigma]
+    low, high, inner = bounds or sigma_range(looks, sigma)
     clean = df.select(*keys, "row", "col", *[F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(v) for v in values])
     x = point_targets(clean, keys, values, percentile)
     x = neighbourhood(x, keys, F.col("_span"), "_three", 3, None)
     m, v = _moments(F.col("_three"))
-    x = x.withColumn("_x", F.greatest(_mmse(m, v, F.col("_span"), 1 / looks**0.5), F.lit(0.0))).drop("_three")
+    x = x.withColumn("_x", m + _gain(m, v, 1 / looks) * (F.col("_span") - m)).drop("_three")
     cell = F.struct(F.col("_span").alias("s"), *[(F.col(b) * F.col(b)).alias(f"v{i}") for i, b in enumerate(values)])
     x = neighbourhood(x, keys, cell, "_seven", 7, None)
     x = x.withColumn("_pick", F.filter("_seven", lambda c: (c["s"] > low * F.col("_x")) & (c["s"] < high * F.col("_x"))))
+    m, v = _moments(F.transform("_pick", _field("s")))
+    x = x.withColumn("_k", _gain(m, v, inner))
     out = []
     for i, b in enumerate(values):
-        m, v = _moments(F.transform("_pick", _field(f"v{i}")))
-        est = F.when(F.size("_pick") == 0, 0.0).otherwise(_mmse(m, v, F.col(b) * F.col(b), inner))
+        m, _ = _moments(F.transform("_pick", _field(f"v{i}")))
+        est = F.when(F.size("_pick") == 0, 0.0).otherwise(m + F.col("_k") * (F.col(b) * F.col(b) - m))
         est = F.when(F.col("kept"), F.col(b) * F.col(b)).when(F.col("inside"), est).otherwise(0.0)
         est = F.sqrt(F.greatest(F.coalesce(F.nanvl(est, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))
         out.append(est.alias(b))

@@ -171,6 +171,22 @@ def closest_metric(spark: SparkSession, d: str) -> DataFrame:
     return lineage.closest_metric(e, start, e.where("successor % 10 = 7").select("successor"))
 
 
+@query(
+    f"""{sql('edges').replace('WITH', 'WITH RECURSIVE')}, m AS (SELECT p_partkey AS node, p_retailprice AS value FROM part WHERE p_partkey % 10 = 7),
+    n AS (SELECT p_brand AS module, p_partkey AS source FROM part WHERE p_brand = 'Brand#12' OR (p_brand = 'Brand#23' AND p_size = 7)),
+    w AS (SELECT source, source AS here, 0 AS depth FROM n UNION ALL SELECT w.source, e.successor, w.depth + 1 FROM w JOIN edges e ON e.predecessor = w.here WHERE w.here NOT IN (SELECT node FROM m)),
+    h AS (SELECT DISTINCT source, here, depth FROM w WHERE here IN (SELECT node FROM m) QUALIFY depth = min(depth) OVER (PARTITION BY source)),
+    v AS (SELECT module, value FROM n JOIN h USING (source) JOIN m ON m.node = h.here)
+    SELECT module, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS high, round(avg(value), 6) AS mean FROM v GROUP BY 1"""
+)
+def module_comparison(spark: SparkSession, d: str) -> DataFrame:
+    part = views.table(spark, d, "part")
+    nodes = part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("type"), "p_size")
+    metric = part.where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("value"))
+    found = lineage.module_metrics(nodes, views.edges(spark, d), metric, ["Brand#12", "Brand#23"], filters=[None, {"p_size": 7}])
+    return rounded(results.box_summary(found, "module"))
+
+
 @query(f"{sql('edges')}, n AS (SELECT predecessor AS node FROM edges UNION SELECT successor FROM edges) SELECT node, node IN (SELECT predecessor FROM edges) AND node NOT IN (SELECT successor FROM edges) AS root, node IN (SELECT successor FROM edges) AND node NOT IN (SELECT predecessor FROM edges) AS final FROM n")
 def root_final_flags(spark: SparkSession, d: str) -> DataFrame:
     e = views.edges(spark, d)

@@ -519,3 +519,87 @@ def test_nearest_over_many_blocks(spark, monkeypatch):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         assert sorted(got[q]) == [(d[i], i) for i in np.lexsort((np.arange(len(d)), d))[:7]]
     assert len(got) == 10
+
+
+def _sigma_by_loops(a, looks, low, high, noise, percentile):
+    """The improved sigma filter of an array (bands, rows, cols) of amplitudes, pixel by pixel."""
+    power = a**2
+    span = power.sum(0)
+    limit = np.percentile(power[0], 100 * percentile)
+    out, (h, w) = np.zeros_like(a), span.shape
+    kept = np.zeros((h, w), bool)
+    gain = lambda m, v, s: max((max(v, 1e-10) - m * m * s) / (1 + s), 0) / max(v, 1e-10)
+    for r in range(3, h - 3):
+        for c in range(3, w - 3):
+            near = span[r - 1 : r + 2, c - 1 : c + 2] > limit
+            if near.sum() >= 6:
+                kept[r - 1 : r + 2, c - 1 : c + 2] |= near
+    for r in range(3, h - 3):
+        for c in range(3, w - 3):
+            x = span[r - 1 : r + 2, c - 1 : c + 2]
+            tilde = x.mean() + gain(x.mean(), x.var(), 1 / looks) * (span[r, c] - x.mean())
+            y = span[r - 3 : r + 4, c - 3 : c + 4]
+            pick = (y > low * tilde) & (y < high * tilde)
+            if pick.any():
+                k = gain(y[pick].mean(), y[pick].var(), noise)
+                m = power[:, r - 3 : r + 4, c - 3 : c + 4][:, pick].mean(1)
+                out[:, r, c] = m + k * (power[:, r, c] - m)
+    out[:, kept] = power[:, kept]
+    return np.sqrt(np.maximum(out, 0))
+
+
+def test_improved_sigma_against_loops(spark):
+    a = np.random.default_rng(3).gamma(4.4, 1 / 4.4, (2, 12, 13)) ** 0.5
+    a[:, 4:7, 5:8] *= 5
+    rows = [(1, r, c, float(a[0, r, c]), float(a[1, r, c])) for r in range(12) for c in range(13)]
+    df = spark.createDataFrame(rows, "chip int, row int, col int, v double, w double")
+    low, high, noise = spatial.sigma_range(4.4, 0.9)
+    assert (round(low, 3), round(high, 3), round(noise, 4)) == (0.398, 2.024, 0.1444)
+    got = spatial.improved_sigma(df, ["chip"], ["v", "w"], percentile=0.9)
+    want = _sigma_by_loops(a, 4.4, low, high, noise, 0.9)
+    for i, band in enumerate("vw"):
+        assert np.allclose(_array(got, (12, 13), value=band), want[i])
+
+
+def test_adjusted_mutual_information_of_large_tables(spark):
+    """As many points as a hand-labelled set; and the short range of cells gives what the whole one gives."""
+    from math import exp, lgamma, log
+
+    def expected(a, b):
+        n, lf, out = sum(a), (lambda x: lgamma(x + 1)), 0.0
+        for x in a:
+            for y in b:
+                for c in range(max(1, x + y - n), min(x, y) + 1):
+                    w = exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(c) - lf(x - c) - lf(y - c) - lf(n - x - y + c))
+                    out += c / n * log(n * c / (x * y)) * w
+        return out
+
+    table = spark.createDataFrame([(0, 0, 300), (0, 1, 200), (1, 0, 100), (1, 1, 900)], "label int, pred int, n long")
+    got = cluster_metrics.expected_mutual_information(table).first().expected_mi
+    assert got == pytest.approx(expected([500, 1000], [400, 1100]), rel=1e-9)
+    large = spark.createDataFrame([(0, 0, 60_000_000), (0, 1, 10_000_000), (1, 0, 7_000_000), (1, 1, 40_000_000)], "label int, pred int, n long")
+    row = cluster_metrics.adjusted_mutual_information(large).first()
+    assert 0 < row.adjusted_mi < 1 and row.expected_mi == pytest.approx(1 / (2 * 117e6), rel=0.01)
+
+
+def test_a_cycle_ends_the_search_with_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1)], "predecessor long, successor long")
+    one = lambda x: spark.createDataFrame([(x,)], "id long")
+    with pytest.raises(ValueError):
+        lineage.search(edges, one(1), one(9), max_levels=4)
+
+
+def test_module_settings():
+    assert lineage.per_module(["a", "b"], None, "x") == [None, None]
+    assert lineage.per_module(["a", "b"], [1], "x") == [1, 1]
+    with pytest.raises(ValueError):
+        lineage.per_module(["a", "b"], [1, 2, 3], "x")
+
+
+@pytest.mark.parametrize("side", [1, 2, 3])
+def test_boxcar_on_chips_smaller_than_the_window(spark, side):
+    a = np.arange(side * side, dtype=float).reshape(side, side)
+    df = spark.createDataFrame([(1, r, c, float(a[r, c])) for r in range(side) for c in range(side)], "chip int, row int, col int, v double")
+    wide = np.pad(a, 3, mode="reflect") if side > 1 else np.full((7, 7), a[0, 0])
+    want = np.array([[wide[r : r + 7, c : c + 7].mean() for c in range(side)] for r in range(side)])
+    assert np.allclose(_array(spatial.boxcar(df, ["chip"], ["v"], 7), a.shape), want)
