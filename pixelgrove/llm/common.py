@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Bytes of text that one vectorised block covers; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 18
+#: Rows of a batch whose text is copied at once.
+SLICE = 1000
 
 U = np.uint64
 
@@ -230,10 +232,11 @@ def in_bytes(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 def blocks(column: pa.Array, kind: np.ndarray, lower: bool) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) for blocks of about BLOCK_BYTES of the column."""
-    buf, bounds = column_bytes(column)
-    for at, to in in_bytes(bounds, BLOCK_BYTES):
-        part = buf[bounds[at] : bounds[to]]
-        yield at, to, Words(_LOWER[part] if lower else part, bounds[at : to + 1] - bounds[at], kind)
+    for k in range(0, len(column), SLICE):
+        buf, bounds = column_bytes(column.slice(k, SLICE))
+        for at, to in in_bytes(bounds, BLOCK_BYTES):
+            part = buf[bounds[at] : bounds[to]]
+            yield k + at, k + to, Words(_LOWER[part] if lower else part, bounds[at : to + 1] - bounds[at], kind)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, U, group_bounds, grouped, materialise, own_name, mix, sized
+from .common import BROADCAST_ROWS, SLICE, U, group_bounds, grouped, materialise, own_name, mix, sized
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SLICE_BITS = 16
@@ -50,8 +50,9 @@ def _places(hashes: np.ndarray, log_bits: int, k: int) -> np.ndarray:
     return np.stack([mix(hashes + U(i * 0x9E37)) >> U(64 - log_bits) for i in range(1, k + 1)])
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for k in range(0, len(column), SLICE):
+        yield from (x or b"" for x in column.slice(k, SLICE).cast(pa.binary()).to_pylist())
 
 
 def twice_seen(texts: DataFrame, least: int, log_bits: int, k: int) -> np.ndarray:
@@ -164,7 +165,7 @@ def dedup_lines(
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             lines, gone, out = [], [], []
             drop = batch.column(len(columns)).to_pylist()
             for text, own in zip(_texts(batch.column(at)), drop):

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Span, U, column_bytes, in_bytes, materialise, runs
+from .common import BLOCK_BYTES, SLICE, Span, U, column_bytes, in_bytes, materialise, runs
 
 #: Token runs whose ids a worker remembers before it starts over, and slots of its table.
-CACHE_RUNS, _SLOT_BITS = 1_500_000, 22
+CACHE_RUNS, _SLOT_BITS = 800_000, 21
 #: Bytes from which on a token run is remembered by a digest of its bytes.
 LONG_RUN = 48
 
@@ -227,9 +227,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, last = _cuts(capacity), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             buf, bounds = column_bytes(batch.column(1))
-            for a, b in in_bytes(bounds, 4 * BLOCK_BYTES):
+            for a, b in in_bytes(bounds, 2 * BLOCK_BYTES):
                 ids, limits = token_ids(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], path)
                 sizes: list[int] = []
                 crcs: list[int] = []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, U, Words, blocks, forget, grams, materialise, own_name, scratch_dir, signed, sized, stretches
+from .common import BROADCAST_ROWS, SLICE, SPACED, U, Words, blocks, forget, grams, materialise, own_name, scratch_dir, signed, sized, stretches
 
 GRAM = 16
 #: Entries with more than this part of all rows count as hot, so there are at most so many.
@@ -292,7 +292,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(columns: list[str], at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             n, gone, out = [], [], []
             for text, spans in zip(texts, batch.column(len(columns)).to_pylist()):
