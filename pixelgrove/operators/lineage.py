@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,15 +39,20 @@ def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFram
     raise ValueError(f"paths of over {max_levels} levels; do the edges hold a cycle?")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df through a table in the folder of spark.checkpoint.dir; where that is unset, a temporary one with a local master."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one with a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df through a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

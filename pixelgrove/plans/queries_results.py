@@ -330,8 +330,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     """The stream's output once everything that is there has been read, through a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-streams-{uuid.uuid4().hex}"
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/rows"
 
     def sink(batch: DataFrame, epoch: int) -> None:
