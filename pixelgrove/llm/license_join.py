@@ -14,6 +14,11 @@ Only the templates' tokens are counted (their number is that of the fixed templa
 is a bounded table; other tokens of a block cannot be common and have no place in it.  Only a block's prefix of b - o + 1 tokens,
 with the least o, is exploded.  Surviving candidates are verified by intersection.
 
+A notice that is wrapped over several lines is found by blocks of another kind (``window_matches``): every stretch of
+``room`` percent of a template's words, wherever it starts in the whole text.  The same order and prefix give the places to look at; what
+lies within a stretch's length of such a place is its block, with at least o of the template's tokens from the p-th on (length and
+positional filter); its stretches are then counted one by one.
+
 Beside the join, four fixed phrases are located word by word (the base labels).
 """
 
@@ -75,9 +80,13 @@ def base_scan(text: Column) -> dict[str, Column]:
     return {"n_words": _word_count(text), "n_base": n, "first_word": first, "last_word": last, "base": F.array_sort(F.array_compact(F.array(*labels)))}
 
 
+def _words(text: Column) -> Column:
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
+
+
 def _tokens(line: Column) -> Column:
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != ""))
+    return F.array_distinct(_words(line))
 
 
 def _template_rows() -> list[tuple[int, str, list[str]]]:
@@ -122,6 +131,56 @@ def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int)
     return hits.groupBy("doc_id", "label").agg(F.max(F.col("common") / F.size("own")).alias("containment"))
 
 
+def window_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int, room: int) -> DataFrame:
+    """(doc_id, label, containment) of every template that reaches the share in some stretch of a text.
+
+    A stretch that matches holds at least one prefix token of its template; the rarest one it holds, the template's p-th, is
+    a place from which it is found, and all its common tokens are the p-th or later ones.
+    """
+    spark = docs.sparkSession
+    order = token_order(docs, text_col)
+    rows = []
+    for k, (words, label) in enumerate(TEMPLATES.items()):
+        size = -(-room * len(words.split(" ")) // 100)
+        own = sorted(set(words.split(" ")), key=lambda t: (order.get(t, 0), t))
+        need = -(-share * len(own) // 100)
+        for p, token in enumerate(own[: len(own) - need + 1]):
+            rows.append((token, k, label, own[p:], len(own), need, size))
+    # the fixed templates' prefixes: at most as many rows as the templates have tokens
+    prefixes = spark.createDataFrame(rows, "token string, template int, label string, rest array<string>, tokens int, need int, size int")
+    rare, reach = sorted({r[0] for r in rows}), max(r[6] for r in rows)
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(rf"(?i)(?<!{_WORD})(?:{'|'.join(rare)})(?!{_WORD})"))
+    texts = texts.select("doc_id", _words(F.col("text")).alias("words"))
+    # places of rare tokens, each with the words around it: bounded rows, however long the text is
+    token = F.array(*[F.lit(x) for x in rare])
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(token, w), i)), lambda i: i.isNotNull())
+    first = lambda i: F.greatest(i - (reach - 1), F.lit(0))
+    near = F.transform(at, lambda i: F.struct((i - first(i)).alias("at"), F.slice("words", first(i) + 1, i - first(i) + reach).alias("around")))
+    places = texts.select("doc_id", F.explode(near).alias("x")).select("doc_id", "x.at", "x.around", F.element_at("x.around", F.col("x.at") + 1).alias("token"))
+    hits = places.join(F.broadcast(prefixes), "token")
+    # from here on only the words within the template's own reach
+    start = F.greatest(F.col("at") - (F.col("size") - 1), F.lit(0))
+    hits = hits.withColumn("block", F.slice("around", start + 1, F.col("at") - start + F.col("size"))).withColumn("at", F.col("at") - start)
+    hits = hits.where(F.size(F.array_intersect("block", "rest")) >= F.col("need")).distinct()
+    stretch = F.transform(F.sequence(F.lit(0), F.col("at")), lambda s: F.size(F.array_intersect(F.slice("block", s + 1, F.col("size")), F.col("rest"))))
+    hits = hits.withColumn("common", F.array_max(stretch)).where("common >= need")
+    return hits.groupBy("doc_id", "label").agg(F.max(F.col("common") / F.col("tokens")).alias("containment"))
+
+
+def scan_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 80, room: int = 125) -> DataFrame:
+    """Per row of docs: doc_id, labels (sorted, comma-joined) of the templates found in a stretch of the text, and the best containment.
+
+    Defined cases: null, empty and other texts without a match: no labels (an empty string) and 0; lines do not matter; rows that
+    share a doc_id share the labels of all their texts; a null doc_id has none; further columns are ignored,
+    whatever their names.
+    """
+    match = window_matches(docs, id_col=id_col, text_col=text_col, share=share, room=room).where("doc_id is not null")
+    match = match.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("containment").alias("containment"))
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).join(match, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 

@@ -32,6 +32,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(_table(spark, sf_dir, "documents"))
 
 
+def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 with stretches of the whole text as blocks, for notices that are wrapped over lines."""
+    return license_join.scan_windows(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wu_manber.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), wu_manber.items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -78,6 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 _PHRASES = ", ".join(f"({len(p.split())}, '{p}', '{label}')" for p, label in license_join.PHRASES.items())
+_STRETCHES = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {-(-125 * len(t.split()) // 100)})" for k, (t, label) in enumerate(license_join.TEMPLATES.items()))
 _TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for t, label in license_join.TEMPLATES.items())
 
 #: DuckDB twins of the queries that SQL can express.
@@ -105,6 +111,14 @@ ORACLES = {
         al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM x) GROUP BY 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id)""",
+    "license_windows": f"""
+        WITH t AS (SELECT k, label, own, len(own) AS n, size FROM (VALUES {_STRETCHES}) t(k, label, own, size)), v AS (SELECT k, label, n, size, unnest(own) AS word FROM t),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1)::BIGINT AS i FROM d),
+        h AS (SELECT doc_id, k, label, n, count(DISTINCT word) OVER (PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS c FROM e JOIN v USING (word)),
+        x AS (SELECT doc_id, label, c / n AS c FROM h WHERE 100 * c >= 80 * n),
+        best AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS c FROM x GROUP BY 1)
+        SELECT doc_id, coalesce(labels, '') AS labels, coalesce(c, 0.0)::DOUBLE AS containment FROM documents LEFT JOIN best USING (doc_id)""",
     "op4_decontamination": f"""
         WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         p AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS t FROM i WHERE len(w) > 0),
@@ -140,7 +154,7 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op2_html_text, op3_license_scan, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, pipeline)
+    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -33,6 +33,7 @@ OPERATORS = {
     "drop_near": lambda s, d: minhash.drop_near_duplicates(d),
     "html": lambda s, d: html_mincut.extract(d.drop("text")),
     "license": lambda s, d: license_join.scan(d),
+    "license windows": lambda s, d: license_join.scan_windows(d),
     "contamination": lambda s, d: wu_manber.contamination(d, benchmark(s)),
     "decontaminate": lambda s, d: wu_manber.decontaminate(d, benchmark(s)),
     "toxicity": lambda s, d: toxicity.score(d, MODEL),
@@ -93,6 +94,43 @@ def test_positional_filter_drops_what_the_prefix_filter_admits(spark):
     assert got == {1: "mit", 2: "mit", 3: "", 4: "", 5: ""}
 
 
+def test_wrapped_notices(spark):
+    """Stretches of the whole text find what no single line holds, and nothing that is spread over more words than that."""
+    words = list(license_join.TEMPLATES)[5].split()
+    wrapped = "intro\n" + "\n".join(" ".join(words[k : k + 4]).upper() + "," for k in range(0, len(words), 4)) + "\nend"
+    spread = " filler filler ".join(words)
+    rows = [(1, wrapped), (2, spread), (3, ("x " * 30_000) + wrapped), (4, " ".join(words[:12])), (5, " ".join(words[:-2])), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_join.scan_windows(docs).collect()} == {1: "mit", 2: "", 3: "mit", 4: "", 5: "mit", 6: ""}
+    assert {r.doc_id: r.labels for r in license_join.scan(docs).collect()}[1] == ""
+
+
+def test_windows_against_brute_force(spark):
+    """Every stretch of 125 % of a template's words, counted one by one."""
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w for t in license_join.TEMPLATES for w in t.split()})
+    rows = []
+    for i in range(60):
+        t = list(license_join.TEMPLATES)[i % len(license_join.TEMPLATES)].split()
+        own = [w for w in t if rng.random() < 0.9]
+        at = rng.integers(0, 40)
+        text = list(rng.choice(vocabulary, 40))
+        rows.append((i, " ".join(text[:at] + own + text[at:])))
+    want = {}
+    for i, text in rows:
+        w = text.split()
+        labels, best = set(), 0.0
+        for t, label in license_join.TEMPLATES.items():
+            own, size = set(t.split()), -(-125 * len(t.split()) // 100)
+            n = max(len(own & set(w[k : k + size])) for k in range(len(w)))
+            if 100 * n >= 80 * len(own):
+                labels.add(label)
+                best = max(best, n / len(own))
+        want[i] = (",".join(sorted(labels)), best)
+    got = license_join.scan_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.containment) for r in got} == want and any(x for x, _ in want.values())
+
+
 def test_patterns_per_pass_bounds_words_and_long_items(spark, monkeypatch):
     sizes = []
     made = wu_manber.patterns_of
