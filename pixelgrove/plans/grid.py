@@ -32,10 +32,10 @@ def pending(table: DataFrame, done: DataFrame, state: str = "state", complete: s
     return table.join(d, same, "left_anti")
 
 
-def sweep(table: DataFrame, done: DataFrame, evaluate: Callable[[dict], float], sink: Callable[[DataFrame], None], limit: int = 10_000) -> int:
+def sweep(table: DataFrame, done: DataFrame, evaluate: Callable[[dict], float], sink: Callable[[DataFrame], None]) -> int:
     """Evaluates every pending row (each one a distributed job of its own) and appends its result at once."""
     spark, n = table.sparkSession, 0
-    for row in pending(table, done).limit(limit).toLocalIterator():
+    for row in pending(table, done).toLocalIterator():
         config = row.asDict()
         value = float(evaluate(config))
         out = spark.createDataFrame([row], table.schema).withColumn("value", F.lit(value)).withColumn("state", F.lit("COMPLETE"))
