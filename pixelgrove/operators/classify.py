@@ -216,8 +216,8 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def nearest_lsh(train: DataFrame, queries: DataFrame, k: int, bucket: float, tables: int = 8, radius: float = float("inf"), vector: str = "x", label: str = "y", id_col: str = "id") -> DataFrame:
-    """Approximate k nearest training rows through bucketed random projections (euclidean)."""
+def nearest_lsh(train: DataFrame, queries: DataFrame, k: int, bucket: float, tables: int = 8, radius: float = float("inf"), vector: str = "x", label: str = "y", id_col: str = "id", others: bool = False) -> DataFrame:
+    """Approximate k nearest training rows through bucketed random projections (euclidean); others: a query's own id is no neighbour."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -225,5 +225,6 @@ def nearest_lsh(train: DataFrame, queries: DataFrame, k: int, bucket: float, tab
     q = queries.select(F.col(id_col).alias("query"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(t)
     pairs = model.approxSimilarityJoin(q, t, radius, "distance").select("datasetA.query", "datasetB.id", "datasetB.label", "distance")
+    pairs = pairs.where("query <> id") if others else pairs
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return pairs.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")

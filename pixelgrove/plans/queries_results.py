@@ -312,7 +312,7 @@ def logistic(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     t = views.feat(spark, d)
-    return classify.vote(classify.nearest_lsh(t.where("id % 5 <> 0"), t.where("id % 20 = 0"), 5, bucket=2.0), weights="distance")
+    return classify.vote(classify.nearest_lsh(t, t.where("id % 20 = 0"), 5, bucket=2.0, others=True), weights="distance")
 
 
 # ---------------------------------------------------------------- streams
