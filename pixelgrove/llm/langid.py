@@ -11,7 +11,6 @@ every text whole, in one pass without a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVEL = 3
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any code point is of Unicode's category L (numerals such as ½ or Ⅷ are not)."""
+    return any(map(str.isalpha, text))
 
 
 def train(
@@ -79,7 +82,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
         for batch in batches:
             lang, score = [], []
             for text in batch.column(1).to_pylist():
-                if not tools or not text or not _LETTER.search(text):
+                if not tools or not text or not has_letter(text):
                     lang.append("und")
                     score.append(0.0)
                     continue

@@ -74,7 +74,8 @@ def base_scan(text: Column) -> dict[str, Column]:
     maybe = text.rlike("(?i)license|cc")
     anywhere = _pattern(list(PHRASES))
     n = F.when(maybe, F.regexp_count(text, F.lit(anywhere))).otherwise(0).cast("long")
-    first = F.when(n > 0, _word_count(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(anywhere)) - 1)))
+    # by extraction: Java's positions count UTF-16 units, Spark's substrings code points
+    first = F.when(n > 0, _word_count(F.regexp_extract(text, r"(?s)^(.*?)" + anywhere, 1)))
     last = F.when(n > 0, _word_count(F.regexp_extract(text, r"(?s)^(.*)" + anywhere, 1)))
     labels = [F.when(n > 0, F.when(text.rlike(_pattern([p])), F.lit(label))) for p, label in PHRASES.items()]
     return {"n_words": _word_count(text), "n_base": n, "first_word": first, "last_word": last, "base": F.array_sort(F.array_compact(F.array(*labels)))}

@@ -160,11 +160,12 @@ def _token_runs(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     change = first[:-1] | (kind == DIGIT)
     change[1:] |= kind[1:] != kind[:-1]
     # a lone apostrophe before these letters is one token with them
-    quote = np.flatnonzero((buf[:-2] == 0x27) & (kind[:-2] == OTHER) & change[:-2] & (kind[1:-1] == LETTER) & ~first[1:-2])
+    quote = np.flatnonzero((buf[:-1] == 0x27) & (kind[:-1] == OTHER) & change[:-1] & (kind[1:] == LETTER) & ~first[1:-1])
     if len(quote):
-        one, two = buf[quote + 1] | 0x20, buf[quote + 2] | 0x20
+        third = np.minimum(quote + 2, n - 1)  # at n a document ends, so what is read there is of no use
+        one, two = buf[quote + 1] | 0x20, buf[third] | 0x20
         short = (one == 0x73) | (one == 0x74) | (one == 0x6D) | (one == 0x64)
-        same = (kind[quote + 2] == LETTER) & ~first[quote + 2]
+        same = (kind[third] == LETTER) & ~first[quote + 2]
         long = same & (((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)))
         change[quote[short | long] + 1] = False
         rest = np.concatenate([quote[short] + 2, quote[long] + 3])

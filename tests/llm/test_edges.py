@@ -1,5 +1,6 @@
 """Odd tables for all ten operators and the pipeline's stages, and the registered queries against their SQL twins."""
 
+import brute
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -159,3 +160,31 @@ def test_too_many_languages_is_an_error(spark):
     assert len(langid.train(docs, max_languages=5)) == 5
     with pytest.raises(ValueError):
         langid.train(docs, max_languages=4)
+
+
+def test_code_points_above_ffff(spark):
+    """Emoji before, between and behind phrases, in lines and passages: word positions and windows count code points as one."""
+    face, many = "\U0001f600", "\U0001f600 " * 5
+    texts = [
+        f"{many}mit license here", f"{face * 5} {many}the mit license, {face} and cc by {face}{face}", f"apache{face}license", f"mit license {many}gnu general public license",
+        f"{face}mit license", f"mit license{face}", f"x {face} cc-by", many, f"a{face}b c d e f g",
+    ]
+    line = f"{face} a line of more than forty code points {face * 3} in all"
+    passage = " ".join(f"w{i}{face}" for i in range(60))
+    texts += [f"own {i} {face}\n{line}\n{passage} {i}" for i in range(6)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_join.scan(docs).collect()}
+    assert got == brute.licenses(rows)
+    items = [(1, f"{face} a line of"), (2, f"cc by {face}{face}")]
+    found = wu_manber.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in found.collect()} == {i: x[:3] for i, x in brute.contamination(rows, items).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, share=85).collect()} == brute.near_duplicates(rows)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in line_dedup.dedup_lines(docs).collect()} == brute.line_dedup(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.text)) for r in substring_index.dedup_substrings(docs).collect()} == brute.substrings(rows)
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ ① 42 _"), (3, "२"), (4, "the word ½"), (5, "中"), (6, "ª"), (7, "!?")]
+    got = langid.classify(spark.createDataFrame(rows, "doc_id long, text string"), {"en": b"the word and some more", "fr": b"le mot et encore"})
+    assert {r.doc_id for r in got.collect() if r.lang_pred == "und"} == {1, 2, 3, 7}

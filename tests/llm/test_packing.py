@@ -1,6 +1,7 @@
 """Token ids of the packing against the tokenizer itself."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -69,3 +70,28 @@ def test_table_of_runs():
     row = known.find(keys)
     assert (known.ids[known.limits[row]] == np.arange(len(keys))).all()
     assert known.find(np.array([2**62 + 12345], np.uint64)).tolist() == [-1]
+
+
+def test_last_bytes_of_a_block(tokenizer):
+    """Each text alone, so that it ends the block: contractions there are one token as anywhere else."""
+    rng = random.Random(9)
+    texts = ["it's", "we don't", "I'm", "The end of the dog's", "he'd", "'s", "x'", "x'r", "x're", "x'v", "you've", "we'll", "we'l", "don'T", "it's's", "1's", "é's", "it'ß", "it's ", "it's."]
+    texts += ["".join(rng.choice("ab'stmdrevl ,1é") for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    for text in texts:
+        assert ids_of([text]) == expected(tokenizer, [text]), text
+
+
+@pytest.mark.parametrize("block, rows", [(1, 1000), (40, 1000), (1 << 18, 3)])
+def test_ids_do_not_depend_on_blocks(spark, tokenizer, monkeypatch, block, rows):
+    """Whatever texts share a block or a batch, a document's checksum is that of the tokenizer's ids."""
+    ends = ["'s", "'t", "'m", "'d", "'re", "'ve", "'ll", "'", "", "x"]
+    texts = [f"word {i} we{ends[i % len(ends)]}" for i in range(40)]
+    monkeypatch.setattr(packing, "BLOCK_BYTES", block)
+    monkeypatch.setattr(packing, "SLICE", rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc_id", "text"])
+    got = {}
+    frame = type("Frame", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: list(run(iter([batch])))})()
+    for out in packing.pieces(frame, PATH, 2048, 1, "doc_id", "text"):
+        got |= dict(zip(out.column(0).to_pylist(), out.column(3).to_pylist()))
+    want = {i: zlib.crc32(np.array([*ids, 1], "<u4").tobytes()) for i, ids in enumerate(expected(tokenizer, texts))}
+    assert got == want
