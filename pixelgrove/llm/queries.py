@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, langid, license_join, line_dedup, minhash, nn_descent, packing, substring_index, toxicity, wu_manber
+from . import html_mincut, langid, license_join, line_dedup, merkle, minhash, nn_descent, packing, substring_index, toxicity, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(_remainder(7) == 0, F.try_add("n_chars", F.lit(1).cast("long"))).otherwise(F.col("n_chars"))
+    claimed = merkle.leaf_digest(columns, {"n_chars": tampered})
+    return merkle.manifest(_table(spark, sf_dir, "documents"), columns=columns, claimed=claimed).verified()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +93,17 @@ _PHRASES = ", ".join(f"({len(p.split())}, '{p}', '{label}')" for p, label in lic
 _STRETCHES = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {-(-125 * len(t.split()) // 100)})" for k, (t, label) in enumerate(license_join.TEMPLATES.items()))
 _TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for t, label in license_join.TEMPLATES.items())
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB, which has no such function: bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)), 4294967295), 4294967295)"
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_PAIRS = "list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
+
 #: DuckDB twins of the queries that SQL can express.
 ORACLES = {
     "op1_minhash": r"""
@@ -150,11 +168,24 @@ ORACLES = {
         each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
         kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.x) AS t, count(*) AS n FROM each ANTI JOIN gone ON gone.doc_id = each.doc_id AND gone.x = each.x GROUP BY 1)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} ELSE {_LEAF} END AS claim FROM documents),
+        r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM l),
+        t AS (SELECT lang, 0 AS level, list(leaf ORDER BY k) AS nodes FROM r GROUP BY lang UNION ALL SELECT lang, level + 1, {_PAIRS} FROM t WHERE len(nodes) > 1),
+        s AS (SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM t WHERE len(nodes) = 1),
+        u AS (SELECT 0 AS level, list(subroot ORDER BY k) AS nodes FROM s UNION ALL SELECT level + 1, {_PAIRS} FROM u WHERE len(nodes) > 1),
+        top AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+        steps AS (SELECT id, level, nodes, k FROM r JOIN t ON r.lang IS NOT DISTINCT FROM t.lang WHERE len(nodes) > 1
+            UNION ALL SELECT id, height + level, nodes, s.k << height FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang, u WHERE len(nodes) > 1),
+        e AS (SELECT id, level, (k >> level) & 1 AS side, coalesce(nodes[xor(k >> level, 1) + 1], '') AS sibling FROM steps),
+        p AS (SELECT id, string_agg(sibling, '' ORDER BY level) AS siblings, list(side || sibling ORDER BY level) AS path FROM e GROUP BY 1),
+        f AS (SELECT r.*, coalesce(siblings, '') AS siblings, list_reduce(coalesce(path, []), lambda a, e: CASE WHEN e[1] = '1' THEN sha256(e[2:] || a) ELSE sha256(a || e[2:]) END, claim) AS folded_root FROM r LEFT JOIN p USING (id))
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang, top""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, pipeline)
+    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
