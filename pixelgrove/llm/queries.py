@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, langid, license_join, line_dedup, merkle, minhash, nn_descent, packing, substring_index, toxicity, wu_manber
+from . import html_mincut, langid, license_join, line_dedup, merkle, minhash, nn_descent, packing, substring_index, toxicity, warc, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(_remainder(7) == 0, F.try_add("n_chars", F.lit(1).cast("long"))).otherwise(F.col("n_chars"))
@@ -102,6 +106,7 @@ def _crc32(text: str) -> str:
 
 
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_BASE32 = "array_to_string(flatten(list_transform(range(0, 8), lambda i: list_transform([15, 10, 5, 0], lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || h[5 * i + 1:5 * i + 5])::BIGINT >> b) & 31) + 1)::BIGINT]))), '')"
 _PAIRS = "list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
 
 #: DuckDB twins of the queries that SQL can express.
@@ -168,6 +173,10 @@ ORACLES = {
         each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
         kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.x) AS t, count(*) AS n FROM each ANTI JOIN gone ON gone.doc_id = each.doc_id AND gone.x = each.x GROUP BY 1)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_warc_archive": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM p""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} ELSE {_LEAF} END AS claim FROM documents),
         r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM l),
@@ -185,7 +194,7 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, op13_merkle_manifest, pipeline)
+    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, op11_warc_archive, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -73,7 +73,7 @@ def test_stages(spark, odd, tmp_path, name, stage):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "pages", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.sql(queries.ORACLES[name])
     got = queries.queries()[name](spark, SF).select(*want.columns).collect()
