@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, langid, license_join, line_dedup, merkle, minhash, nn_descent, packing, substring_index, toxicity, warc, wu_manber
+from . import html_mincut, langid, license_join, line_dedup, merkle, minhash, nn_descent, packing, prefix_trie, substring_index, toxicity, warc, wu_manber
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(_remainder(7) == 0, F.try_add("n_chars", F.lit(1).cast("long"))).otherwise(F.col("n_chars"))
@@ -177,6 +181,20 @@ ORACLES = {
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
         SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM p""",
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, strlen(coalesce(text, '')) AS n, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT c, c - c % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+        u AS (SELECT h.c, k, n, x FROM h JOIN t ON t.c = base AND k <= h UNION ALL SELECT h.c, k + 1000000, n, x FROM h JOIN t USING (c) WHERE k > h),
+        s AS (SELECT c, list(x ORDER BY k) AS xs, list(n ORDER BY k) AS ns FROM u GROUP BY 1),
+        a AS (SELECT c, coalesce(xs, []) AS xs, coalesce(ns, []) AS ns FROM h LEFT JOIN s USING (c)),
+        p AS (SELECT c, d, array_to_string(xs[:d], '') AS prefix, len(xs) AS deep, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM a)),
+        node AS (SELECT d, prefix, min(c) AS low, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (deep = d), '') AS ends, max(deep) = d AS leaf FROM p GROUP BY 1, 2),
+        m AS (SELECT p.c, p.d, low FROM p JOIN node USING (d, prefix)),
+        v AS (SELECT node.*, m.low AS parent FROM node LEFT JOIN m ON m.c = node.low AND m.d = node.d - 1),
+        kids AS (SELECT parent AS low, d - 1 AS d, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1, 2),
+        sub AS (SELECT m.low, m.d, sum(leaf::INT) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM node JOIN m ON m.c = node.low AND m.d <= node.d GROUP BY 1, 2)
+        SELECT v.low AS conv_id, v.d AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM v JOIN sub ON sub.low = v.low AND sub.d = v.d LEFT JOIN kids ON kids.low = v.low AND kids.d = v.d""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.replace("n_chars", "(n_chars + 1)")} ELSE {_LEAF} END AS claim FROM documents),
         r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM l),
@@ -194,7 +212,7 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, op11_warc_archive, op13_merkle_manifest, pipeline)
+    own = (op1_minhash, op2_html_text, op3_license_scan, license_windows, op4_decontamination, op5_toxicity, op6_line_dedup, op7_language, op8_embedding_dedup, op9_packing, op10_substring_dedup, op11_warc_archive, op12_prefix_trie, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
