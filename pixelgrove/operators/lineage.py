@@ -5,38 +5,121 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Levels of a search that one job works on; each is aggregated, and all are written at its end.
+LEVELS = 5
+#: Rows up to which the edges and flags of a search are broadcast; beyond, each level's join shuffles.
+BROADCAST_ROWS = 400_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _steps(edges: DataFrame, target: DataFrame, stop: DataFrame | None, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges as (_from, _to, _n: how often, _goal, _stop: flags of _to), and (id, _goal, _stop) of targets and stops."""
+    a, b = ("predecessor", "successor") if forward else ("successor", "predecessor")
+    flags = target.select(F.col(target.columns[0]).alias("id"), F.lit(True).alias("_goal"), F.lit(False).alias("_stop"))
+    if stop is not None:
+        flags = flags.union(stop.select(F.col(stop.columns[0]), F.lit(False), F.lit(True)))
+    flags = flags.groupBy("id").agg(F.max("_goal").alias("_goal"), F.max("_stop").alias("_stop"))
+    every = edges.groupBy(F.col(a).alias("_from"), F.col(b).alias("_to")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("_n"))
+    return written(_flagged(every.withColumnRenamed("_to", "id"), flags).withColumnRenamed("id", "_to")), written(flags)
+
+
+def _flagged(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    out = rows.join(flags, "id", "left")
+    return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("_goal", "_stop")})
+
+
+def _written_and_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """df through a table in the shared folder, and how many rows meet the condition, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def path_counts(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000) -> DataFrame:
+    """(source, target, depth, paths): how many paths of each length lead from start ids to target ids along the edges.
+
+    A start that is a target matches at depth 0 (as often as it is given).  end_at_match prunes branches at a match; a stop id ends its
+    branch.  The frontier is kept by (source, node) with a count, so paths that meet again cost nothing.  Where a source
+    goes on for more levels than it has nodes, its paths run in a cycle: an error, as are more than max_levels levels.
+    """
+    step, flags = _steps(edges, target, stop, forward)
+    step = _sized(step)
+    first = start.groupBy(F.col(start.columns[0]).alias("id")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("paths"))
+    level = _flagged(first, flags).select(F.col("id").alias("source"), F.col("id").alias("at"), F.lit(0).alias("depth"), "paths", "_goal", "_stop")
+    done: list[DataFrame] = []
+    depth, check = 0, 4
+    while True:
+        parts = [level]
+        for _ in range(LEVELS):
+            live = parts[-1].where(~F.col("_stop") & ~(F.col("_goal") & F.lit(end_at_match)))
+            onward = live.join(step.withColumnsRenamed({"_goal": "_g", "_stop": "_s"}), F.col("at") == F.col("_from"))
+            depth += 1
+            counts = onward.groupBy("source", F.col("_to").alias("at")).agg(F.sum(F.col("paths") * F.col("_n")).cast("decimal(38,0)").alias("paths"), F.any_value("_g").alias("_goal"), F.any_value("_s").alias("_stop"))
+            parts.append(counts.select("source", "at", F.lit(depth).alias("depth"), "paths", "_goal", "_stop"))
+        made, ahead = _written_and_counted(reduce(DataFrame.unionByName, parts if not done else parts[1:]), F.col("depth") == depth)
+        done.append(made)
+        if not ahead:
+            break
+        level = made.where(F.col("depth") == depth)
+        if depth >= max_levels:
+            raise ValueError(f"paths of over {max_levels} levels; do the edges hold a cycle?")
+        if depth >= check:
+            nodes = reduce(DataFrame.unionByName, done).select("source", "at").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("nodes"))
+            if not level.select("source").distinct().join(nodes, "source").where(F.col("nodes") <= depth).isEmpty():
+                raise ValueError(f"a path of {depth} steps over fewer nodes: the edges hold a cycle")
+            check *= 2
+    found = reduce(DataFrame.unionByName, done).where("_goal")
+    return found.select("source", F.col("at").alias("target"), "depth", "paths")
+
+
 def search(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, end_at_match: bool = True, max_levels: int = 1000) -> DataFrame:
-    """(source, target, depth) of all paths from start ids to target ids along the edges.
+    """(source, target, depth), one row for each path of path_counts."""
+    counted = path_counts(edges, start, target, stop, forward, end_at_match, max_levels)
+    block = 10_000
+    many = counted.withColumn("_b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("paths") / block).cast("int") - 1)))
+    size = F.least(F.lit(block), F.col("paths") - F.col("_b").cast("decimal(38,0)") * block).cast("int")
+    return many.withColumn("_p", F.explode(F.sequence(F.lit(1), size))).select("source", "target", "depth")
+
 
-    A start that is a target matches at depth 0.  end_at_match prunes branches at a match; a stop id ends
-    its branch.  One row per path.  Level by level: one join of the frontier with the edges, written once to the shared folder.
-    After max_levels, as with a cycle that never ends, it raises an error.
+def nearest(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFrame | None = None, forward: bool = True, max_levels: int = 1000) -> DataFrame:
+    """(source, target, depth): of each start id the distinct target ids at the least depth.
+
+    A (source, node) that was reached before is not gone on from again, nor a source that has matched; so cycles end by
+    themselves.  One job works on LEVELS levels.
     """
-    spark = edges.sparkSession
-    a, b = ("predecessor", "successor") if forward else ("successor", "predecessor")
-    step = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    goals = target.select(F.col(target.columns[0]).alias("_goal")).distinct().withColumn("_hit", F.lit(True))
-    ends = stop.select(F.col(stop.columns[0]).alias("_stop")).distinct() if stop is not None else None
-    frontier = start.select(F.col(start.columns[0]).alias("source"), F.col(start.columns[0]).alias("at"))
-    found: DataFrame | None = None
-    for depth in range(max_levels):
-        tagged = frontier.join(goals, F.col("at") == F.col("_goal"), "left")
-        hits = tagged.where("_hit").select("source", F.col("at").alias("target"), F.lit(depth).alias("depth"))
-        found = hits if found is None else found.unionByName(hits)
-        live = tagged.where("_hit is null") if end_at_match else tagged
-        live = live.select("source", "at")
-        if ends is not None:
-            live = live.join(ends, F.col("at") == F.col("_stop"), "left_anti")
-        frontier = live.join(step, F.col("at") == F.col("_from")).select("source", F.col("_to").alias("at"))
-        frontier = written(frontier)
-        if frontier.isEmpty():
-            return found
-    raise ValueError(f"paths of over {max_levels} levels; do the edges hold a cycle?")
+    step, flags = _steps(edges, target, stop, forward)
+    step = _sized(step).withColumnsRenamed({"_goal": "_g", "_stop": "_s"})
+    first = _flagged(start.select(F.col(start.columns[0]).alias("id")).distinct(), flags)
+    level = written(first.select(F.col("id").alias("source"), F.col("id").alias("at"), F.lit(0).alias("depth"), "_goal", "_stop"))
+    seen, depth = level, 0
+    while depth < max_levels:
+        over = seen.groupBy("source").agg(F.max("_goal").alias("_done")).where("_done").select("source")
+        parts = [level.join(over, "source", "left_anti")]
+        for _ in range(LEVELS):
+            depth += 1
+            onward = parts[-1].where("not _stop and not _goal").join(step, F.col("at") == F.col("_from"))
+            parts.append(onward.select("source", F.col("_to").alias("at"), F.lit(depth).alias("depth"), F.col("_g").alias("_goal"), F.col("_s").alias("_stop")).distinct())
+        new = reduce(DataFrame.unionByName, parts[1:]).groupBy("source", "at", "_goal", "_stop").agg(F.min("depth").alias("depth"))
+        new = new.join(seen.select("source", "at"), ["source", "at"], "left_anti")
+        made, ahead = _written_and_counted(new.select(*level.columns), F.col("depth") == depth)
+        seen = seen.unionByName(made)
+        if not ahead:
+            break
+        level = made.where(F.col("depth") == depth)
+    else:
+        raise ValueError(f"nodes over {max_levels} levels away")
+    hits = seen.where("_goal")
+    least = hits.groupBy("source").agg(F.min("depth").alias("depth"))
+    return hits.join(least, ["source", "depth"]).select("source", F.col("at").alias("target"), "depth")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,24 +140,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure_sql(spark, edges: DataFrame, start: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """All (source, node, depth) reachable, as a recursive query."""
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_levels))
+def closure_sql(spark: SparkSession, edges: DataFrame, start: DataFrame, max_levels: int = 1000) -> DataFrame:
+    """All (source, node, depth) reachable, as a recursive query; the session's limit of rows of such queries is lifted."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    edges.createOrReplaceTempView("_lineage_edges")
-    start.select(F.col(start.columns[0]).alias("id")).createOrReplaceTempView("_lineage_start")
     return spark.sql(
-        """WITH RECURSIVE walk(source, node, depth) AS (
-             SELECT id, id, 0 FROM _lineage_start
-             UNION ALL SELECT walk.source, e.successor, walk.depth + 1 FROM walk JOIN _lineage_edges e ON e.predecessor = walk.node)
-           SELECT source, node, depth FROM walk"""
+        f"""WITH RECURSIVE walk(source, node, depth) MAX RECURSION LEVEL {int(max_levels)} AS (
+             SELECT id, id, 0 FROM {{start}}
+             UNION ALL SELECT walk.source, e.successor, walk.depth + 1 FROM walk JOIN {{edges}} e ON e.predecessor = walk.node)
+           SELECT source, node, depth FROM walk""",
+        edges=edges,
+        start=start.select(F.col(start.columns[0]).alias("id")),
     )
 
 
 def closest_metric(edges: DataFrame, modules: DataFrame, metric_nodes: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
     """(source, target, depth): the nearest metric nodes below each module; parameters (by source) joined last."""
-    pairs = search(edges, modules, metric_nodes)
-    near = pairs.withColumn("_d", F.min("depth").over(Window.partitionBy("source"))).where("depth = _d").drop("_d").distinct()
+    near = nearest(edges, modules, metric_nodes)
     return near.join(parameters, "source") if parameters is not None else near
 
 

@@ -171,6 +171,40 @@ def closest_metric(spark: SparkSession, d: str) -> DataFrame:
     return lineage.closest_metric(e, start, e.where("successor % 10 = 7").select("successor"))
 
 
+#: Two predecessors a node, so that paths meet again: the number of paths grows with the depth, that of nodes does not.
+_MESH = """edges AS (SELECT p_partkey // 2 AS predecessor, p_partkey AS successor FROM part WHERE p_partkey >= 1 UNION ALL SELECT p_partkey // 2 - 1, p_partkey FROM part WHERE p_partkey >= 4),
+    starts AS (SELECT p_partkey AS id FROM part WHERE p_partkey BETWEEN 1 AND 3)"""
+
+
+def _mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part = views.table(spark, d, "part")
+    more = part.where("p_partkey >= 4").select((F.floor(F.col("p_partkey") / 2) - 1).cast("bigint").alias("predecessor"), F.col("p_partkey").alias("successor"))
+    goals = part.where("p_partkey % 10 = 7").select("p_partkey")
+    return views.edges(spark, d).unionByName(more), part.where("p_partkey BETWEEN 1 AND 3").select("p_partkey"), goals
+
+
+@query(
+    f"""WITH RECURSIVE {_MESH}, w AS (SELECT id AS source, id AS here, 0 AS depth, 1::HUGEINT AS paths FROM starts
+            UNION ALL SELECT w.source, e.successor, w.depth + 1, sum(w.paths)::HUGEINT FROM w JOIN edges e ON e.predecessor = w.here GROUP BY w.source, e.successor, w.depth)
+        SELECT source, here AS target, depth, paths::BIGINT AS paths FROM w WHERE here % 10 = 7"""
+)
+def lineage_path_counts(spark: SparkSession, d: str) -> DataFrame:
+    """J9 over a graph in which paths meet: how many of each length lead to each target."""
+    found = lineage.path_counts(*_mesh(spark, d), end_at_match=False)
+    return found.withColumn("paths", F.col("paths").cast("bigint"))
+
+
+@query(
+    f"""WITH RECURSIVE {_MESH}, w AS (SELECT p_partkey AS source, p_partkey AS here, 0 AS depth FROM part WHERE p_partkey % 4 = 1
+            UNION SELECT w.source, e.successor, w.depth + 1 FROM w JOIN edges e ON e.predecessor = w.here WHERE w.here % 10 <> 7)
+        SELECT source, here AS target, depth FROM w WHERE here % 10 = 7 QUALIFY depth = min(depth) OVER (PARTITION BY source)"""
+)
+def closest_metric_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """J10 over a graph in which paths meet."""
+    edges, _, goals = _mesh(spark, d)
+    return lineage.closest_metric(edges, views.table(spark, d, "part").where("p_partkey % 4 = 1").select("p_partkey"), goals)
+
+
 @query(
     f"""{sql('edges').replace('WITH', 'WITH RECURSIVE')}, m AS (SELECT p_partkey AS node, p_retailprice AS value FROM part WHERE p_partkey % 10 = 7),
     n AS (SELECT p_brand AS module, p_partkey AS source FROM part WHERE p_brand = 'Brand#12' OR (p_brand = 'Brand#23' AND p_size = 7)),
