@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import classify, columns, estimators, lineage, results
+from ..operators import classify, columns, estimators, lineage, neighbours, results
 
 from ..sources import chips, tables
 from ..streaming import contingency as stream
@@ -349,6 +349,27 @@ def knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     return classify.vote(classify.nearest_lsh(t, t.where("id % 20 = 0"), 5, bucket=2.0, others=True), weights="distance")
 
 
+@query()
+def knn_large(spark: SparkSession, d: str) -> DataFrame:
+    """M10: cosine neighbours through hash tables whose recall is measured; every row is indexed, the stated queries are ids divisible by 20."""
+    t = views.feat(spark, d)
+    found = neighbours.nearest_large(t, t.where("id % 20 = 0"), 5, metric="cosine", others=True)
+    return classify.vote(found.neighbours, weights="distance").withColumn("recall", F.lit(found.recall))
+
+
+_NEAR_ALL = f"""{sql('feat')}, p AS (SELECT q.id AS query, t.id, t.y, round(1 - list_cosine_similarity(q.x, t.x), 12) AS dist FROM feat q, feat t WHERE q.id % 20 = 0 AND q.id <> t.id),
+        k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5)"""
+
+
+@query(f"{_NEAR_ALL} SELECT query, id, round(dist, 6) + 0.0 AS distance FROM k")
+def knn_exact_all(spark: SparkSession, d: str) -> DataFrame:
+    """M9 over all rows and dimensions, by cosine."""
+    t = views.feat(spark, d)
+    near = classify.nearest(t, t.where("id % 20 = 0"), 6, "cosine").where("query <> id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 12), "id"))
+    return rounded(near.withColumn("r", rank).where("r <= 5").select("query", "id", "distance"))
+
+
 # ---------------------------------------------------------------- streams
 
 
