@@ -1,7 +1,7 @@
 """Neighbourhood operators over pixel tables (keys, row, col, value columns).
 
-Filters are separable window frames: along the rows, then along the columns.  Window partitions
-are one row or one column of one chip, so no task holds more than a strip.
+Filters work on tiles with a halo, as arrays (module tiles); flags and shifts are window frames along rows and
+columns, so no task holds more than a tile or a strip.
 """
 
 from __future__ import annotations
@@ -14,23 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _border(c: Column, width: Column, k: int, kind: str) -> Column:
-    """The positions at which a pixel stands in a line padded by k on both sides (mirror: edge not repeated); lines shorter than k fold repeatedly."""
-    period = F.greatest(2 * (width - 1), F.lit(1)) if kind == "mirror" else 2 * width
-    back = 0 if kind == "mirror" else 1
-
-    def here(p: Column) -> Column:
-        at = F.pmod(p, period)
-        return F.least(at, period - back - at) == c
-
-    beyond = [x for j in range(k) for x in (F.lit(-1 - j), width + j)]
-    return F.array_compact(F.array(c, *[F.when(here(x), x) for x in beyond]))
-
-
-def padded(df: DataFrame, keys: Sequence[str], axis: str, k: int, kind: str, size: str) -> DataFrame:
-    """df with rows repeated beyond the ends of an axis; size: the column with the axis' length."""
-    return df.withColumn(axis, F.explode(_border(F.col(axis), F.col(size), k, kind)))
+from . import tiles
 
 
 def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,55 +26,51 @@ def _line_frame(keys: Sequence[str], line: str, along: str, k: int):
     return Window.partitionBy(*keys, line).orderBy(along).rowsBetween(-k, k)
 
 
+def _clean(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Missing and NaN values as 0."""
+    return df.select(*keys, "row", "col", *[F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(v) for v in values])
+
+
 def window_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], win: int = 7, kind: str = "mirror") -> DataFrame:
-    """Mean of the win x win neighbourhood of each value (two passes of line windows)."""
-    k = win // 2
-    sized = _sizes(df.select(*keys, "row", "col", *values), keys)
-    out = sized
-    for line, along, size in (("row", "col", "_cols"), ("col", "row", "_rows")):
-        frame = _line_frame(keys, line, along, k)
-        wide = padded(out, keys, along, k, kind, size)
-        wide = wide.select(*keys, "row", "col", "_rows", "_cols", *[F.avg(v).over(frame).alias(v) for v in values])
-        out = wide.where((F.col(along) >= 0) & (F.col(along) < F.col(size)))
-    return out.select(*keys, "row", "col", *values)
+    """Mean of the win x win neighbourhood of each value."""
+
+    def means(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        return {v: tiles.box_mean(tile, tile.bands[v]) for v in values}
+
+    return tiles.apply(df, keys, values, dict.fromkeys(values, "double"), win // 2, kind, means)
 
 
 def boxcar(df: DataFrame, keys: Sequence[str], values: Sequence[str], win: int = 7) -> DataFrame:
     """Boxcar mean with mirrored borders; NaN counts as 0."""
-    clean = df.withColumns({v: F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0)) for v in values})
-    return window_mean(clean, keys, values, win, "mirror")
+    return window_mean(_clean(df, keys, values), keys, values, win, "mirror")
 
 
-def neighbourhood(df: DataFrame, keys: Sequence[str], value: Column, name: str, win: int, kind: str | None) -> DataFrame:
-    """name: all values of the win x win neighbourhood as an array.  kind None: no padding, only what lies in the chip."""
-    k = win // 2
-    out = _sizes(df, keys).withColumn(name, F.array(value))
-    other = [c for c in out.columns if c not in (*keys, "row", "col", name)]
-    for line, along, size in (("row", "col", "_cols"), ("col", "row", "_rows")):
-        wide = padded(out, keys, along, k, kind, size) if kind else out
-        wide = wide.select(*keys, "row", "col", *other, F.flatten(F.collect_list(name).over(_line_frame(keys, line, along, k))).alias(name))
-        out = wide.where((F.col(along) >= 0) & (F.col(along) < F.col(size)))
-    return out.drop("_rows", "_cols")
+def median(df: DataFrame, keys: Sequence[str], values: str | Sequence[str], win: int = 7) -> DataFrame:
+    """Median of the win x win neighbourhood (win odd) of one or several bands, mirrored borders; missing and NaN values are the largest."""
+    values = [values] if isinstance(values, str) else list(values)
 
+    def middle(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        near = {v: np.lib.stride_tricks.sliding_window_view(tile.bands[v], (win, win)).reshape(*tile.shape, win * win) for v in values}
+        return {v: np.partition(x, win * win // 2, axis=-1)[..., win * win // 2] for v, x in near.items()}
 
-def median(df: DataFrame, keys: Sequence[str], value: str, win: int = 7) -> DataFrame:
-    """Median of the win x win neighbourhood (win odd), mirrored borders."""
-    near = neighbourhood(df.select(*keys, "row", "col", value), keys, F.col(value).cast("double"), "_near", win, "mirror")
-    return near.select(*keys, "row", "col", F.element_at(F.array_sort("_near"), (win * win + 1) // 2).alias(value))
+    return tiles.apply(df, keys, values, dict.fromkeys(values, "double"), win // 2, "mirror", middle)
 
 
 def lee(df: DataFrame, keys: Sequence[str], values: Sequence[str], win: int = 7, looks: float = 4.4) -> DataFrame:
     """Lee speckle filter: |x| (NaN: 0), one gain for all bands from the span's local moments, borders reflected."""
-    s2 = 1.0 / looks
-    clean = df.select(*keys, "row", "col", *[F.abs(F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(v) for v in values])
-    span = sum((F.col(v) * F.col(v) for v in values), F.lit(0.0))
-    clean = clean.withColumn("_s", span).withColumn("_s2", F.col("_s") * F.col("_s"))
-    means = window_mean(clean, keys, [*values, "_s", "_s2"], win, "reflect")
-    means = means.withColumnsRenamed({v: f"_m_{v}" for v in values})
-    var = F.greatest(F.col("_s2") - F.col("_s") * F.col("_s"), F.lit(1e-10))
-    gain = F.greatest((var - F.col("_s") * F.col("_s") * s2) / (1 + s2), F.lit(0.0)) / var
-    both = means.withColumn("_k", gain).drop("_s", "_s2").join(clean.drop("_s", "_s2"), [*keys, "row", "col"])
-    return both.select(*keys, "row", "col", *[(F.col(f"_m_{v}") + (F.col(v) - F.col(f"_m_{v}")) * F.col("_k")).alias(v) for v in values])
+
+    def filtered(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        size = {v: np.abs(tile.bands[v]) for v in values}
+        span = sum(x * x for x in size.values())
+        mean = tiles.box_mean(tile, span)
+        gain = _gain(mean, tiles.box_mean(tile, span * span) - mean * mean, 1.0 / looks)
+        out = {}
+        for v, x in size.items():
+            own = tiles.box_mean(tile, x)
+            out[v] = own + (tile.shifted(x, 0, 0) - own) * gain
+        return out
+
+    return tiles.apply(_clean(df, keys, values), keys, values, dict.fromkeys(values, "double"), win // 2, "reflect", filtered)
 
 
 @lru_cache(32)
@@ -129,20 +109,10 @@ def point_targets(df: DataFrame, keys: Sequence[str], values: Sequence[str], per
     return x.drop("_count", "_target", "_near", "_limit", "_rows", "_cols")
 
 
-def _gain(mean: Column, var: Column, noise: float) -> Column:
+def _gain(mean: np.ndarray, var: np.ndarray, noise: float) -> np.ndarray:
     """Share of the local deviation that is kept; noise: variance of the speckle."""
-    var = F.greatest(var, F.lit(1e-10))
-    return F.greatest((var - mean * mean * noise) / (1 + noise), F.lit(0.0)) / var
-
-
-def _field(name: str) -> Callable[[Column], Column]:
-    return lambda c: c[name]
-
-
-def _moments(a: Column) -> tuple[Column, Column]:
-    n = F.nullif(F.size(a), F.lit(0))
-    m = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    return m, F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x) / n - m * m
+    var = np.maximum(var, 1e-10)
+    return np.maximum((var - mean * mean * noise) / (1 + noise), 0.0) / var
 
 
 def improved_sigma(df: DataFrame, keys: Sequence[str], values: Sequence[str], looks: float = 4.4, sigma: float = 0.9, percentile: float = 0.98, bounds: tuple[float, float, float] | None = None) -> DataFrame:
@@ -154,24 +124,51 @@ def improved_sigma(df: DataFrame, keys: Sequence[str], values: Sequence[str], lo
     that follows from looks and sigma.
     """
     low, high, inner = bounds or sigma_range(looks, sigma)
-    clean = df.select(*keys, "row", "col", *[F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(v) for v in values])
-    x = point_targets(clean, keys, values, percentile)
-    x = neighbourhood(x, keys, F.col("_span"), "_three", 3, None)
-    m, v = _moments(F.col("_three"))
-    x = x.withColumn("_x", m + _gain(m, v, 1 / looks) * (F.col("_span") - m)).drop("_three")
-    cell = F.struct(F.col("_span").alias("s"), *[(F.col(b) * F.col(b)).alias(f"v{i}") for i, b in enumerate(values)])
-    x = neighbourhood(x, keys, cell, "_seven", 7, None)
-    x = x.withColumn("_pick", F.filter("_seven", lambda c: (c["s"] > low * F.col("_x")) & (c["s"] < high * F.col("_x"))))
-    m, v = _moments(F.transform("_pick", _field("s")))
-    x = x.withColumn("_k", _gain(m, v, inner))
-    out = []
-    for i, b in enumerate(values):
-        m, _ = _moments(F.transform("_pick", _field(f"v{i}")))
-        est = F.when(F.size("_pick") == 0, 0.0).otherwise(m + F.col("_k") * (F.col(b) * F.col(b) - m))
-        est = F.when(F.col("kept"), F.col(b) * F.col(b)).when(F.col("inside"), est).otherwise(0.0)
-        est = F.sqrt(F.greatest(F.coalesce(F.nanvl(est, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))
-        out.append(est.alias(b))
-    return x.select(*keys, "row", "col", *out)
+    clean = _clean(df, keys, values)
+    limit = clean.groupBy(*[F.col(k).alias(f"_p_{i}") for i, k in enumerate(keys)]).agg(F.percentile(F.col(values[0]) * F.col(values[0]), percentile).alias("_limit"))
+    clean = clean.join(limit, [F.col(k).eqNullSafe(F.col(f"_p_{i}")) for i, k in enumerate(keys)])
+
+    def filtered(tile: tiles.Tile) -> dict[str, np.ndarray]:
+        square = {v: tile.bands[v] ** 2 for v in values}
+        span = sum(square.values())
+        near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        # brightness, then targets with six bright cells around, then what lies next to a target: one ring of the halo each
+        grow = lambda a, f: f([np.roll(a, (x, y), (0, 1)) for x, y in near])
+        bright = tile.there & (span > np.where(np.isnan(tile.bands["_limit"]), np.inf, tile.bands["_limit"]))
+        r, c = (n - tile.halo + np.arange(m) for n, m in zip((tile.top, tile.left), tile.there.shape))
+        deep = ((r >= 3) & (r < tile.rows - 3))[:, None] & (c >= 3) & (c < tile.cols - 3)
+        target = deep & tile.there & (grow(bright.astype(int), sum) >= 6)
+        kept = tile.shifted(bright & (grow(target.astype(int), sum) > 0), 0, 0)
+        inside = tile.border(3)
+
+        def moments(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n, s, q = (np.zeros(tile.shape) for _ in range(3))
+            for mask, x in cells:
+                n += mask
+                s += np.where(mask, x, 0.0)
+                q += np.where(mask, x * x, 0.0)
+            mean = s / np.maximum(n, 1)
+            return n, mean, q / np.maximum(n, 1) - mean * mean
+
+        own = tile.shifted(span, 0, 0)
+        _, mean, var = moments((tile.shifted(tile.there, a, b), tile.shifted(span, a, b)) for a, b in near)
+        guess = mean + _gain(mean, var, 1 / looks) * (own - mean)
+        wide = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
+        picks = []
+        for a, b in wide:
+            x = tile.shifted(span, a, b)
+            picks.append(tile.shifted(tile.there, a, b) & (x > low * guess) & (x < high * guess))
+        n, mean, var = moments((p, tile.shifted(span, a, b)) for p, (a, b) in zip(picks, wide))
+        gain = _gain(mean, var, inner)
+        out = {}
+        for v, x in square.items():
+            _, mean, _ = moments((p, tile.shifted(x, a, b)) for p, (a, b) in zip(picks, wide))
+            own = tile.shifted(x, 0, 0)
+            estimate = np.where(n == 0, 0.0, mean + gain * (own - mean))
+            out[v] = np.sqrt(np.maximum(np.where(kept, own, np.where(inside, estimate, 0.0)), 0.0))
+        return out
+
+    return tiles.apply(clean, keys, [*values, "_limit"], dict.fromkeys(values, "double"), 3, None, filtered)
 
 
 # Alias -> filter.
@@ -182,13 +179,7 @@ def speckle_filter(name: str, df: DataFrame, keys: Sequence[str], values: Sequen
     kind = FILTER_ALIASES.get(name.casefold().strip())
     if kind is None:
         raise ValueError(f"unknown or unsupported filter: {name}")
-    if kind == "median":
-        out = None
-        for v in values:
-            one = median(df, keys, v, **how)
-            out = one if out is None else out.join(one, [*keys, "row", "col"])
-        return out
-    return {"boxcar": boxcar, "lee": lee, "improved": improved_sigma}[kind](df, keys, values, **how)
+    return {"median": median, "boxcar": boxcar, "lee": lee, "improved": improved_sigma}[kind](df, keys, values, **how)
 
 
 # ---------------------------------------------------------------- windows, tiles, zones
