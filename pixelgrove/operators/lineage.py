@@ -63,8 +63,10 @@ def path_counts(edges: DataFrame, start: DataFrame, target: DataFrame, stop: Dat
             live = parts[-1].where(~F.col("_stop") & ~(F.col("_goal") & F.lit(end_at_match)))
             onward = live.join(step.withColumnsRenamed({"_goal": "_g", "_stop": "_s"}), F.col("at") == F.col("_from"))
             depth += 1
-            counts = onward.groupBy("source", F.col("_to").alias("at")).agg(F.sum(F.col("paths") * F.col("_n")).cast("decimal(38,0)").alias("paths"), F.any_value("_g").alias("_goal"), F.any_value("_s").alias("_stop"))
-            parts.append(counts.select("source", "at", F.lit(depth).alias("depth"), "paths", "_goal", "_stop"))
+            # no literal of the depth: the code that is generated for one level serves all
+            counts = onward.groupBy("source", F.col("_to").alias("at"), (F.col("depth") + 1).alias("depth"), F.col("_g").alias("_goal"), F.col("_s").alias("_stop"))
+            counts = counts.agg(F.sum(F.col("paths") * F.col("_n")).cast("decimal(38,0)").alias("paths"))
+            parts.append(counts.select("source", "at", "depth", "paths", "_goal", "_stop"))
         made, ahead = _written_and_counted(reduce(DataFrame.unionByName, parts if not done else parts[1:]), F.col("depth") == depth)
         done.append(made)
         if not ahead:
@@ -107,7 +109,7 @@ def nearest(edges: DataFrame, start: DataFrame, target: DataFrame, stop: DataFra
         for _ in range(LEVELS):
             depth += 1
             onward = parts[-1].where("not _stop and not _goal").join(step, F.col("at") == F.col("_from"))
-            parts.append(onward.select("source", F.col("_to").alias("at"), F.lit(depth).alias("depth"), F.col("_g").alias("_goal"), F.col("_s").alias("_stop")).distinct())
+            parts.append(onward.select("source", F.col("_to").alias("at"), (F.col("depth") + 1).alias("depth"), F.col("_g").alias("_goal"), F.col("_s").alias("_stop")).distinct())
         new = reduce(DataFrame.unionByName, parts[1:]).groupBy("source", "at", "_goal", "_stop").agg(F.min("depth").alias("depth"))
         new = new.join(seen.select("source", "at"), ["source", "at"], "left_anti")
         made, ahead = _written_and_counted(new.select(*level.columns), F.col("depth") == depth)
