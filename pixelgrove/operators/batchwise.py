@@ -1,9 +1,9 @@
 """Metrics of random batches of chips.
 
 Chips are shuffled n_iter times by a hash of (seed, iteration, chip), cut into batches, and each
-batch's summed counts give its metrics.  Rows are chips x iterations: the work is asked for.  Every
-iteration is its own window partition, so tasks grow with the number of chips of one shuffle; from some
-millions of chips on, ranks would be taken in salted ranges as the packing of documents does.
+batch's summed counts give its metrics.  Rows are chips x iterations: the work is asked for.  Chips are ranked
+within ranges of the hash (its first hexadecimal digits), and the counts of the ranges before are added, so no task
+holds more than some RANGE_ROWS chips of an iteration.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chips of an iteration that one window partition holds, about.
+RANGE_ROWS = 4000
+
+
 def remap(table: DataFrame, keys: Sequence[str], label_of_interest: int = 1, preds_of_interest: Sequence[int] = (1,), exclude: Sequence[int] = (-1,)) -> DataFrame:
     """Binary counts per key: the class of interest against the rest, several predictions may count as positive."""
     t = table.where(~F.col("label").isin(*exclude)) if exclude else table
@@ -38,7 +42,17 @@ def batches(counts: DataFrame, chip: str, n_iter: int, size: int, seed: int = 42
     """(iter, batch, tp, fp, fn, tn) of every batch; the last one of an iteration may be smaller."""
     rows = counts.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
     order = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("iter").cast("string"), F.col(chip).cast("string")).cast("binary"))
-    rank = F.row_number().over(Window.partitionBy("iter").orderBy(order, F.col(chip)))
+    rows = rows.withColumn("_o", order)
+    digits, chips = 0, counts.count()
+    while chips > RANGE_ROWS << 4 * digits:
+        digits += 1
+    rows = rows.withColumn("_range", F.substring("_o", 1, digits))
+    rank = F.row_number().over(Window.partitionBy("iter", "_range").orderBy("_o", F.col(chip))).cast("long")
+    if digits:
+        before = F.sum("_n").over(Window.partitionBy("iter").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = rows.groupBy("iter", "_range").agg(F.count(F.lit(1)).alias("_n")).select("iter", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+        rows = rows.withColumn("_r", rank).join(ahead, ["iter", "_range"])
+        rank = F.col("_r") + F.col("_before")
     rows = rows.withColumn("batch", F.floor((rank - 1) / F.lit(size)))
     return rows.groupBy("iter", "batch").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 

@@ -178,6 +178,62 @@ def ridge_fit(df: DataFrame, x: str, y: str, ridge: float = 1.0, folds: int = 5)
     return best
 
 
+#: Exponents of ten of the penalties that are tried.
+RIDGE_EXPONENTS = (5.0, 3.0, 40)
+
+
+def ridge_choice(df: DataFrame, keys: Sequence[str], x: str, y: str, fold: Column, folds: int = 5, exponents: tuple[float, float, int] = RIDGE_EXPONENTS) -> DataFrame:
+    """Per key: a ridge line of y, or of ln y, on x, whichever predicts left-out rows better: log, alpha, score, slope, intercept, n.
+
+    x and the response are standardised; score is minus the mean squared error of the rows of every fold under the line of all
+    others; penalties run over 10 ** exponents (first, last, how many).  slope and intercept are in the units of x and y (or ln y).  Every fold's
+    moments are summed once, and the others' are the total minus them, so the folds and penalties cost no further pass.
+
+    Rows where x or y is null or not finite are left out, for ln y also those with y <= 0.  Ties go to y, then to the larger penalty.
+    """
+    first, last, many = exponents
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.pmod(fold, F.lit(folds)).alias("_f")).where(fine("_x") & fine("_y"))
+    forms = F.explode(F.array(F.struct(F.lit(False).alias("log"), F.col("_y").alias("y")), F.struct((F.col("_y") > 0).alias("log"), F.when(F.col("_y") > 0, F.log("_y")).alias("y"))))
+    rows = rows.select(*keys, "_x", "_f", forms.alias("_t")).where("_t.y is not null").select(*keys, "_x", "_f", F.col("_t.log").alias("log"), F.col("_t.y").alias("_y"))
+    parts = {"n": F.lit(1.0), "sx": F.col("_x"), "sy": F.col("_y"), "sxx": F.col("_x") * F.col("_x"), "sxy": F.col("_x") * F.col("_y"), "syy": F.col("_y") * F.col("_y")}
+    sums = rows.groupBy(*keys, "log", "_f").agg(*[F.sum(v).alias(k) for k, v in parts.items()])
+    whole = Window.partitionBy(*keys, "log")
+    sums = sums.withColumns({f"t_{k}": F.sum(k).over(whole) for k in parts})
+    mean = {v: F.col(f"t_s{v}") / F.col("t_n") for v in "xy"}
+    sd = {v: F.sqrt(F.greatest(F.col(f"t_s{v}{v}") / F.col("t_n") - mean[v] * mean[v], F.lit(0.0))) for v in "xy"}
+    sums = sums.withColumns({"mx": mean["x"], "my": mean["y"], "dx": F.when(sd["x"] > 0, sd["x"]).otherwise(1.0), "dy": F.when(sd["y"] > 0, sd["y"]).otherwise(1.0)})
+
+    def standard(pre: str) -> dict[str, Column]:
+        """The moments of the standardised variables from those of the plain ones."""
+        n, sx, sy, sxx, sxy, syy = (F.col(f"{pre}{k}") for k in parts)
+        mx, my, dx, dy = (F.col(c) for c in ("mx", "my", "dx", "dy"))
+        return {
+            "n": n, "sx": (sx - n * mx) / dx, "sy": (sy - n * my) / dy, "sxx": (sxx - 2 * mx * sx + n * mx * mx) / (dx * dx),
+            "sxy": (sxy - mx * sy - my * sx + n * mx * my) / (dx * dy), "syy": (syy - 2 * my * sy + n * my * my) / (dy * dy),
+        }
+
+    own, total = standard(""), standard("t_")
+    sums = sums.select(*keys, "log", "t_n", "mx", "my", "dx", "dy", F.struct(*[v.alias(k) for k, v in own.items()]).alias("o"), F.struct(*[v.alias(k) for k, v in total.items()]).alias("t"))
+    steps = F.array(*[F.lit(float(10 ** (first + (last - first) * i / max(many - 1, 1)))) for i in range(many)])
+
+    def line(m: dict[str, Column], alpha: Column) -> tuple[Column, Column]:
+        slope = (m["sxy"] - m["sx"] * m["sy"] / m["n"]) / (m["sxx"] - m["sx"] * m["sx"] / m["n"] + alpha)
+        return slope, (m["sy"] - slope * m["sx"]) / m["n"]
+
+    o = {k: F.col(f"o.{k}") for k in parts}
+    rest = {k: F.col(f"t.{k}") - o[k] for k in parts}
+    tried = sums.withColumn("alpha", F.explode(steps)).where(rest["n"] > 0)
+    b, a = line(rest, F.col("alpha"))
+    error = o["syy"] - 2 * a * o["sy"] - 2 * b * o["sxy"] + o["n"] * a * a + 2 * a * b * o["sx"] + b * b * o["sxx"]
+    once = lambda c: F.first(c).alias(c)
+    scored = tried.groupBy(*keys, "log", "alpha").agg((-F.sum(error) / F.sum(o["n"])).alias("score"), *map(once, ("t_n", "mx", "my", "dx", "dy", "t")))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("log", "alpha", "score", "t_n", "mx", "my", "dx", "dy", "t"), F.struct(F.round("score", 9), ~F.col("log"), F.col("alpha"))).alias("b")).select(*keys, "b.*")
+    b, a = line({k: F.col(f"t.{k}") for k in parts}, F.col("alpha"))
+    slope = b * F.col("dy") / F.col("dx")
+    return best.select(*keys, "log", "alpha", "score", slope.alias("slope"), (F.col("my") + a * F.col("dy") - slope * F.col("mx")).alias("intercept"), F.col("t_n").cast("long").alias("n"))
+
+
 def best_configurations(df: DataFrame, metrics: Sequence[str], key: Sequence[str], bucket: Column | None = None, k: int = 5) -> DataFrame:
     """The k best rows of each bucket by the metrics, descending, nulls last, then by key."""
     order = [*[F.desc_nulls_last(m) for m in metrics], *key]

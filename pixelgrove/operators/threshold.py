@@ -34,21 +34,25 @@ def _sums(hist: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
     return h.withColumns({**{k: F.sum(v).over(up) for k, v in parts.items()}, **{f"{k}_all": F.sum(v).over(whole) for k, v in parts.items()}})
 
 
-def otsu(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
-    """(keys, threshold): the upper edge of the bin with the largest between-class variance (the first on ties)."""
-    t = _sums(histogram(df, keys, value, bins), keys, F.col("bin") + F.lit(0.5))
+def _cut() -> Column:
+    """A bin and its upper edge."""
+    return F.struct(F.col("bin").alias("cut"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("threshold"))
+
+
+def otsu_bin(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cut, threshold): the bin with the largest between-class variance (the first on ties) of each histogram, and its upper edge."""
+    t = _sums(hist, keys, F.col("bin") + F.lit(0.5))
     w0, w1 = F.col("c"), F.col("c_all") - F.col("c")
     gap = F.col("m") / F.nullif(w0, F.lit(0.0)) - (F.col("m_all") - F.col("m")) / F.nullif(w1, F.lit(0.0))
     t = t.withColumn("score", F.round(w0 * w1 * gap * gap / (F.col("c_all") * F.col("c_all")), 12))
-    edge = F.col("low") + (F.col("bin") + 1) * F.col("width")
-    return t.groupBy(*keys).agg(F.max_by(edge, F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("bin"))).alias("threshold"))
+    return t.groupBy(*keys).agg(F.max_by(_cut(), F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("bin"))).alias("_c")).select(*keys, "_c.*")
 
 
-def minimum_error(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
-    """(keys, threshold) after Kittler and Illingworth: two normal classes with least overlap; positions rescaled to
+def minimum_error_bin(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cut, threshold) after Kittler and Illingworth: two normal classes with least overlap; positions rescaled to
     [0, 1], 1e-9 guards the logarithms.  Without any finite cost the middle bin is taken."""
-    hist = histogram(df, keys, value, bins)
-    t = _sums(hist.withColumn("h", F.col("h") * F.col("width")), keys, F.col("bin") / F.lit(float(bins - 1)))
+    last = F.max("bin").over(Window.partitionBy(*keys))
+    t = _sums(hist.withColumns({"h": F.col("h") * F.col("width"), "_last": last}), keys, F.col("bin") / F.col("_last").cast("double"))
     eps = 1e-9
     p, q = F.col("c"), F.col("c_all") - F.col("c")
     mu = lambda m, w: m / F.nullif(w, F.lit(0.0))
@@ -57,13 +61,23 @@ def minimum_error(df: DataFrame, keys: Sequence[str], value: str, bins: int = 25
     sd1 = F.sqrt(F.greatest(var(F.col("s_all") - F.col("s"), F.col("m_all") - F.col("m"), q), F.lit(0.0)) + eps)
     cost = 1 + 2 * (p * F.log(sd0) + q * F.log(sd1)) - 2 * (p * F.log(p + eps) + q * F.log(q + eps))
     t = t.withColumn("cost", F.when((p > eps) & (q > eps), F.round(cost, 12)))
-    t = t.withColumn("edge", F.col("low") + (F.col("bin") + 1) * F.col("width"))
-    best = F.min_by("edge", F.when(F.col("cost").isNotNull(), F.struct("cost", "bin")))
-    middle = F.max(F.when(F.col("bin") == bins // 2, F.col("edge")))
-    return t.groupBy(*keys).agg(F.coalesce(best, middle).alias("threshold"))
+    best = F.min_by(_cut(), F.when(F.col("cost").isNotNull(), F.struct("cost", "bin")))
+    middle = F.max(F.when(F.col("bin") == F.floor((F.col("_last") + 1) / 2), _cut()))
+    return t.groupBy(*keys).agg(F.coalesce(best, middle).alias("_c")).select(*keys, "_c.*")
+
+
+def otsu(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
+    """(keys, threshold) of otsu_bin."""
+    return otsu_bin(histogram(df, keys, value, bins), keys).drop("cut")
+
+
+def minimum_error(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> DataFrame:
+    """(keys, threshold) of minimum_error_bin."""
+    return minimum_error_bin(histogram(df, keys, value, bins), keys).drop("cut")
 
 
 METHODS = {"otsu": otsu, "minimum_error": minimum_error}
+CUTS = {"otsu": otsu_bin, "minimum_error": minimum_error_bin}
 
 
 def apply_threshold(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], value: str, name: str = "pred") -> DataFrame:

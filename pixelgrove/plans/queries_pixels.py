@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectral as S
 from ..operators import columns, params, spatial, threshold
-from . import spaces, views
+from . import evaluate, spaces, views
 from .rounding import rounded
 from .views import sql
 
@@ -96,7 +96,7 @@ def mask_combination(spark: SparkSession, d: str) -> DataFrame:
     return _combined(views.bands(spark, d).where("pix % 50 = 0"))  # the rows that its twin covers
 
 
-@query()
+@query(f"{sql('bands')} SELECT pix, line, CASE WHEN line % 2 = 0 THEN -1.0 ELSE b1 END AS b1 FROM bands")
 def mask_combination_all(spark: SparkSession, d: str) -> DataFrame:
     return _combined(views.bands(spark, d))
 
@@ -301,3 +301,26 @@ def band_combination(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tiled_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(threshold.tiled(views.raster(spark, d), _CHIP, "v", tile=8, smallest=4, percentile=0.8, bins=_BINS))
+
+
+_SWEPT = f"""{sql('raster')}, l AS (SELECT region, chip, v, CASE WHEN col % 9 = 0 THEN -1 ELSE (v < 0.05 * (row % 5 - 2))::INT END AS label FROM raster), s AS (SELECT region, chip, min(v) AS low, max(v) - min(v) AS span, count(*) AS n FROM l GROUP BY ALL),
+    f AS (SELECT region, chip, label, low, span, n, least(floor((v - low) / span * 64), 63)::INT AS fine FROM l JOIN s USING (region, chip)),
+    k AS (SELECT region, chip, bins, fine * bins // 64 AS bin, count(*) AS k, sum((label = 1)::INT) AS pos, sum((label = 0)::INT) AS neg FROM f, (VALUES (8), (16), (32), (64)) b(bins) GROUP BY ALL),
+    h AS (SELECT s.region, s.chip, b.bins, g.bin::INT AS bin, coalesce(k, 0) / (n * span / b.bins) AS h, span / b.bins AS width, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg
+        FROM s CROSS JOIN (VALUES (8), (16), (32), (64)) b(bins) JOIN range(64) g(bin) ON g.bin < b.bins LEFT JOIN k ON k.region = s.region AND k.chip = s.chip AND k.bins = b.bins AND k.bin = g.bin)"""
+_BY_BINS = lambda x, h: _running(x, h).replace("PARTITION BY region, chip", "PARTITION BY region, chip, bins")
+
+
+@query(
+    f"""{_SWEPT}, {_BY_BINS('bin + 0.5', 'h').replace('u AS', 'u1 AS', 1)}, q1 AS (SELECT *, round(c * (ca - c) * (m / nullif(c, 0) - (ma - m) / nullif(ca - c, 0)) ** 2 / (ca * ca), 12) AS score FROM u1),
+        {_BY_BINS('bin / (bins - 1)', 'h * width').replace('u AS', 'u2 AS', 1)}, q2 AS (SELECT *, sqrt(greatest(s2 / nullif(c, 0) - (m / nullif(c, 0)) ** 2, 0) + 1e-9) AS s0, sqrt(greatest((sa - s2) / nullif(ca - c, 0) - ((ma - m) / nullif(ca - c, 0)) ** 2, 0) + 1e-9) AS s1 FROM u2),
+        j AS (SELECT *, CASE WHEN c > 1e-9 AND ca - c > 1e-9 THEN round(1 + 2 * (c * ln(s0) + (ca - c) * ln(s1)) - 2 * (c * ln(c + 1e-9) + (ca - c) * ln(ca - c + 1e-9)), 12) END AS cost FROM q2),
+        cuts AS (SELECT 'otsu' AS method, region, chip, bins, bin AS cut FROM q1 QUALIFY row_number() OVER (PARTITION BY region, chip, bins ORDER BY coalesce(score, -1) DESC, bin) = 1
+            UNION ALL SELECT 'minimum_error', region, chip, bins, bin FROM j QUALIFY row_number() OVER (PARTITION BY region, chip, bins ORDER BY cost NULLS LAST, bin) = 1),
+        a AS (SELECT method, region, chip, bins, sum(CASE WHEN bin <= cut THEN pos ELSE neg END) / nullif(sum(pos + neg), 0) AS accuracy FROM h JOIN cuts USING (region, chip, bins) GROUP BY ALL)
+        SELECT method, bins, round(avg(accuracy), 6) AS objective, count(accuracy) AS n_keys FROM a GROUP BY ALL"""
+)
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Every configuration of a threshold classifier on all chips, from one histogram each."""
+    label = F.when(F.col("col") % 9 == 0, -1).otherwise((F.col("v") < 0.05 * (F.col("row") % 5 - 2)).cast("int"))
+    return rounded(evaluate.sweep_thresholds(views.raster(spark, d).withColumn("label", label), _CHIP, "v", "label", [8, 16, 32, 64]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import classify, columns, estimators, lineage, neighbours, results
+from ..operators import classify, columns, estimators, lineage, neighbours, params, results
 
 from ..sources import chips, tables
 from ..streaming import contingency as stream
@@ -90,6 +90,23 @@ def log_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(results.log_fit(t, ["config"], "l_quantity", "l_extendedprice"), 4)
 
 
+@query(
+    """WITH r AS (SELECT l_returnflag AS config, l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+        u AS (SELECT *, false AS log FROM r UNION ALL SELECT config, f, x, ln(y), true FROM r WHERE y > 0),
+        st AS (SELECT config, log, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS dx, stddev_pop(y) AS dy FROM u GROUP BY ALL),
+        z AS (SELECT config, log, f, (x - mx) / dx AS x, (y - my) / dy AS y FROM u JOIN st USING (config, log)),
+        t AS (SELECT config, log, f, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM z GROUP BY ALL),
+        q AS (SELECT *, sum(n) OVER w AS n1, sum(n) OVER w - n AS rn, sum(sx) OVER w - sx AS rx, sum(sy) OVER w - sy AS ry, sum(sxx) OVER w - sxx AS rxx, sum(sxy) OVER w - sxy AS rxy, sum(sxy) OVER w AS wxy FROM t WINDOW w AS (PARTITION BY config, log)),
+        b AS (SELECT *, (rxy - rx * ry / rn) / (rxx - rx * rx / rn + alpha) AS b FROM q, (SELECT power(10.0::DOUBLE, 5 - 2 * i / 39.0::DOUBLE) AS alpha FROM range(40) a(i))),
+        e AS (SELECT config, log, alpha, any_value(n1) AS n, any_value(wxy) AS wxy, -sum(syy - 2 * a * sy - 2 * b * sxy + n * a * a + 2 * a * b * sx + b * b * sxx) / sum(n) AS score FROM (SELECT *, (ry - b * rx) / rn AS a FROM b) GROUP BY ALL),
+        k AS (SELECT e.*, wxy / (n + alpha) * dy / dx AS slope, mx, my FROM e JOIN st USING (config, log) QUALIFY row_number() OVER (PARTITION BY config ORDER BY round(score, 9) DESC, log, alpha DESC) = 1)
+        SELECT config, log, round(alpha, 4) AS alpha, round(score, 4) AS score, round(slope, 4) AS slope, round(my - slope * mx, 4) + 0.0 AS intercept, n::BIGINT AS n FROM k"""
+)
+def ridge_choice(spark: SparkSession, d: str) -> DataFrame:
+    t = views.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "config")
+    return rounded(results.ridge_choice(t, ["config"], "l_quantity", "l_extendedprice", F.col("l_orderkey")), 4)
+
+
 @query(
     f"""{_ML}, a AS (SELECT config, seed, data_id % 50 AS run, round(avg(value), 8) AS v, round(max(value), 8) AS w FROM metric_long GROUP BY ALL)
         SELECT config AS bucket, config, seed, run, v, w, row_number() OVER (PARTITION BY config ORDER BY v DESC NULLS LAST, w DESC NULLS LAST, seed, run)::INT AS rank FROM a QUALIFY rank <= 5"""
@@ -253,7 +270,7 @@ def sequence_edges(spark: SparkSession, d: str) -> DataFrame:
     return _sequences(views.table(spark, d, "lineitem").where("l_orderkey % 100 = 0"))  # the rows that its twin covers
 
 
-@query()
+@query("WITH s AS (SELECT l_orderkey, l_linenumber AS step, list(DISTINCT l_suppkey) AS nodes FROM lineitem GROUP BY ALL), a AS (SELECT l_orderkey, step, unnest(nodes) AS n FROM s) SELECT DISTINCT x.n AS predecessor, y.n AS successor FROM a x JOIN a y ON x.l_orderkey = y.l_orderkey AND y.step = x.step + 1")
 def sequence_edges_all(spark: SparkSession, d: str) -> DataFrame:
     return _sequences(views.table(spark, d, "lineitem"))
 
@@ -388,10 +405,7 @@ def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     folder = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/rows"
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
-
-    stream.run(df, sink, f"{folder}/state", mode).awaitTermination()
+    stream.run(df, stream.by_epoch(out), f"{folder}/state", mode).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -409,3 +423,23 @@ def stream_window_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scores.select("start", "accuracy", F.col("iou1_1").alias("iou")))
 
 
+_SCORED_EVENTS = """e AS (SELECT event_id, value AS a, json_extract(props, '$.k')::DOUBLE AS b, (user_id % 3 = 0)::INT AS y FROM events), t AS (SELECT * FROM e WHERE event_id % 2 = 0),
+    c AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM t), z AS (SELECT event_id, (a - ma) / sa AS a, (b - mb) / sb AS b, y FROM e, c)"""
+
+
+@query(
+    f"""WITH {_SCORED_EVENTS}, u AS (SELECT * FROM z WHERE event_id % 2 = 0), s AS (SELECT y, count(*) / (SELECT count(*) FROM u) AS p, avg(a) AS m1, avg(b) AS m2, var_pop(a) AS v1, var_pop(b) AS v2 FROM u GROUP BY y), g AS (SELECT 1e-9 * greatest(var_pop(a), var_pop(b)) AS e FROM u),
+        l AS (SELECT event_id, s.y, ln(p) - 0.5 * (ln(2 * pi() * (v1 + e)) + ln(2 * pi() * (v2 + e))) - 0.5 * ((a - m1) ** 2 / (v1 + e) + (b - m2) ** 2 / (v2 + e)) AS score FROM z, s, g)
+        SELECT event_id, y AS prediction FROM l QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, y) = 1"""
+)
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Stored parameters and a model fitted before, applied to a stream of events."""
+    features = lambda t: t.select("event_id", F.col("value").alias("a"), F.get_json_object("props", "$.k").cast("double").alias("b"), (F.col("user_id") % 3 == 0).cast("int").alias("y"))
+    train = features(views.table(spark, d, "events")).where("event_id % 2 = 0")
+    store = tables.Store(spark, f"{lineage.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.save("parameters", params.fit_standard(train, ["a", "b"]))
+    found = params.parameters(store["parameters"], ["a", "b"], "standard")
+    model = classify.gaussian_naive_bayes(params.apply(train, found, "standard"), ["a", "b"], "y")
+    raw = spark.readStream.schema(_EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
+    scored = stream.score_stream(features(raw), model, found)
+    return _drained(spark, scored.select("event_id", "prediction"), "append").select("event_id", "prediction")

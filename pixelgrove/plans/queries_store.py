@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import columns, estimators, lineage, results
-from ..sources import chips, tables
+from ..functions import scalars, variants
+from ..operators import columns, estimators, lineage, results, spatial, user
+from ..sources import chips, folders, tables
 from . import grid, views
 from .rounding import rounded
 from .views import sql
@@ -211,3 +211,97 @@ def per_channel_labels(spark: SparkSession, d: str) -> DataFrame:
     t = views.feat(spark, d).select("id", F.col("y").cast("int").alias("label"), "f1", "f2")
     models = estimators.fit_per_channel(t, lambda: estimators.make("gaussian_nb"), ["f1", "f2"])
     return estimators.predict_per_channel(models, t).select("id", "label", "f1-label", "f2-label")
+
+
+# ---------------------------------------------------------------- folders of chips and runs
+
+
+@query(f"{sql('raster')} SELECT (['train', 'valid', 'test', 'bolivia'])[chip % 4 + 1] AS split, 'R' || region AS region, chip::BIGINT AS chip_id, row, col, v, v * v AS power FROM raster WHERE chip % 4 IN (0, 1) AND region <> 0 AND chip % 3 <> 1")
+def chip_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Chips written as files by split, read back through the data source: two splits, some regions, what a split list names."""
+    folder = _folder(spark, "chips")
+    split = F.element_at(F.array(*[F.lit(s) for s in chips.SPLITS]), (F.col("chip") % 4 + 1).cast("int"))
+    t = views.raster(spark, d).select(split.alias("split"), F.concat(F.lit("R"), "region").alias("region"), F.col("chip").cast("long").alias("chip_id"), "row", "col", "v", (F.col("v") * F.col("v")).alias("power"))
+    listed = lineage.written(folders.save_chips(t, folder, ["v", "power"], "S1Hand"))
+    wanted = listed.where(F.regexp_extract("file", r"_(\d+)_", 1).cast("int") % 3 != 1)
+    wanted.select("file", F.replace("file", F.lit("S1"), F.lit("Label"))).write.csv(f"{folder}/lists")
+    scan = folders.chips(spark, folder, ["v", "power"], splits=["train", "valid"], regions=["R1", "R2", "R3", "R4"], layer="S1Hand")
+    return chips.in_manifest(scan, chips.manifest(spark, f"{folder}/lists")).drop("file")
+
+
+_RUNS = "SELECT s_suppkey, s_nationkey, s_acctbal, CASE WHEN s_suppkey % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM supplier"
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT 'run_' || s_suppkey AS folder, s_nationkey AS nation, s_acctbal AS balance FROM r WHERE status = 'COMPLETED' AND s_suppkey % 7 <> 3")
+def run_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Run folders written and read back: those that are complete and have all three files."""
+    root, s = _folder(spark, "runs"), views.table(spark, d, "supplier")
+    config = F.to_json(F.struct(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")))
+    status = F.when(F.col("s_suppkey") % 5 == 0, "FAILED").otherwise("COMPLETED")
+    rows = s.select(F.concat(F.lit("run_"), "s_suppkey").alias("folder"), config.alias("config"), F.when(F.col("s_suppkey") % 7 != 3, "{}").alias("pipeline"), status.alias("status"))
+    lineage.written(folders.save_runs(rows, root))
+    found = folders.runs(spark, root).select("folder", F.from_json("config", "nation int, balance double").alias("c"))
+    return found.select("folder", "c.nation", "c.balance")
+
+
+# ---------------------------------------------------------------- typed values
+
+
+@query("SELECT event_id // 50 AS trial, key || '_' || event_id AS param, CASE WHEN event_id % 3 = 0 THEN 'varchar' ELSE 'bigint' END AS name, CASE WHEN event_id % 3 = 0 THEN event_type ELSE json_extract_string(props, '$.' || key) END AS value, (event_id % 3 <> 0)::INT AS numeric FROM (SELECT *, unnest(json_keys(props)) AS key FROM events)")
+def trial_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Trial -> parameter -> {name, attributes, value} from JSON whose keys are not known, written as typed trees and read back."""
+    e = views.table(spark, d, "events")
+    odd = F.col("event_id") % 3 == 0
+    each = variants.entries(e, ["event_id", "event_type"], "props")
+    value = F.when(odd, F.to_variant_object(F.struct(F.col("event_type").alias("v")))).otherwise(F.to_variant_object(F.struct(F.variant_get("value", "$", "bigint").alias("v"))))
+    made = each.select((F.floor(F.col("event_id") / 50)).cast("bigint").alias("trial"), F.concat_ws("_", "key", "event_id").alias("param"), F.when(odd, "varchar").otherwise("bigint").alias("name"), F.try_variant_get(value, "$.v", "variant").alias("v"))
+    tree = made.select("trial", "param", "name", F.parse_json(variants.typed(F.col("v"))).alias("attributes"), F.col("v").alias("value"))
+    path = _folder(spark, "distributions")
+    tables.save_distributions(tree, path)
+    back = tables.load_distributions(spark, path)
+    kind = F.try_variant_get("attributes", "$.type", "string")
+    return back.select("trial", "param", "name", variants.text(variants.resolved(F.col("attributes"))).alias("value"), (kind == "bigint").cast("int").alias("numeric"))
+
+
+# ---------------------------------------------------------------- functions of the user
+
+
+@query(f"{sql('raster')}, z AS (SELECT region, chip, col // 8 AS zone, v FROM raster), m AS (SELECT region, chip, zone, count(*) AS n, sum(v) AS a, sum(v * v) AS b, sum(v * v * v) AS c, max(v) - min(v) AS span FROM z GROUP BY ALL) SELECT region, chip, zone, round((c / n - 3 * a / n * b / n + 2 * (a / n) ** 3) / (b / n - (a / n) ** 2) ** 1.5, 5) + 0.0 AS skewness, round(span, 6) AS span FROM m")
+def zonal_user_property(spark: SparkSession, d: str) -> DataFrame:
+    """A property that the user supplies, from partial results of every batch: skewness from power sums, and the span."""
+    t = views.raster(spark, d).withColumn("zone", F.floor(F.col("col") / 8).cast("int"))
+
+    def skew(s):
+        m = s[1] / s[0]
+        return (s[3] / s[0] - 3 * m * s[2] / s[0] + 2 * m * m * m) / F.pow(s[2] / s[0] - m * m, F.lit(1.5))
+
+    a = user.zonal_property(t, ["region", "chip"], "zone", ["v"], lambda v: (len(v), v.sum(), (v * v).sum(), (v**3).sum()), ["sum"] * 4, skew, "skewness")
+    b = user.zonal_property(t, ["region", "chip"], "zone", ["v"], lambda v: (v.min(), v.max()), ["min", "max"], lambda s: s[1] - s[0], "span")
+    out = a.join(b, ["region", "chip", "zone"]).withColumnsRenamed({"v-skewness": "skewness", "v-span": "span"})
+    return rounded(out.withColumn("skewness", F.round("skewness", 5)), 6)
+
+
+@query(f"{sql('raster')}, g AS (SELECT region, chip, max(v) AS top FROM raster GROUP BY ALL), i AS (SELECT *, row_number() OVER (ORDER BY region, chip) - 1 AS index FROM g) SELECT region, chip, row, col, index, round(v / top + index, 6) + 0.0 AS v FROM raster JOIN i USING (region, chip)")
+def per_item_function(spark: SparkSession, d: str) -> DataFrame:
+    """A function of each chip and its number."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def scaled(item: pa.Table, index: int) -> pa.Table:
+        v = pc.add(pc.divide(item.column("v"), pc.max(item.column("v"))), float(index))
+        return item.set_column(item.column_names.index("v"), "v", v).append_column("index", pa.array([index] * item.num_rows, pa.int64()))
+
+    t = views.raster(spark, d).select("region", "chip", "row", "col", "v")
+    return rounded(user.per_item(t, ["region", "chip"], scaled, "region int, chip int, row int, col int, v double, index long"))
+
+
+@query(f"{sql('raster')} SELECT region, chip, (least(max(row) + 1, 8) * least(max(col) + 1, 40))::BIGINT AS n, 0::BIGINT AS wrong, round(sum(v), 6) + 0.0 AS total FROM raster GROUP BY ALL")
+def flips_and_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Random flips, then a random crop: data and labels stay together (wrong: pixels whose label is not their value's), and a flip loses nothing."""
+    keys = ["region", "chip"]
+    t = views.raster(spark, d).withColumn("label", (F.col("v") > 0).cast("int"))
+    t = spatial.random_flip(spatial.random_flip(t, keys, "row", 0.5, 3), keys, "col", 0.5, 4)
+    whole = t.groupBy(*keys).agg(F.sum("v").alias("total"))
+    t = spatial.random_crop(t, keys, 8, 40, 5)
+    t = t.groupBy(*keys).agg(F.countDistinct("row", "col").alias("n"), F.sum((F.col("label") != (F.col("v") > 0).cast("int")).cast("int")).alias("wrong"))
+    return rounded(t.join(whole, keys))

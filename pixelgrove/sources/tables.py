@@ -84,6 +84,24 @@ def distributions(spark: SparkSession, path: str) -> DataFrame:
     return t.select("trial", "param", "d.name", "d.attributes", "d.value")
 
 
+def save_distributions(df: DataFrame, path: str) -> None:
+    """Writes rows (trial, param, name, attributes: VARIANT, value: VARIANT) as JSON lines {trial, distributions}: one trial a line, so a set of
+    any size is read in parts."""
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    one = F.concat(quoted("param"), F.lit(':{"name":'), quoted("name"), F.lit(',"attributes":'), F.coalesce(F.to_json("attributes"), F.lit("null")), F.lit(',"value":'), F.coalesce(F.to_json("value"), F.lit("null")), F.lit("}"))
+    lines = df.groupBy("trial").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("all"))
+    lines.select(F.concat(F.lit('{"trial":'), F.col("trial").cast("string"), F.lit(',"distributions":{'), F.col("all"), F.lit("}}")).alias("value")).write.mode("errorifexists").text(path)
+
+
+def load_distributions(spark: SparkSession, path: str) -> DataFrame:
+    """(trial, param, name, attributes: VARIANT, value: VARIANT) of what save_distributions wrote; parameters need not be known."""
+    t = spark.read.text(path).select(F.parse_json("value").alias("v"))
+    t = t.select(F.variant_get("v", "$.trial", "bigint").alias("trial"), F.variant_get("v", "$.distributions", "variant").alias("d"))
+    each = t.lateralJoin(spark.tvf.variant_explode(F.col("d").outer()))
+    part = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind)
+    return each.select("trial", F.col("key").alias("param"), part("name", "string").alias("name"), part("attributes", "variant").alias("attributes"), part("value", "variant").alias("value"))
+
+
 def save_best(ranked: DataFrame, folder: str, buckets: Sequence[str] = ("sar_opt", "sar", "opt")) -> None:
     """One CSV folder per bucket of a ranked result."""
     for b in buckets:

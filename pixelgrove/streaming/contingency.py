@@ -34,9 +34,20 @@ def run(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
+def by_epoch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps every epoch in a folder of its own and replaces it when the epoch is run again, so that a retried epoch is stored once."""
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return sink
+
+
 def score_stream(stream: DataFrame, model, parameters: dict[str, tuple[float, float]], kind: str = "standard") -> DataFrame:
-    """Stored channel parameters, then a saved model, on a stream."""
+    """Stored channel parameters, then a model, on a stream: a fitted or saved one, or class scores as expressions."""
+    from ..operators.classify import ScoreModel
     from ..operators.estimators import predict
     from ..operators.params import apply
 
-    return predict(model, apply(stream, parameters, kind))
+    ready = apply(stream, parameters, kind)
+    return model.predict(ready) if isinstance(model, ScoreModel) else predict(model, ready)
