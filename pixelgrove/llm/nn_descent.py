@@ -8,10 +8,11 @@ There are as many directions as two vectors at the threshold need to meet in one
 alone would lose links between dense groups: every block of a comparison therefore also gives a
 spanning forest of all its pairs at the threshold, and groups come from these ties.
 
-An audit compares sampled vectors with all rows, in blocks, and goes on to larger samples until it has seen
-links of ``audit_vectors`` vectors, all rows, or ``most_sample`` vectors.  Labels in which too many links lie outside the groups, by link or by
-vector, get further rounds with fresh directions, and as the last step all their rows are compared, in pairs
-of blocks.  What the audit saw is logged and written to ``report``.
+An audit judges every label on a sample of its own: it compares the sampled vectors with all of the label's rows, in blocks,
+and takes a larger sample where it has seen links of fewer than ``audit_vectors`` vectors.  Labels in which too many links lie outside the
+groups, by link or by vector, get further rounds with fresh directions, and as the last step all their rows are compared, in pairs of
+blocks.  Labels whose links are too rare for a judgement are compared whole up to ``whole_rows`` rows; larger ones get
+fresh directions once and are reported as not judged.  What the audit saw of each label is logged and written to ``report``.
 
 Edges at the threshold give groups; inside each group links are confirmed and counted exactly in
 double precision, in blocks, so that the counts are whole however short the lists were.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,8 +226,8 @@ class Graph:
         #: Chance that vectors at the level have equal signs along a direction.
         self.same = 1 - math.acos(min(1.0, max(-1.0, level))) / math.pi
 
-    def _of(self, parts: list[int] | None) -> DataFrame:
-        return self.reps if parts is None else self.reps.where(F.col("part").isin(parts))
+    def _of(self, parts: DataFrame | None) -> DataFrame:
+        return self.reps if parts is None else self.reps.join(sized(parts.select("part")), "part", "left_semi")
 
     def directions(self, n: int) -> int:
         """Sets of directions after which a pair at the level has met with probability met, in a part of n vectors."""
@@ -248,7 +249,7 @@ class Graph:
         total, new = after.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
         return new <= SETTLED * total
 
-    def start(self, parts: list[int] | None = None) -> None:
+    def start(self, parts: DataFrame | None = None) -> None:
         """Best neighbours inside blocks of equal signs along fresh random directions, of some parts or all."""
         need = self.fixed or self.directions(self.largest)
         while need > 0:
@@ -291,7 +292,7 @@ class Graph:
         while not self.refine() or done + 1 < rounds:
             done += 1
 
-    def compare_all(self, parts: list[int] | None = None) -> None:
+    def compare_all(self, parts: DataFrame | None = None) -> None:
         """The ties of all pairs of some parts, or all."""
         rows = in_blocks(self._of(parts).select("id", "part", "f").join(sized(self.sizes), "part"), "part", "n", "id", WHOLE_BLOCK)
         rows = rows.select("part", "i", "j", "id", "f").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
@@ -308,49 +309,68 @@ class Graph:
         self.ties = [out.select("id", F.col("g").alias("nbr"))]
         return out
 
-    def audit(self, groups: DataFrame, sample: int, most_sample: int, audit_vectors: int) -> list[dict]:
-        """Per part with links seen: part, links and inside (those inside one group) of sampled vectors to all rows, and share, inside / links or
-        its mean over the vectors if less.  The sample grows until audit_vectors of it have links, or it has most_sample vectors or all rows."""
+    def audit(self, groups: DataFrame, sample: int, most_sample: int, audit_vectors: int, done: DataFrame | None) -> DataFrame:
+        """(part, n, sampled, seen, links, inside, share, judged) of every part but those of done.
+
+        Of sampled vectors: seen have links, links of them, inside of which are inside one group; share is inside / links or its mean over the vectors if
+        less.  A part is judged on audit_vectors vectors with links or all its rows.  At most most_sample vectors are taken at once.
+        """
+        sizes = self.sizes if done is None else self.sizes.join(sized(done.select("part")), "part", "left_anti")
         own = self.reps.join(groups, "id", "left").select("id", "part", F.coalesce("g", "id").alias("g"), "f")
-        total = self.reps.count()
-        while True:
-            chosen = own.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(min(sample, most_sample)).toPandas()
-            by_dim = {}
-            for n, x in chosen.groupby(chosen["f"].map(len)):
-                by_dim[n] = (x["id"].to_numpy(), x["part"].to_numpy(), x["g"].to_numpy(), np.stack([np.frombuffer(v, np.float32) for v in x["f"]]))
-            each = own.mapInArrow(_audited(by_dim, self.level), "q long, links long, inside long")
-            each = each.groupBy("q").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside")).toPandas()
-            if len(each) >= audit_vectors or sample >= min(most_sample, total):
+        open_parts = materialise(sizes, "open")
+        states: list[DataFrame] = []
+        for limit in (sample, most_sample):
+            many = open_parts.count()
+            if not many:
                 break
-            sample *= 4
-        out = []
-        for part, x in each.merge(chosen[["id", "part"]], left_on="q", right_on="id").groupby("part"):
-            share = min(x["inside"].sum() / x["links"].sum(), (x["inside"] / x["links"]).mean())
-            out.append({"part": int(part), "sampled": len(chosen), "links": int(x["links"].sum()), "inside": int(x["inside"].sum()), "share": float(share)})
-        return out
+            quota = min(limit, most_sample / many)
+            space = 1 << 30
+            line = F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(space)) < F.lit(space) * F.least(F.lit(1.0), F.lit(float(quota)) / F.col("n"))
+            within = own.join(sized(open_parts), "part")
+            chosen = materialise(within.where(line).select("id", "part", "g", "f"), "sample")
+            by_part: dict[tuple[int, int], list] = {}
+            for r in chosen.toLocalIterator():  # most_sample vectors, about
+                by_part.setdefault((r["part"], len(r["f"])), []).append((r["id"], r["g"], r["f"]))
+            asked = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v]), np.stack([np.frombuffer(x[2], np.float32) for x in v])) for k, v in by_part.items()}
+            each = within.select("id", "part", "g", "f").mapInArrow(_audited(asked, self.level), "part long, q long, links long, inside long")
+            each = each.groupBy("part", "q").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside"))
+            share = F.least(F.sum("inside") / F.sum("links"), F.avg(F.col("inside") / F.col("links")))
+            each = each.groupBy("part").agg(F.count(F.lit(1)).alias("seen"), F.sum("links").alias("links"), F.sum("inside").alias("inside"), share.alias("share"))
+            taken = chosen.groupBy("part").agg(F.count(F.lit(1)).alias("sampled"))
+            state = open_parts.select("part", "n").join(taken, "part", "left").join(each, "part", "left").fillna(0, ["sampled", "seen", "links", "inside"]).fillna(1.0, ["share"])
+            state = materialise(state.withColumn("judged", (F.col("seen") >= audit_vectors) | (F.col("sampled") >= F.col("n"))), "state")
+            final = limit == most_sample or quota < limit
+            states.append(state if final else state.where("judged"))
+            if final:
+                break
+            open_parts = materialise(state.where("not judged").select("part", "n"), "open")
+        none = open_parts.sparkSession.createDataFrame([], "part long, n long, sampled long, seen long, links long, inside long, share double, judged boolean")
+        return reduce(DataFrame.unionByName, states, none)
 
 
-def _audited(by_dim: dict, level: float):
-    """Of all rows: how many are linked with each sampled vector, and how many of them share its group."""
+def _audited(asked: dict, level: float):
+    """Of all rows: how many are linked with each sampled vector of their part, and how many of them share its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, p, g = (batch.column(c).to_numpy() for c in ("id", "part", "g"))
             f = batch.column("f").to_pylist()
-            size = np.array([len(x) for x in f])
-            for n, (qi, qp, qg, q) in by_dim.items():
-                at = np.flatnonzero(size == n)
-                for some in np.array_split(at, max(1, len(at) * len(qi) // (1 << 22))):
-                    if not len(some):
+            size = np.array([len(x) for x in f], np.int64)
+            for part in np.unique(p).tolist():
+                for n in np.unique(size[p == part]).tolist():
+                    if (part, n) not in asked:
                         continue
-                    m = np.frombuffer(b"".join(f[x] for x in some), np.float32).reshape(len(some), -1)
-                    x, y = np.nonzero(m @ q.T >= level)
-                    real = (p[some[x]] == qp[y]) & (i[some[x]] != qi[y])
-                    x, y = x[real], y[real]
-                    links = np.bincount(y, minlength=len(qi))
-                    inside = np.bincount(y[g[some[x]] == qg[y]], minlength=len(qi))
-                    seen = links > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[seen]), pa.array(links[seen]), pa.array(inside[seen])], ["q", "links", "inside"])
+                    qi, qg, q = asked[part, n]
+                    at = np.flatnonzero((p == part) & (size == n))
+                    for some in np.array_split(at, max(1, len(at) * len(qi) // (1 << 22))):
+                        m = np.frombuffer(b"".join(f[x] for x in some), np.float32).reshape(len(some), -1)
+                        x, y = np.nonzero(m @ q.T >= level)
+                        real = i[some[x]] != qi[y]
+                        x, y = x[real], y[real]
+                        links = np.bincount(y, minlength=len(qi))
+                        inside = np.bincount(y[g[some[x]] == qg[y]], minlength=len(qi))
+                        seen = links > 0
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), part)), pa.array(qi[seen]), pa.array(links[seen]), pa.array(inside[seen])], ["part", "q", "links", "inside"])
 
     return run
 
@@ -401,7 +421,8 @@ def near_embeddings(
     rounds: int = 2,
     sample: int = 1024,
     most_sample: int = 16_384,
-    audit_vectors: int = 100,
+    audit_vectors: int = 40,
+    whole_rows: int = 200_000,
     recall: float = 0.995,
     extra_rounds: int = 4,
     report: list[dict] | None = None,
@@ -409,8 +430,9 @@ def near_embeddings(
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
     met: chance to meet that sets the number of directions, unless directions gives it; rounds: least number of rounds before the lists may count as settled; extra_rounds: times that fresh directions
-    are tried before all rows of a label are compared, when the audit's recall is missed in it; report: a list that
-    takes what each audit saw.
+    are tried before all rows of a label are compared, when the audit's recall is missed in it; sample, most_sample: vectors that an audit takes of a
+    label at first, and of all labels at most; audit_vectors: with links, on which a label is judged; whole_rows: rows up to which a label that cannot be judged is
+    compared whole; report: a list that takes what each audit saw of the first 10,000 labels.
 
     Vectors are compared only with equal, non-null labels (and equal length).  Equal directions count as
     copies of one vector from the start, so thousands of copies are one node.
@@ -437,20 +459,30 @@ def near_embeddings(
     graph.start()
     graph.settle(rounds)
     groups = graph.groups()
+    done: DataFrame | None = None
     for attempt in range(extra_rounds + 1):
-        seen = graph.audit(groups, sample, most_sample, audit_vectors)
+        state = materialise(graph.audit(groups, sample, most_sample, audit_vectors, done), "audit")
+        seen = [r.asDict() for r in state.orderBy("share", "part").limit(10_000).collect()]
         _LOG.info("audit %d: %s", attempt, seen)
         if report is not None:
             report.append({"attempt": attempt, "parts": seen})
-        short = [x["part"] for x in seen if x["share"] < recall]
-        if not short:
-            break
-        if attempt < extra_rounds:
-            graph.start(short)
+        short, rare = state.where(F.col("judged") & (F.col("share") < recall)), state.where("not judged")
+        whole = rare.where(F.col("n") <= whole_rows)
+        again = short if attempt else short.union(rare.where(F.col("n") > whole_rows))
+        if attempt == extra_rounds:
+            whole, again = whole.union(short), again.limit(0)
+        compared = not whole.isEmpty()
+        if compared:
+            graph.compare_all(whole)
+            done = materialise(whole.select("part") if done is None else done.union(whole.select("part")), "done")
+        going_on = not again.isEmpty()
+        if going_on:
+            graph.start(again)
             graph.settle()
-        else:
-            graph.compare_all(short)
-        groups = graph.groups()
+        if compared or going_on:
+            groups = graph.groups()
+        if not going_on:
+            break
 
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     members = groups.join(sizes, "g").join(classes.select("id", "copies", "v"), "id")

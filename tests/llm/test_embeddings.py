@@ -23,6 +23,29 @@ def test_rare_links(spark):
     assert report[-1]["parts"][0]["share"] >= 0.995 and report[-1]["parts"][0]["sampled"] == len(m)
 
 
+def test_every_label_is_judged(spark):
+    """A dense label does not end the audit of others, whose rare links lie in vectors with a common mean or in isotropic ones."""
+    rng = np.random.default_rng(11)
+    dense = np.repeat(rng.standard_normal((100, 64)), 20, 0) + 0.05 * rng.standard_normal((2000, 64))
+
+    def with_pairs(m):
+        for k in range(20):
+            m[2500 + k] = m[k] + 0.02 * rng.standard_normal(64) * np.linalg.norm(m[k]) / 8
+        return m
+
+    parts = {"dense": dense, "mean": with_pairs(0.8 * rng.standard_normal((5000, 64)) + 1.0 * rng.standard_normal(64)), "plain": with_pairs(rng.standard_normal((5000, 64)))}
+    rows, true = [], 0
+    for label, m in parts.items():
+        unit = m / np.linalg.norm(m, axis=1)[:, None]
+        true += int((unit @ unit.T >= 0.93).sum() - len(m))
+        rows += [(len(rows) + i, label, x.tolist()) for i, x in enumerate(m)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(4)
+    report = []
+    got = nn_descent.near_embeddings(vectors, report=report, sample=200, most_sample=1500).selectExpr("sum(n_links)").first()[0]
+    assert got == true > 2000 * 19
+    assert len(report[0]["parts"]) == 3 and {x["judged"] for x in report[0]["parts"]} == {True, False}
+
+
 def test_directions_follow_the_size(spark):
     reps = spark.createDataFrame([(1, 1, b"\0" * 16)], "id long, part long, f binary")
     graph = nn_descent.Graph(reps, 0.93, 8, 32, 0.99)
