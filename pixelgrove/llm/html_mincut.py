@@ -44,15 +44,21 @@ CLOSED_BY = {"p": BLOCK_TAGS - {"html", "body"}, "li": frozenset(["li"]), "dt":
 # Words of class, id and role attributes that tell what a part of a page is for.
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer gdpr header "
-    "login masthead menu modal nav navbar navigation newsletter notice pager pagination paging popup popular promo promoted promotion recommended related reply replies respond "
+    "discussion login masthead menu modal nav navbar navigation newsletter notice pager pagination paging popup popular promo promoted promotion recommended related reply replies respond "
     "search share sharing sidebar side signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert toast overlay disclaimer legal complementary contentinfo "
     "dialog form".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
+# Those of them that say it whatever words stand beside them ("user-comments", "gdpr-cookie-law").
+SURE_WORDS = frozenset("comments commentlist consent cookie cookies disqus gdpr newsletter".split())
+# Elements of running text, whose names are often their subject ("search", "related").
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption".split())
+# Words that are the subject of a section as often as its purpose.
+SUBJECT_WORDS = frozenset("form search legal share side social related popular tags skip reply widget widgets menu dialog notice alert subscription subscribe".split())
 # Words that only say that something is a part of a page.
 FRAME_WORDS = frozenset(
     "a area bar block bottom box button buttons center col column container global group holder icons inner item items left links list module outer page panel posts primary right row secondary "
-    "section site slot thread top unit wrap wrapper".split()
+    "section site slot thread top unit user reader wrap wrapper".split()
 )
 
 #: Features of a block's own text and the prior log-odds weights for content.
@@ -97,8 +103,10 @@ class _Node:
                     wrong = words & BAD_WORDS
                     if region > 0 or words & GOOD_WORDS:
                         wrong -= {"header"}  # of the article
-                    if wrong:
-                        plain |= words <= BAD_WORDS | FRAME_WORDS
+                    if name == "id" and tag == "section" and words <= SUBJECT_WORDS:
+                        doubtful = True  # an anchor
+                    elif wrong:
+                        plain |= tag not in TEXT_TAGS and (words <= BAD_WORDS | FRAME_WORDS or bool(words & SURE_WORDS))
                         doubtful = True
                     elif words and words <= GOOD_WORDS | FRAME_WORDS and words & GOOD_WORDS:
                         good = True

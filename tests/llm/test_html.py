@@ -135,3 +135,32 @@ def test_fitted_weights(spark):
         page, want = layout(rng, KINDS[trial % 4])
         assert H.main_text(page, weights) == " ".join(want)
     assert H.fit(pages.where("page_id = 201")) == H.PRIOR
+
+
+_START = "<h1>Title of it</h1><p>First paragraph of the article, with some words in it. And a second sentence here.</p>"
+_END = "<p>The last paragraph of the article is here, with some more words.</p>"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "fb-comments", "discussion", "comments-area", "gdpr-cookie-law-info", "site-cookie-consent", "newsletter-box-2"])
+def test_readers_and_notices_whatever_words_stand_beside(name):
+    other = "I think this article is wrong. Nobody asked me about it."
+    for page in (f'<article>{_START}{_END}<div class="{name}"><p>{other}</p></div></article>', f'<main>{_START}{_END}</main><div class="{name}"><div><p>{other}</p></div></div>'):
+        text = H.main_text(f"<html><body>{page}</body></html>")
+        assert other not in text and text.endswith("some more words.")
+
+
+@pytest.mark.parametrize("part", ['<h2 id="form">Form of it</h2>', '<section id="search"><p>Search is a topic of this text, with words.</p></section>', '<p id="form">The form of things is told here in a sentence.</p>', '<p class="related">Related matters are told here in a sentence.</p>', '<section id="legal"><h2>Legal</h2><p>What the law says of it is told here.</p></section>'])
+def test_subjects_are_no_purposes(part):
+    text = H.main_text(f"<html><body><nav><a href=/>Home</a></nav><article>{_START}{part}{_END}</article></body></html>")
+    assert all(x in text for x in part.replace(">", "<").split("<") if " " in x and "=" not in x) and "Home" not in text
+
+
+def test_class_names_that_say_nothing():
+    """Names are random strings: the text alone, its links and its neighbours decide."""
+    rng = random.Random(6)
+    name = lambda: "x" + "".join(rng.choice("bcdfghjkz") for _ in range(8))
+    for _ in range(20):
+        menu = "".join(f'<li class="{name()}"><a href="/{k}">{sentence(rng, 2)[:-1]}</a></li>' for k in range(6))
+        body = [" ".join(sentence(rng, rng.randrange(6, 12)) for _ in range(3)) for _ in range(6)]
+        page = f'<body><div class="{name()}"><ul>{menu}</ul></div><div class="{name()}" id="{name()}">' + "".join(f'<p class="{name()}">{x}</p>' for x in body) + f'</div><div class="{name()}"><ul>{menu}</ul></div></body>'
+        assert H.main_text(page) == " ".join(body)
