@@ -196,7 +196,16 @@ def information_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster_metrics.information_scores(_table(spark, d)))
 
 
-@query()
+_LOG_WEIGHT = " ".join(f"{sign} lgamma({x} + 1)" for sign, x in zip("++++-----", ("a", "b", "t - a", "t - b", "t", "k", "a - k", "b - k", "t - a - b + k")))
+
+
+@query(
+    f"""{_N}, g AS (SELECT DISTINCT label, a::DOUBLE AS a FROM m), h AS (SELECT DISTINCT pred, b::DOUBLE AS b FROM m), z AS (SELECT max(t)::DOUBLE AS t FROM m),
+        x AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1))::DOUBLE AS k FROM g, h, z),
+        e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp({_LOG_WEIGHT})) AS e FROM x),
+        i AS (SELECT sum(n / t * ln(n::DOUBLE * t / (a::DOUBLE * b))) AS mi FROM m), p AS (SELECT -sum(a / t * ln(a / t)) AS hl FROM g, z), q AS (SELECT -sum(b / t * ln(b / t)) AS hp FROM h, z)
+        SELECT round(e, 6) AS expected_mi, round((mi - e) / greatest((hl + hp) / 2 - e, 2.2e-16), 6) + 0.0 AS adjusted_mi FROM e, i, p, q"""
+)
 def adjusted_mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster_metrics.adjusted_mutual_information(_table(spark, d)))
 
