@@ -91,7 +91,7 @@ def log_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_returnflag AS config, l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    """WITH r AS (SELECT l_returnflag AS config, l_orderkey % 5 AS f, l_extendedprice AS x, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS y FROM lineitem),
         u AS (SELECT *, false AS log FROM r UNION ALL SELECT config, f, x, ln(y), true FROM r WHERE y > 0),
         st AS (SELECT config, log, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS dx, stddev_pop(y) AS dy FROM u GROUP BY ALL),
         z AS (SELECT config, log, f, (x - mx) / dx AS x, (y - my) / dy AS y FROM u JOIN st USING (config, log)),
@@ -100,11 +100,13 @@ def log_fit(spark: SparkSession, d: str) -> DataFrame:
         b AS (SELECT *, (rxy - rx * ry / rn) / (rxx - rx * rx / rn + alpha) AS b FROM q, (SELECT power(10.0::DOUBLE, 5 - 2 * i / 39.0::DOUBLE) AS alpha FROM range(40) a(i))),
         e AS (SELECT config, log, alpha, any_value(n1) AS n, any_value(wxy) AS wxy, -sum(syy - 2 * a * sy - 2 * b * sxy + n * a * a + 2 * a * b * sx + b * b * sxx) / sum(n) AS score FROM (SELECT *, (ry - b * rx) / rn AS a FROM b) GROUP BY ALL),
         k AS (SELECT e.*, wxy / (n + alpha) * dy / dx AS slope, mx, my FROM e JOIN st USING (config, log) QUALIFY row_number() OVER (PARTITION BY config ORDER BY round(score, 9) DESC, log, alpha DESC) = 1)
-        SELECT config, log, round(alpha, 4) AS alpha, round(score, 4) AS score, round(slope, 4) AS slope, round(my - slope * mx, 4) + 0.0 AS intercept, n::BIGINT AS n FROM k"""
+        SELECT config, log, round(alpha, 4) AS alpha, round(score, 4) + 0.0 AS score, round(slope, 4) + 0.0 AS slope, round(my - slope * mx, 4) + 0.0 AS intercept, n::BIGINT AS n FROM k"""
 )
 def ridge_choice(spark: SparkSession, d: str) -> DataFrame:
-    t = views.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "config")
-    return rounded(results.ridge_choice(t, ["config"], "l_quantity", "l_extendedprice", F.col("l_orderkey")), 4)
+    """The price that is paid against the list price."""
+    t = views.table(spark, d, "lineitem").withColumn("paid", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    t = t.withColumnRenamed("l_returnflag", "config")
+    return rounded(results.ridge_choice(t, ["config"], "l_extendedprice", "paid", F.col("l_orderkey")), 4)
 
 
 @query(
