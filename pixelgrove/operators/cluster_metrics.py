@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import _sized, written
+
 EPS = 1e-15
 
 
@@ -209,7 +211,7 @@ def expected_mutual_information(table: DataFrame, keys: Sequence[str] = ()) -> D
     m = _margins(table, keys)
     a = m.select(*keys, "label", "a", "total").distinct()
     b = m.select(*keys, "pred", "b").distinct()
-    pairs = a.join(b, list(keys)) if keys else a.join(F.broadcast(b), F.lit(True))
+    pairs = a.join(b, list(keys)) if keys else a.join(_sized(b), F.lit(True))
     A, B, N, n = F.col("a"), F.col("b"), F.col("total"), F.col("x")
     mean = A * B.cast("double") / N
     reach = 12 * F.sqrt(mean * (N - A) / N * (N - B) / F.greatest(N - 1, F.lit(1))) + 30
@@ -278,9 +280,10 @@ def davies_bouldin(rows: DataFrame, features: Sequence[str], cluster: str = "pre
     """Mean over clusters of the worst (spread_i + spread_j) / distance(i, j); spread: mean distance to the centroid."""
     centres = dispersion(rows, features, cluster).select(cluster, "centroid")
     point = F.array(*[F.col(f).cast("double") for f in features])
-    spread = rows.join(F.broadcast(centres), cluster).groupBy(cluster).agg(F.avg(_distance(point, F.col("centroid"))).alias("spread"), F.first("centroid").alias("centroid"))
+    spread = rows.join(_sized(centres), cluster).groupBy(cluster).agg(F.avg(_distance(point, F.col("centroid"))).alias("spread"), F.first("centroid").alias("centroid"))
+    spread = written(spread)
     other = spread.select(*[F.col(c).alias(f"{c}2") for c in (cluster, "spread", "centroid")])
-    pairs = spread.join(F.broadcast(other), F.col(cluster) != F.col(f"{cluster}2"))  # clusters x clusters
+    pairs = spread.join(_sized(other), F.col(cluster) != F.col(f"{cluster}2"))  # clusters x clusters
     gap = _distance(F.col("centroid"), F.col("centroid2"))
     worst = pairs.groupBy(cluster).agg(F.max(F.when(gap > 0, (F.col("spread") + F.col("spread2")) / F.nullif(gap, F.lit(0.0))).otherwise(0.0)).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
