@@ -10,8 +10,8 @@ spanning forest of all its pairs at the threshold, and groups come from these ti
 
 An audit judges every label on a sample of its own: it compares the sampled vectors with all of the label's rows, in blocks,
 and takes a larger sample where it has seen links of fewer than ``audit_vectors`` vectors.  Labels in which too many links lie outside the
-groups, by link or by vector, get further rounds with fresh directions, and as the last step all their rows are compared, in pairs of
-blocks.  Labels whose links are too rare for a judgement are compared whole up to ``whole_rows`` rows; larger ones get
+groups, by link or by vector, get further rounds with fresh directions, and as the last step (at once up to ``direct_rows`` rows) all their
+rows are compared, in pairs of blocks.  Labels whose links are too rare for a judgement are compared whole up to ``whole_rows`` rows; larger ones get
 fresh directions once and are reported as not judged.  What the audit saw of each label is logged and written to ``report``.
 
 Edges at the threshold give groups; inside each group links are confirmed and counted exactly in
@@ -422,6 +422,7 @@ def near_embeddings(
     sample: int = 1024,
     most_sample: int = 16_384,
     audit_vectors: int = 40,
+    direct_rows: int = 20_000,
     whole_rows: int = 200_000,
     recall: float = 0.995,
     extra_rounds: int = 4,
@@ -431,8 +432,8 @@ def near_embeddings(
 
     met: chance to meet that sets the number of directions, unless directions gives it; rounds: least number of rounds before the lists may count as settled; extra_rounds: times that fresh directions
     are tried before all rows of a label are compared, when the audit's recall is missed in it; sample, most_sample: vectors that an audit takes of a
-    label at first, and of all labels at most; audit_vectors: with links, on which a label is judged; whole_rows: rows up to which a label that cannot be judged is
-    compared whole; report: a list that takes what each audit saw of the first 10,000 labels.
+    label at first, and of all labels at most; audit_vectors: with links, on which a label is judged; direct_rows: rows up to which a label that misses the recall is compared whole at
+    once; whole_rows: rows up to which one that cannot be judged is; report: a list that takes what each audit saw of the first 10,000 labels.
 
     Vectors are compared only with equal, non-null labels (and equal length).  Equal directions count as
     copies of one vector from the start, so thousands of copies are one node.
@@ -467,8 +468,9 @@ def near_embeddings(
         if report is not None:
             report.append({"attempt": attempt, "parts": seen})
         short, rare = state.where(F.col("judged") & (F.col("share") < recall)), state.where("not judged")
-        whole = rare.where(F.col("n") <= whole_rows)
-        again = short if attempt else short.union(rare.where(F.col("n") > whole_rows))
+        whole = rare.where(F.col("n") <= whole_rows).union(short.where(F.col("n") <= direct_rows))
+        again = short.where(F.col("n") > direct_rows)
+        again = again if attempt else again.union(rare.where(F.col("n") > whole_rows))
         if attempt == extra_rounds:
             whole, again = whole.union(short), again.limit(0)
         compared = not whole.isEmpty()
