@@ -193,7 +193,27 @@ def sigma_point_targets(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*_CHIP, "row", "col", "bright", "kept")
 
 
-@query()
+_LOW, _HIGH, _INNER = spatial.sigma_range(4.4, 0.9)
+_SHARE = lambda mean, var, noise: f"(greatest((greatest({var}, 1e-10) - ({mean}) ** 2 * {noise}) / (1 + {noise}), 0) / greatest({var}, 1e-10))"
+
+
+def _around(k: int, t: str, columns: str, p: str = "b") -> str:
+    """Pixels of p with those of t at most k away, borders left out."""
+    spread = f"(SELECT *, row + dr AS r, col + dc AS c FROM {p}, range(-{k}, {k + 1}) dr(dr), range(-{k}, {k + 1}) dc(dc))"
+    return f"SELECT p.region, p.chip, p.row, p.col, {columns} FROM {spread} p JOIN {t} q ON q.chip = p.chip AND q.region = p.region AND q.row = p.r AND q.col = p.c GROUP BY p.region, p.chip, p.row, p.col"
+
+
+@query(
+    f"""{_SIZE}, b AS (SELECT region, chip, row, col, v * v AS z, (v * v > quantile_cont(v * v, 0.98) OVER (PARTITION BY region, chip))::INT AS bright, row >= 3 AND col >= 3 AND row < h - 3 AND col < w - 3 AS inside FROM raster JOIN s USING (region, chip)),
+        n AS ({_around(1, 'b', 'sum(q.bright) >= 6 AND any_value(p.inside) AS target')}),
+        k AS ({_around(1, 'n', 'any_value(p.bright) = 1 AND bool_or(q.target) AS kept')}),
+        g AS ({_around(1, 'b', 'any_value(p.z) AS own, avg(q.z) AS mean, avg(q.z * q.z) - avg(q.z) ** 2 AS var')}),
+        e AS (SELECT region, chip, row, col, mean + {_SHARE('mean', 'var', '(1 / 4.4::DOUBLE)')} * (own - mean) AS guess FROM g),
+        be AS (SELECT * FROM b JOIN e USING (region, chip, row, col)),
+        f AS ({_around(3, 'b', f'avg(q.z) FILTER (near) AS mean, avg(q.z * q.z) FILTER (near) - avg(q.z) FILTER (near) ** 2 AS var'.replace('near', f'q.z > {_LOW} * p.guess AND q.z < {_HIGH} * p.guess'), 'be')}),
+        o AS (SELECT region, chip, row, col, CASE WHEN kept THEN z WHEN inside THEN coalesce(mean + {_SHARE('mean', 'var', f'{_INNER}')} * (z - mean), 0) ELSE 0 END AS z FROM b JOIN k USING (region, chip, row, col) JOIN f USING (region, chip, row, col))
+        SELECT region, chip, row, col, round(sqrt(greatest(z, 0)), 6) + 0.0 AS v FROM o"""
+)
 def improved_sigma(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.improved_sigma(views.raster(spark, d), _CHIP, ["v"]))
 
@@ -298,7 +318,35 @@ def band_combination(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*_CHIP, "row", "col", threshold.combine_bands("vv", "vh", "and").alias("both_bands"), threshold.combine_bands("vv", "vh", "or").alias("either_band"))
 
 
-@query()
+def _otsu_of(pixels: str, keys: str, name: str) -> str:
+    """Otsu thresholds (keys, name) of the rows (keys, v) of a table."""
+    on = ", ".join(keys.split())
+    up = f"OVER (PARTITION BY {on} ORDER BY bin ROWS UNBOUNDED PRECEDING)"
+    whole = f"OVER (PARTITION BY {on})"
+    return f"""(SELECT {on}, low + (bin + 1) * span / {_BINS} AS {name} FROM (
+        SELECT *, sum(h) {up} AS c, sum(h) {whole} AS ca, sum(h * (bin + 0.5)) {up} AS m, sum(h * (bin + 0.5)) {whole} AS ma FROM (
+            SELECT s.*, g.bin, coalesce(c, 0) / (n * span / {_BINS}) AS h
+            FROM (SELECT {on}, CASE WHEN max(v) = min(v) THEN min(v) - 0.5 ELSE min(v) END AS low, CASE WHEN max(v) = min(v) THEN 1 ELSE max(v) - min(v) END AS span, count(*) AS n FROM {pixels} GROUP BY ALL) s CROSS JOIN range({_BINS}) g(bin)
+            LEFT JOIN (SELECT {on}, least(floor((v - low) / span * {_BINS}), {_BINS - 1})::INT AS bin, count(*) AS c FROM {pixels}
+                JOIN (SELECT {on}, CASE WHEN max(v) = min(v) THEN min(v) - 0.5 ELSE min(v) END AS low, CASE WHEN max(v) = min(v) THEN 1 ELSE max(v) - min(v) END AS span FROM {pixels} GROUP BY ALL) USING ({on}) GROUP BY ALL) USING ({on}, bin)))
+        QUALIFY row_number() OVER (PARTITION BY {on} ORDER BY coalesce(round(c * (ca - c) * (m / nullif(c, 0) - (ma - m) / nullif(ca - c, 0)) ** 2 / (ca * ca), 12), -1) DESC, bin) = 1)"""
+
+
+_TILE = "region chip side tr tc"
+
+
+@query(
+    f"""{sql('raster')}, px AS (SELECT region, chip, row, col, v, side, row // side AS tr, col // side AS tc, (row % side >= side / 2)::INT * 2 + (col % side >= side / 2)::INT AS quarter FROM raster, (VALUES (8), (4)) t(side)),
+        q AS (SELECT region, chip, side, tr, tc, quarter, avg(v) AS m, sum(v) AS s, count(*) AS n FROM px GROUP BY ALL),
+        t AS (SELECT region, chip, side, tr, tc, stddev_pop(m) AS score, sum(s) / sum(n) AS mean FROM q GROUP BY ALL),
+        a AS (SELECT region, chip, avg(v) AS chip_mean FROM raster GROUP BY ALL), l AS (SELECT region, chip, side, quantile_cont(score, 0.8) AS edge FROM t GROUP BY ALL),
+        g AS (SELECT t.*, score > edge AND (side <> 8 OR mean <= chip_mean) AS good FROM t JOIN l USING (region, chip, side) JOIN a USING (region, chip)),
+        w AS (SELECT *, max(side) FILTER (good) OVER (PARTITION BY region, chip) AS chosen FROM g),
+        k AS (SELECT region, chip, side, tr, tc FROM w WHERE CASE WHEN chosen IS NOT NULL THEN good AND side = chosen ELSE side = 8 AND tr = tc END QUALIFY row_number() OVER (PARTITION BY region, chip ORDER BY score DESC, tr, tc) <= 5),
+        p AS (SELECT region, chip, side, tr, tc, v FROM px JOIN k USING (region, chip, side, tr, tc)),
+        e AS (SELECT region, chip, avg(x) AS one, stddev_pop(x) AS sd FROM {_otsu_of('p', _TILE, 'x')} GROUP BY ALL), o AS (SELECT * FROM {_otsu_of('p', 'region chip', 'x')})
+        SELECT region, chip, round(CASE WHEN sd > 5 THEN x ELSE one END, 6) + 0.0 AS threshold FROM e JOIN o USING (region, chip)"""
+)
 def tiled_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(threshold.tiled(views.raster(spark, d), _CHIP, "v", tile=8, smallest=4, percentile=0.8, bins=_BINS))
 

@@ -210,7 +210,21 @@ def adjusted_mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster_metrics.adjusted_mutual_information(_table(spark, d)))
 
 
-@query()
+#: Class scores of the counts x (label, pred, n), by class.
+_CLASS_SCORES = """l AS (SELECT label AS class_name, sum(n) AS a FROM x GROUP BY 1), p AS (SELECT pred AS class_name, sum(n) AS b FROM x GROUP BY 1), h AS (SELECT label AS class_name, n AS tp FROM x WHERE label = pred),
+        s AS (SELECT class_name, a, b, coalesce(tp, 0) AS tp FROM l JOIN p USING (class_name) LEFT JOIN h USING (class_name))
+        SELECT class_name, round((SELECT sum(n) FROM x WHERE label = pred) / (SELECT sum(n) FROM x), 6) AS accuracy, round(tp / b, 6) AS precision, round(tp / a, 6) AS recall,
+        round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / b) * (tp / a) / (tp / b + tp / a) END, 6) AS f1, round(tp / (a + b - tp), 6) AS iou FROM s"""
+
+
+@query(
+    # every one-to-one choice of labels for the clusters, one cluster a step; the view has fewer clusters than labels
+    f"""{_N.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT pred, row_number() OVER (ORDER BY pred) AS i FROM (SELECT DISTINCT pred FROM n)),
+        w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS total
+            UNION ALL SELECT k.i, list_append(used, g.label::BIGINT), total + coalesce(n.n, 0) FROM w JOIN k ON k.i = w.i + 1 JOIN (SELECT DISTINCT label FROM n) g ON NOT list_contains(used, g.label::BIGINT) LEFT JOIN n ON n.label = g.label AND n.pred = k.pred),
+        best AS (SELECT used FROM w WHERE i = (SELECT max(i) FROM k) ORDER BY total DESC, used LIMIT 1),
+        x AS (SELECT label, used[k.i] AS pred, sum(n) AS n FROM n JOIN k USING (pred), best GROUP BY ALL), {_CLASS_SCORES}"""
+)
 def assignment_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster_metrics.multiclass_scores(cluster_metrics.assignment(_table(spark, d))))
 
@@ -339,7 +353,34 @@ def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bundles.bundle(C.contingency(views.scored(spark, d), ["region"]), ["region"]))
 
 
-@query()
+def _by_part(x: str, suffix: str) -> str:
+    """Rows of class scores of the counts x (part, label, pred, n)."""
+    return f"""SELECT part, metric || '{suffix}' AS metric, class_name, value FROM (UNPIVOT (SELECT part, c AS class_name, tp / b AS precision, tp / a AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / b) * (tp / a) / (tp / b + tp / a) END AS f1, tp / (a + b - tp) AS iou
+            FROM (SELECT l.part, l.c, a, b, coalesce(tp, 0) AS tp FROM (SELECT part, label AS c, sum(n) AS a FROM {x} GROUP BY ALL) l JOIN (SELECT part, pred AS c, sum(n) AS b FROM {x} GROUP BY ALL) p USING (part, c) LEFT JOIN (SELECT part, label AS c, n AS tp FROM {x} WHERE label = pred) h USING (part, c)))
+            ON precision, recall, f1, iou INTO NAME metric VALUE value)
+        UNION ALL SELECT part, 'accuracy{suffix}', NULL, sum(CASE WHEN label = pred THEN n ELSE 0 END) / sum(n) FROM {x} GROUP BY part"""
+
+
+@query(
+    f"""WITH n AS (SELECT vec_id % 4 AS part, label, list_position(embedding[1:4], list_max(embedding[1:4]))::INT - 1 AS pred, count(*) AS n FROM embeddings GROUP BY ALL),
+        m AS (SELECT *, sum(n) OVER (PARTITION BY part, label) AS a, sum(n) OVER (PARTITION BY part, pred) AS b, sum(n) OVER (PARTITION BY part) AS t FROM n),
+        best AS (SELECT part, pred, label AS mapped FROM n QUALIFY row_number() OVER (PARTITION BY part, pred ORDER BY n DESC, label) = 1),
+        x AS (SELECT part, label, mapped AS pred, sum(n) AS n FROM n JOIN best USING (part, pred) GROUP BY ALL),
+        q AS (SELECT part, sum(n * n) AS sq, sum(n * a) AS sa, sum(n * b) AS sb, max(t) AS t FROM m GROUP BY 1),
+        c AS (SELECT part, (t * t - sa - sb + sq)::DOUBLE AS p00, (sb - sq)::DOUBLE AS p01, (sa - sq)::DOUBLE AS p10, (sq - t)::DOUBLE AS p11 FROM q),
+        pairs AS (SELECT part, (p00 + p11) / (p00 + p01 + p10 + p11) AS rand, 2 * (p11 * p00 - p10 * p01) / ((p11 + p10) * (p10 + p00) + (p11 + p01) * (p01 + p00)) AS adjusted_rand, p11 / (p11 + p01) AS pair_precision, p11 / (p11 + p10) AS pair_recall,
+            2 * p11 / (2 * p11 + p10 + p01) AS pair_f, p11 / (p11 + p10 + p01) AS pair_iou, sqrt(p11 / (p11 + p01)) * sqrt(p11 / (p11 + p10)) AS fowlkes_mallows FROM c),
+        i AS (SELECT part, -sum(n / t * ln(a / t)) AS hl, -sum(n / t * ln(b / t)) AS hp, sum(n / t * ln(n * t / (a * b))) AS mi FROM m GROUP BY 1),
+        info AS (SELECT part, hl AS h_label, hp AS h_pred, mi AS mutual_information, mi / ((hl + hp) / 2) AS normalised_mi, mi / hl AS homogeneity, mi / hp AS completeness, 2 * (mi / hl) * (mi / hp) / (mi / hl + mi / hp) AS v_measure FROM i),
+        f AS (SELECT part, sum(f * a / t) AS cluster_f FROM (SELECT part, label, max(2 * (n / b) * (n / a) / (n / b + n / a)) AS f, max(a) AS a, max(t) AS t FROM m GROUP BY ALL) GROUP BY 1),
+        bc AS (SELECT part, p AS bcubed_precision, r AS bcubed_recall, 2 * p * r / (p + r) AS bcubed_f FROM (SELECT part, sum(n * n / b) / max(t) AS p, sum(n * n / a) / max(t) AS r FROM m GROUP BY 1)),
+        tg AS (SELECT part, avg(s / (a * (a - 1))) AS together FROM (SELECT part, label, max(a) AS a, sum(n * (n - 1)) AS s FROM m GROUP BY ALL HAVING max(a) > 1) GROUP BY 1),
+        ap AS (SELECT x.part, sum(x.n * y.n / (x.a * y.a)) AS d FROM m x JOIN m y ON y.part = x.part AND y.label > x.label AND y.pred > x.pred GROUP BY 1),
+        bal AS (SELECT part, together, d / (k * (k - 1) / 2) AS apart, (together + d / (k * (k - 1) / 2)) / 2 AS balanced_rand FROM tg JOIN ap USING (part) JOIN (SELECT part, count(DISTINCT label) AS k FROM m GROUP BY 1) USING (part)),
+        rows AS ({_by_part('n', '.no_clouds')} UNION ALL {_by_part('x', '.max_agree.no_clouds')}"""
+    + "".join(f" UNION ALL SELECT part, metric || '.no_clouds', NULL, value FROM (UNPIVOT {t} ON COLUMNS(* EXCLUDE (part)) INTO NAME metric VALUE value)" for t in ("pairs", "info", "f", "bc", "bal"))
+    + ") SELECT part, metric, class_name::INT AS class_name, round(value, 6) + 0.0 AS value FROM rows"
+)
 def clustering_bundle(spark: SparkSession, d: str) -> DataFrame:
     t = views.table(spark, d, "embeddings")
     first = F.slice("embedding", 1, 4)
