@@ -37,6 +37,12 @@ def bundle(table: DataFrame, keys: Sequence[str], exclude_clouds: bool = True, c
     return union_all(parts)
 
 
+def bundle_unless_many(table: DataFrame, keys: Sequence[str], limit: float, **how) -> DataFrame:
+    """The rows of bundle, or none of them if keys hold limit or more different predictions on average."""
+    out = bundle(table, keys, **how)
+    return out.where(F.lit(False)) if too_many_predictions(table, keys, limit) else out
+
+
 def _rows(wide: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     names = [c for c in wide.columns if c not in keys]
     typed = wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in names])

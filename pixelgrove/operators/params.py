@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spectral import EPS, range_clip, standardised
@@ -52,15 +52,42 @@ def parameters(stored: DataFrame, channels: Sequence[str], kind: str, filter_nam
     return found
 
 
-def ensure(df: DataFrame, stored: DataFrame, channels: Sequence[str], kind: str, split: str, filter_name: str | None = None) -> DataFrame:
-    """The stored table, with missing channels fitted on df; only the train split may fit."""
+def _missing(stored: DataFrame, channels: Sequence[str], kind: str, split: str, filter_name: str | None) -> list[str]:
+    """The channels that the table lacks; only the train split may ask for them."""
     have = {r["channel"] for r in stored.where((F.col("kind") == kind) & F.col("filter").eqNullSafe(F.lit(filter_name))).select("channel").collect()}
     missing = [c for c in channels if c not in have]
+    if missing and split != "train":
+        raise LookupError(f"the {split} split may not fit {missing}")
+    return missing
+
+
+def ensure(df: DataFrame, stored: DataFrame, channels: Sequence[str], kind: str, split: str, filter_name: str | None = None) -> DataFrame:
+    """The stored table, with missing channels fitted on df; only the train split may fit."""
+    missing = _missing(stored, channels, kind, split, filter_name)
     if not missing:
         return stored
-    if split != "train":
-        raise LookupError(f"the {split} split may not fit {missing}")
-    return update(stored, fit_range(df, missing) if kind == "range" else fit_standard(df, missing, filter_name))
+    return update(stored, _fit(df, missing, kind, None if kind == "range" else filter_name))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The table that a side file (a folder of JSON lines) holds; an empty one where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).json(path)
+
+
+def ensure_file(df: DataFrame, path: str, channels: Sequence[str], kind: str, split: str, filter_name: str | None = None) -> DataFrame:
+    """The table of the side file at path; channels that it lacks are fitted on df, by the train split only, and their rows added to the file.
+
+    The file is not touched where nothing is missing.  A failed write leaves no rows behind, so the call can be repeated.
+    """
+    spark = df.sparkSession
+    filter_name = None if kind == "range" else filter_name  # ranges are those of the unfiltered channels
+    missing = _missing(load(spark, path), channels, kind, split, filter_name)
+    if missing:
+        _fit(df, missing, kind, filter_name).coalesce(1).write.mode("append").json(path)
+    return load(spark, path)
 
 
 def apply(df: DataFrame, params: dict[str, tuple[float, float]], kind: str) -> DataFrame:

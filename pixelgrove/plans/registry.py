@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_pixels, queries_results, queries_scores, queries_store
+from . import queries_jobs, queries_pixels, queries_results, queries_scores, queries_store
 
-_PARTS = (queries_scores, queries_pixels, queries_results, queries_store)
+_PARTS = (queries_scores, queries_pixels, queries_results, queries_store, queries_jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +75,41 @@ def by_filter(filters: list[str | None], bands: Mapping[str, str] | None = None)
         if f is not None and f.casefold().strip() not in FILTER_ALIASES:
             raise ValueError(f"unknown filter: {f}")
     return {(f, n): c for f in filters for n, c in all_spaces(bands).items()}
+
+
+def filtered(
+    df: DataFrame,
+    filters: Sequence[str | None],
+    keys: Sequence[str],
+    *,
+    names: Sequence[str] | None = None,
+    split: str = "split",
+    train: str = "train",
+    evaluation: str = "valid",
+    radar: Sequence[str] = ("VV", "VH"),
+    bands: Mapping[str, str] | None = None,
+    clustering: bool = False,
+    full: bool = False,
+) -> dict[str | None, dict[str, tuple[DataFrame, DataFrame]]]:
+    """{filter: {space: (training rows, evaluation rows)}} of a pixel table (split, keys, row, col, bands); rows: keys, row, col and the space's columns.
+
+    The speckle filter (None: none) only touches the radar bands and works on the rows of one split, which are chosen before it.  names: the
+    wanted spaces, by default all of them (clustering, full: those for clustering); an unknown filter or space is an error.  All frames are
+    plans: nothing runs before one of them is used.
+    """
+    from ..operators import spatial
+
+    by_filter(list(filters))  # checks the names
+    every = clustering_spaces(bands, full=full) if clustering else all_spaces(bands)
+    if unknown := set(names or ()) - set(every):
+        raise ValueError(f"unknown spaces: {sorted(unknown)}")
+    at = [*keys, "row", "col"]
+
+    def cleaned(name: str | None, part: DataFrame) -> DataFrame:
+        return part if name is None else part.drop(*radar).join(spatial.speckle_filter(name, part, keys, list(radar)), at)
+
+    out: dict[str | None, dict[str, tuple[DataFrame, DataFrame]]] = {}
+    for f in filters:
+        rows = [cleaned(f, df.where(F.col(split) == s)) for s in (train, evaluation)]
+        out[f] = {n: (build(rows[0], every[n], at), build(rows[1], every[n], at)) for n in names or every}
+    return out

@@ -6,7 +6,7 @@ bytes); decoding runs where Spark has put the files.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,32 @@ def rewrite_manifest(lines: DataFrame, what: str, by: str) -> DataFrame:
     return lines.withColumn("data_file", F.regexp_replace("data_file", what, by))
 
 
+# Suffix of a split list of another sensor -> the layer name in its files.
+LAYERS = {"s2": "S2Hand", "dem": "dem"}
+
+
+def write_lists(lines: DataFrame, folder: str) -> None:
+    """Writes split lists (list, data_file, label_file) as CSV without header, one folder list=<name> each; an existing folder is an error."""
+    lines.select("list", "data_file", "label_file").write.mode("errorifexists").partitionBy("list").csv(folder)
+
+
+def read_lists(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """(list, data_file, label_file) of all split lists of a folder, or of one of them."""
+    t = spark.read.schema("data_file string, label_file string, list string").csv(folder)
+    t = t.where(F.col("list") == name) if name is not None else t
+    return t.select("list", F.trim("data_file").alias("data_file"), F.trim("label_file").alias("label_file"))
+
+
+def rewrite_lists(spark: SparkSession, source: str, target: str, layers: Mapping[str, str] = LAYERS, what: str = "S1Hand") -> None:
+    """Writes, for every list of source and every layer, the list <name>_<suffix> to target: its data files are those of the layer.
+
+    All lists are read once and written in one job, the elevation lists with all their lines.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("suffix"), F.lit(v).alias("layer")) for k, v in layers.items()]))
+    t = read_lists(spark, source).withColumn("_l", each)
+    write_lists(t.select(F.concat_ws("_", "list", "_l.suffix").alias("list"), F.replace(F.col("data_file"), F.lit(what), F.col("_l.layer")).alias("data_file"), "label_file"), target)
+
+
 def pixels(spark: SparkSession, folder: str, decode: Decoder, bands: Sequence[str], glob: str = "*.tif", channels_last: bool = False, exclude: str | None = None) -> DataFrame:
     """(region, chip_id, row, col, bands ...) of all files; decode gives (bands, rows, cols), or channels last."""
     scan = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
