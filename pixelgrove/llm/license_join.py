@@ -94,21 +94,38 @@ def _template_rows() -> list[tuple[int, str, list[str]]]:
     return [(k, label, sorted(set(text.split(" ")))) for k, (text, label) in enumerate(TEMPLATES.items())]
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of these words and no others, branching letter by letter, so that few branches are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [h + (_any_of(rest) if rest != [""] else "") for h, rest in sorted(heads.items()) if h]
+    if len(parts) == 1 and not ends:
+        return parts[0]
+    return f"(?:{'|'.join(parts)}){'?' if ends else ''}"  # longest first; a word's end is tested behind the pattern
+
+
+def _whole(words: list[str]) -> str:
+    """Any of these words as a whole word, A-Z in either case."""
+    return rf"(?i)(?<!{_WORD})({_any_of(words)})(?!{_WORD})"
+
+
 def token_order(docs: DataFrame, text_col: str) -> dict[str, int]:
     """Of every template token: the number of lines that hold it, as one aggregation without a shuffle of tokens."""
     names = sorted({t for _, _, own in _template_rows() for t in own})
     line = F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line")
     lines = docs.select(line)
     # tokens are tested as whole words on the raw line, so no token array is built in this pass
-    found = lines.select(F.regexp_extract_all(F.col("line"), F.lit(rf"(?i)(?<!{_WORD})({'|'.join(names)})(?!{_WORD})"), 1).alias("t"))
+    found = lines.select(F.regexp_extract_all(F.col("line"), F.lit(_whole(names)), 1).alias("t"))
     found = found.where(F.size("t") > 0).select(F.explode(F.array_distinct(F.transform("t", lambda x: F.lower(x)))).alias("t"))
     return {r["t"]: r["n"] for r in found.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int) -> DataFrame:
-    """(doc_id, label, containment) of every (line, template) pair that reaches the share."""
+def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int, order: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, label, containment) of every (line, template) pair that reaches the share; order: what token_order gives, if it is there already."""
     spark = docs.sparkSession
-    order = token_order(docs, text_col)
+    order = token_order(docs, text_col) if order is None else order
     rows, rare = [], set()
     for k, label, own in _template_rows():
         own = sorted(own, key=lambda t: (order.get(t, 0), t))
@@ -120,7 +137,7 @@ def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int)
     prefixes = spark.createDataFrame(rows, "token string, template int, label string, own array<string>, p int, need int")
     least = min(r[5] for r in rows)
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line"))
-    lines = lines.where(F.col("line").rlike(rf"(?i)(?<!{_WORD})(?:{'|'.join(sorted(rare))})(?!{_WORD})"))
+    lines = lines.where(F.col("line").rlike(_whole(sorted(rare))))
     ranked = sorted({t for _, _, own in _template_rows() for t in own}, key=lambda t: (order.get(t, 0), t))
     # the block's template tokens in the global order
     lines = lines.withColumn("tokens", F.array_intersect(F.array(*[F.lit(x) for x in ranked]), _tokens(F.col("line")))).where(F.size("tokens") >= least)
@@ -132,14 +149,14 @@ def template_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int)
     return hits.groupBy("doc_id", "label").agg(F.max(F.col("common") / F.size("own")).alias("containment"))
 
 
-def window_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int, room: int) -> DataFrame:
+def window_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int, room: int, order: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, label, containment) of every template that reaches the share in some stretch of a text.
 
     A stretch that matches holds at least one prefix token of its template; the rarest one it holds, the template's p-th, is
-    a place from which it is found, and all its common tokens are the p-th or later ones.
+    a place from which it is found, and all its common tokens are the p-th or later ones.  order: as in template_matches.
     """
     spark = docs.sparkSession
-    order = token_order(docs, text_col)
+    order = token_order(docs, text_col) if order is None else order
     rows = []
     for k, (words, label) in enumerate(TEMPLATES.items()):
         size = -(-room * len(words.split(" ")) // 100)
@@ -151,7 +168,7 @@ def window_matches(docs: DataFrame, *, id_col: str, text_col: str, share: int, r
     prefixes = spark.createDataFrame(rows, "token string, template int, label string, rest array<string>, tokens int, need int, size int")
     rare, reach = sorted({r[0] for r in rows}), max(r[6] for r in rows)
     text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(rf"(?i)(?<!{_WORD})(?:{'|'.join(rare)})(?!{_WORD})"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(_whole(rare)))
     texts = texts.select("doc_id", _words(F.col("text")).alias("words"))
     # places of rare tokens, each with the words around it: bounded rows, however long the text is
     token = F.array(*[F.lit(x) for x in rare])
@@ -182,9 +199,10 @@ def scan_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 80, room: int = 125) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
+    Blocks are the lines of a text and its stretches of room percent of a template's words, so wrapped notices are found.
     score is 1 with a base phrase, else the best containment, else 0.
 
     Defined cases: null texts count as empty: no words, no labels (empty strings), score 0; rows that share a doc_id
@@ -193,7 +211,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sha
     """
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[c.alias(n) for n, c in base_scan(text).items()])
-    match = template_matches(docs, id_col=id_col, text_col=text_col, share=share).where("doc_id is not null")
+    how = {"id_col": id_col, "text_col": text_col, "share": share, "order": token_order(docs, text_col)}
+    match = template_matches(docs, **how).unionByName(window_matches(docs, room=room, **how)).where("doc_id is not null")
     match = match.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = base.join(match, "doc_id", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))

@@ -132,7 +132,11 @@ ORACLES = {
         b AS (SELECT doc_id, k - 1 AS k, label FROM g JOIN p ON p.m = g.m AND array_to_string(w[k:k + g.m - 1], ' ') = phrase),
         n AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word FROM b GROUP BY 1),
         l AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-        x AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), own)) / len(own) AS c FROM l, t WHERE 100 * len(list_intersect(list_distinct(w), own)) >= 80 * len(own)),
+        sv AS (SELECT k AS template, label, len(own) AS n, size, unnest(own) AS word FROM (VALUES {_STRETCHES}) t(k, label, own, size)),
+        se AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1)::BIGINT AS i FROM d),
+        sh AS (SELECT doc_id, label, n, count(DISTINCT word) OVER (PARTITION BY doc_id, template ORDER BY i RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS c FROM se JOIN sv USING (word)),
+        x AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), own)) / len(own) AS c FROM l, t WHERE 100 * len(list_intersect(list_distinct(w), own)) >= 80 * len(own)
+            UNION ALL SELECT doc_id, label, c / n FROM sh WHERE 100 * c >= 80 * n),
         best AS (SELECT doc_id, max(c) AS c FROM x GROUP BY 1),
         bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM b) GROUP BY 1),
         al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM x) GROUP BY 1)

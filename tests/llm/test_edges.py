@@ -103,7 +103,18 @@ def test_wrapped_notices(spark):
     rows = [(1, wrapped), (2, spread), (3, ("x " * 30_000) + wrapped), (4, " ".join(words[:12])), (5, " ".join(words[:-2])), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.labels for r in license_join.scan_windows(docs).collect()} == {1: "mit", 2: "", 3: "mit", 4: "", 5: "mit", 6: ""}
-    assert {r.doc_id: r.labels for r in license_join.scan(docs).collect()}[1] == ""
+    # the scan takes lines and stretches: the second text is one line that holds all words
+    assert {r.doc_id: r.labels for r in license_join.scan(docs).collect()} == {1: "mit", 2: "mit", 3: "mit", 4: "", 5: "mit", 6: ""}
+    assert {r.doc_id: r.score for r in license_join.scan(docs).collect()}[3] == 1.0
+
+
+def test_branching_pattern_takes_the_same_words():
+    import re
+
+    words = ["a", "and", "any", "an", "license", "licensed", "4", "mit"]
+    whole = re.compile(license_join._any_of(words))
+    assert all(whole.fullmatch(w) for w in words)
+    assert not any(whole.fullmatch(w) for w in ("", "al", "andy", "license4", "licenses", "mi", "44"))
 
 
 def test_windows_against_brute_force(spark):
