@@ -110,12 +110,15 @@ def labels_only(df: DataFrame, keys: Sequence[str], label: str = "label") -> Dat
 
 
 def data_with_labels(data: DataFrame, labels: DataFrame, keys: Sequence[str] = ("region", "chip_id", "row", "col")) -> DataFrame:
-    """1:1 merge by key; use results.mismatches to check a set beforehand."""
-    return data.join(labels, list(keys))
+    """1:1 merge by key; use results.mismatches to check a set beforehand.
+
+    Always a merge join: packed files are so much smaller than their rows that Spark would broadcast a side of any length.
+    """
+    return data.join(labels.hint("merge"), list(keys))
 
 
 def with_elevation(data: DataFrame, elevation: DataFrame, keys: Sequence[str] = ("region", "chip_id", "row", "col")) -> DataFrame:
-    return data.join(elevation, list(keys), "left")
+    return data.join(elevation.hint("merge"), list(keys), "left")
 
 
 def resolve(base: str, kind: str, split: str) -> str:

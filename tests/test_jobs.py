@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from pixelgrove.operators import bundles, params
 from pixelgrove.plans import spaces
@@ -76,3 +77,11 @@ def test_bundles_under_a_limit(spark):
     assert bundles.bundle_unless_many(table, ["region"], 1.5).count() == 0
     kept, plain = (f(table, ["region"], *more) for f, more in ((bundles.bundle_unless_many, [1.6]), (bundles.bundle, [])))
     assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_packed_sets_merge_without_broadcast(spark):
+    data = spark.createDataFrame([("a", 1, 0, k, float(k)) for k in range(5)], "region string, chip_id long, row int, col int, v double")
+    labels = data.where("col < 3").select("region", "chip_id", "row", "col", (F.col("col") % 2).alias("label"))
+    plan = chips.data_with_labels(data, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert chips.data_with_labels(data, labels).count() == 3 and chips.with_elevation(data, labels.withColumnRenamed("label", "dem")).count() == 5
