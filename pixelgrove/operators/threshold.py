@@ -116,14 +116,13 @@ def tiled(df: DataFrame, keys: Sequence[str], value: str, method: str = "otsu",
     px = px.withColumns({"tr": at("row"), "tc": at("col"), "quarter": half("row") * 2 + half("col")})
     on = [*keys, "side", "tr", "tc"]
     quarters = px.groupBy(*on, "quarter").agg(F.avg("x").alias("m"), F.sum("x").alias("s"), F.count("x").alias("n"), F.count(F.lit(1)).alias("all"))
-    tiles = quarters.groupBy(*on).agg(F.stddev_pop("m").alias("score"), (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("n"), F.sum("all").alias("all"))
+    # rounded, and compared inside windows: a second run of the same sums may differ in the last digit, which a score that is the limit must not
+    tiles = quarters.groupBy(*on).agg(F.round(F.stddev_pop("m"), 12).alias("score"), (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("n"), F.sum("all").alias("all"))
     tiles = tiles.where(F.col("n") >= 0.9 * F.col("all")).join(whole, list(keys))
-    limit = tiles.groupBy(*keys, "side").agg(F.percentile("score", percentile).alias("_limit"))
-    tiles = tiles.join(limit, [*keys, "side"])
+    tiles = tiles.withColumn("_limit", F.percentile("score", percentile).over(Window.partitionBy(*keys, "side")))
     good = (F.col("score") > F.col("_limit")) & ((F.col("side") != tile) | (F.col("mean") <= F.col("_mean")))
     tiles = tiles.withColumn("_good", good)
-    chosen = tiles.groupBy(*keys).agg(F.max(F.when(F.col("_good"), F.col("side"))).alias("_side"))
-    tiles = tiles.join(chosen, list(keys))
+    tiles = tiles.withColumn("_side", F.max(F.when(F.col("_good"), F.col("side"))).over(Window.partitionBy(*keys)))
     pick = F.when(F.col("_side").isNotNull(), F.col("_good") & (F.col("side") == F.col("_side"))).otherwise((F.col("side") == tile) & (F.col("tr") == F.col("tc")))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "tr", "tc"))
     tiles = tiles.where(pick).withColumn("_rank", rank).where(F.col("_rank") <= top).select(*on)

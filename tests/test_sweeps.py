@@ -89,3 +89,11 @@ def test_a_replayed_epoch_is_stored_once(spark, tmp_path):
     for epoch in (0, 1, 1, 0):
         sink(spark.range(epoch + 2), epoch)
     assert sorted((r.epoch, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)]
+
+
+def test_tile_scores_are_compared_with_a_limit_of_the_same_run(spark):
+    """A score that is the limit is not over it: both come from one run of the sums, in a window, not from two aggregations."""
+    df = spark.createDataFrame([(1, r, c, float((r * 7 + c * 3) % 11)) for r in range(16) for c in range(16)], "chip int, row int, col int, v double")
+    plan = threshold.tiled(df, ["chip"], "v", tile=8, smallest=4, percentile=0.8, bins=32)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [x for x in plan.splitlines() if "percentile(" in x]
+    assert limits and all("Window" in x for x in limits if "AS _limit" in x) and not any("Aggregate" in x for x in limits)
