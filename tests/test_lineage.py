@@ -98,3 +98,10 @@ def test_empty(spark):
     assert lineage.search(none, ids(spark, 1), ids(spark, 1)).count() == 1
     assert lineage.search(none, ids(spark), ids(spark, 1)).count() == 0
     assert lineage.nearest(none, ids(spark, 1), ids(spark, 2)).count() == 0
+
+
+def test_recursive_closure_broadcasts_nothing(spark):
+    edges = spark.createDataFrame([(k // 2, k) for k in range(1, 32)], "predecessor long, successor long")
+    walk = lineage.closure_sql(spark, edges, spark.createDataFrame([(1,)], "id long"))
+    assert "strategy=merge" in walk._jdf.queryExecution().optimizedPlan().toString()
+    assert walk.count() == 31
