@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import balance_weights
+from .lineage import shared_folder
 
 
 def boosted_trees(leaves: int = 31, trees: int = 100, rate: float = 0.1, subsample: float = 1.0, bins: int = 256, seed: int = 1, **more):
@@ -55,7 +57,17 @@ def fit(df: DataFrame, estimator, features: Sequence[str], label: str = "label",
     est = estimator.copy().setLabelCol("label").setFeaturesCol("features")
     if weight:
         est = est.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), est]).fit(rows)
+    return _without_summary(Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), est]).fit(rows), df.sparkSession)
+
+
+def _without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as it is stored: a training summary goes to the tasks with its model and holds the session, which cannot be sent once
+    an observation was made in it."""
+    if not any(getattr(s, "hasSummary", False) for s in model.stages):
+        return model
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save(model, path)
+    return load(path)
 
 
 def predict(model: PipelineModel, df: DataFrame, probabilities: bool = False) -> DataFrame:

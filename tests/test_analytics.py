@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pixelgrove.functions import scalars
@@ -333,6 +334,16 @@ def test_estimators_and_evaluation(spark, blobs, tmp_path):
         estimators.make("unknown")
 
 
+@pytest.mark.parametrize("name, params", [("rf", {"trees": 3, "leaves": 4}), ("gbt", {"trees": 2, "leaves": 4})])
+def test_models_go_to_tasks_after_an_observation(spark, blobs, name, params):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    df = blobs.withColumnRenamed("y", "label")
+    scored = estimators.predict(estimators.fit(df, estimators.make(name, **params), ["a", "b"], balanced=True), df)
+    assert scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] > 0.8
+
+
 # ---------------------------------------------------------------- results, lineage, grids
 
 
