@@ -334,7 +334,7 @@ def test_estimators_and_evaluation(spark, blobs, tmp_path):
         estimators.make("unknown")
 
 
-@pytest.mark.parametrize("name, params", [("rf", {"trees": 3, "leaves": 4}), ("sgd", {"loss": "hinge"}), ("gbt", {"trees": 2, "leaves": 4})])
+@pytest.mark.parametrize("name, params", [("rf", {"trees": 3, "leaves": 4}), ("sgd", {"loss": "hinge"}), ("sgd", {"loss": "log"}), ("gbt", {"trees": 2, "leaves": 4})])
 def test_models_go_to_tasks_after_an_observation(spark, blobs, name, params):
     seen = Observation()
     spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
