@@ -7,10 +7,13 @@ columns, so no task holds more than a tile or a strip.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import lgamma
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,33 +188,130 @@ def speckle_filter(name: str, df: DataFrame, keys: Sequence[str], values: Sequen
 # ---------------------------------------------------------------- windows, tiles, zones
 
 
+def _pieces(keys: Sequence[str], value: str, reach: int, padding: int, stride: int, side: int):
+    """Pixels of a batch as lists, one row for each tile of output cells that sees some of them."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            low, many = [], []
+            for c in ("row", "col"):
+                x = table.column(c).to_numpy().astype(np.int64) + padding
+                low.append(np.maximum(-((reach - x) // stride), 0) // side)
+                many.append(np.maximum(x // stride // side - low[-1] + 1, 0))
+            n = many[0] * many[1]
+            at = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            table = table.take(pa.array(at))
+            top, left = (low[0][at] + nth // many[1][at]) * side, (low[1][at] + nth % many[1][at]) * side
+            named = dict(zip([*(f"k{i}" for i in range(len(keys))), "top", "left", "row", "col", "v"], [*(table.column(k) for k in keys), top, left, table.column("row"), table.column("col"), table.column(value)]))
+            on = list(named)[:-3]
+            lists = pa.table(named).group_by(on, use_threads=False).aggregate([(c, "list") for c in ("row", "col", "v")])
+            size = pa.nulls(lists.num_rows, pa.int32())
+            whole = [lists.column(c).cast(pa.int32()) for c in ("top", "left")] + [size, size] + [lists.column(f"{c}_list").cast(pa.list_(pa.int32())) for c in ("row", "col")]
+            yield from pa.table([*(lists.column(c) for c in on[:-2]), *whole, lists.column("v_list")], names=[*keys, *_PIECE]).to_batches()
+
+    return run
+
+
+_PIECE = ["_top", "_left", "_rows", "_cols", "_row", "_col", "_v"]
+#: Pairs of a cell and a pixel that are counted at once.
+_PAIRS = 2_000_000
+
+
+def _majorities(keys: Sequence[str], value: str, kernel: int, dilation: int, padding: int, stride: int, side: int):
+    """The output cells of a tile from its pieces; the row with the chip's size says where the grid ends."""
+    reach = dilation * (kernel - 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        top, left = (table.column(c)[0].as_py() for c in ("_top", "_left"))
+        # without a size the tile lies beyond the grid
+        bottom, right = (min(start + side, ((pc.max(table.column(c)).as_py() or 0) + 2 * padding - reach - 1) // stride + 1) for c, start in (("_rows", top), ("_cols", left)))
+        width = max(right - left, 0)
+        row, col = (pc.list_flatten(table.column(c)).to_numpy().astype(np.int64) for c in ("_row", "_col"))
+        given = pc.list_flatten(table.column("_v")).combine_chunks()
+        given = pa.concat_arrays([given, pa.array([0], given.type)])  # the last one is the padding
+        if pa.types.is_floating(given.type):
+            given = pc.add(given, pa.scalar(0, given.type))  # no negative zeros
+        # classes in the order of ties: ascending, NaN, null
+        there = given.is_valid().to_numpy(zero_copy_only=False)
+        _, first, rank = np.unique(given.drop_null().to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        code = np.full(len(given), len(first))
+        code[there] = rank
+        places = np.append(np.flatnonzero(there)[first], np.flatnonzero(~there)[:1])
+        zero, m = code[-1], len(places)
+        order = np.argsort(row, kind="stable")
+        row, col, code = row[order], col[order], code[:-1][order]
+        once = np.zeros(len(row), bool)  # of pixels at one place, the first
+        if len(row):
+            once[np.unique((row - row.min()) * (np.ptp(col) + 1) + col - col.min(), return_index=True)[1]] = True
+        made = [np.zeros((0, 3), np.int64)]
+        step = max(1, _PAIRS // max(1, width * kernel * kernel))
+        for a in range(top, bottom if width else top, step):
+            b = min(a + step, bottom)
+            lo, hi = np.searchsorted(row, [a * stride - padding, (b - 1) * stride - padding + reach + 1])
+            cells, seen, places_seen = (b - a) * width, [np.zeros(0, np.int64)], np.zeros((b - a) * width, np.int64)
+            for t in range(kernel):
+                r, rest = np.divmod(row[lo:hi] + padding - t * dilation, stride)
+                on = lo + np.flatnonzero((rest == 0) & (r >= a) & (r < b))
+                for u in range(kernel):
+                    c, rest = np.divmod(col[on] + padding - u * dilation, stride)
+                    ok = (rest == 0) & (c >= left) & (c < right)
+                    kept = on[ok]
+                    cell = (r[kept - lo] - a) * width + c[ok] - left
+                    seen.append(cell * m + code[kept])
+                    places_seen += np.bincount(cell[once[kept]], minlength=cells)
+            pairs, n = np.unique(np.concatenate(seen), return_counts=True)
+            if padding:
+                lacking = kernel * kernel - places_seen
+                cell = np.flatnonzero(lacking > 0)
+                pairs, same = np.unique(np.concatenate([pairs, cell * m + zero]), return_inverse=True)
+                n = np.bincount(same, np.concatenate([n, lacking[cell]]), len(pairs)).astype(np.int64)
+            cell, kind = np.divmod(pairs, m)
+            best = np.lexsort((kind, -n, cell))
+            best = best[np.diff(cell[best], prepend=-1) > 0]
+            made.append(np.stack([a + cell[best] // max(width, 1), left + cell[best] % max(width, 1), kind[best]], 1))
+        made = np.concatenate(made)
+        key = pa.array(np.zeros(len(made), np.int64))
+        out = [*(table.column(k).take(key) for k in keys), *(pa.array(made[:, i].astype(np.int32)) for i in (0, 1)), given.take(pa.array(places[made[:, 2]]))]
+        return pa.table(out, names=[*keys, "row", "col", value])
+
+    return run
+
+
 def sliding_windows(df: DataFrame, keys: Sequence[str], value: str, kernel: int, dilation: int = 1, padding: int = 0, stride: int = 1, aggregation: str = "majority") -> DataFrame:
     """Output grid of a dilated, strided, zero-padded kernel: majority (smallest on ties) or the centre's value.
 
-    Every pixel is sent to the at most kernel**2 output cells that see it; zeros stand for the padding.
+    With padding, zeros stand for every place without a pixel; without it, a cell that sees no pixel is left out.  For the majority the output
+    cells are cut into tiles; pixels go to the tiles that see them as lists, so a task holds the windows of one tile.
     """
-    size = _sizes(df.select(*keys, "row", "col", value), keys)
     reach = dilation * (kernel - 1)
 
-    def cells(c: str, length: str) -> Column:
-        at = F.transform(F.sequence(F.lit(0), F.lit(kernel - 1)), lambda t: F.col(c) + padding - t * dilation)
-        last = F.floor((F.col(length) + 2 * padding - reach - 1) / F.lit(stride))
-        return F.filter(at, lambda p: (p >= 0) & (p % stride == 0) & (p <= last * stride))
-
     if aggregation == "center":
+        size = _sizes(df.select(*keys, "row", "col", value), keys)
         mid = dilation * (kernel // 2)
         pos = lambda c: F.col(c) + padding - mid
         last = lambda s: F.floor((F.col(s) + 2 * padding - reach - 1) / F.lit(stride)) * stride
         ok = [(pos(c) >= 0) & (pos(c) % stride == 0) & (pos(c) <= last(s)) for c, s in (("row", "_rows"), ("col", "_cols"))]
         return size.where(ok[0] & ok[1]).select(*keys, F.floor(pos("row") / F.lit(stride)).cast("int").alias("row"), F.floor(pos("col") / F.lit(stride)).cast("int").alias("col"), value)
-    rows = size.withColumn("_r", F.explode(cells("row", "_rows"))).withColumn("_c", F.explode(cells("col", "_cols")))
-    cell = [*keys, F.floor(F.col("_r") / F.lit(stride)).cast("int").alias("row"), F.floor(F.col("_c") / F.lit(stride)).cast("int").alias("col")]
-    counts = rows.groupBy(*cell, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    on = [*keys, "row", "col"]
-    if padding:
-        seen = counts.groupBy(*on).agg((kernel * kernel - F.sum("n")).alias("n")).where("n > 0").select(*on, F.lit(0).cast(df.schema[value].dataType).alias("v"), "n")
-        counts = counts.unionByName(seen).groupBy(*on, "v").agg(F.sum("n").alias("n"))
-    return counts.groupBy(*on).agg(F.max_by("v", F.struct("n", -F.col("v"))).alias(value))
+    side = max(tiles.SIDE // stride, 1)
+    kinds = dict(df.dtypes)
+    named = lambda *columns: ", ".join(f"`{c}` {k}" for c, k in columns)
+    own = [(k, kinds[k]) for k in keys]
+    known = df.where(reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+    pixels = known.where(F.col("row").isNotNull() & F.col("col").isNotNull()).select(*keys, "row", "col", value)
+    types = ["int"] * 4 + ["array<int>"] * 2 + [f"array<{kinds[value]}>"]
+    pieces = pixels.mapInArrow(_pieces(keys, value, reach, padding, stride, side), named(*own, *zip(_PIECE, types)))
+    # one row with the chip's size for every tile of its grid
+    size = known.groupBy(*keys).agg((F.max("row") + 1).cast("int").alias("_rows"), (F.max("col") + 1).cast("int").alias("_cols"))
+    end = lambda c: F.floor((F.col(c) + 2 * padding - reach - 1) / F.lit(stride)).cast("int")
+    grid = size.where((end("_rows") >= 0) & (end("_cols") >= 0))
+    for start, c in (("_top", "_rows"), ("_left", "_cols")):
+        grid = grid.withColumn(start, F.explode(F.sequence(F.lit(0), end(c), F.lit(side))))
+    grid = grid.select(*keys, *_PIECE[:4], *[F.array().cast(t).alias(c) for c, t in zip(_PIECE[4:], types[4:])])
+    return pieces.unionByName(grid).groupBy(*keys, "_top", "_left").applyInArrow(_majorities(keys, value, kernel, dilation, padding, stride, side), named(*own, ("row", "int"), ("col", "int"), (value, kinds[value])))
 
 
 def shift(df: DataFrame, keys: Sequence[str], value: str, n: int, fill: float, axis: str = "col", name: str = "shifted") -> DataFrame:

@@ -257,6 +257,27 @@ def test_tiles_and_windows(image):
     assert flipped == {True}
 
 
+@pytest.mark.parametrize("kernel, dilation, padding, stride", [(3, 1, 1, 2), (5, 2, 3, 1), (2, 1, 0, 3), (3, 4, 1, 1)])
+def test_windows_on_small_tiles(spark, monkeypatch, kernel, dilation, padding, stride):
+    """Tiles whose pixels overlap, batches that hold parts of a tile, counting in slices: as counted pixel by pixel, ties to the smallest."""
+    monkeypatch.setattr(spatial.tiles, "SIDE", 4)
+    monkeypatch.setattr(spatial, "_PAIRS", 60)
+    a = np.random.default_rng(3).integers(-2, 3, (17, 23)).astype(float)
+    df = spark.createDataFrame([("x", r, c, float(a[r, c])) for r, c in np.ndindex(a.shape)], "chip string, row int, col long, v double").repartition(3)
+    b = np.pad(a, padding)
+    h, w = ((n - dilation * (kernel - 1) - 1) // stride + 1 for n in b.shape)
+
+    def most(r, c):
+        seen = b[r * stride :, c * stride :][: dilation * (kernel - 1) + 1 : dilation, : dilation * (kernel - 1) + 1 : dilation]
+        value, n = np.unique(seen, return_counts=True)
+        return value[n.argmax()]
+
+    made = spatial.sliding_windows(df, ["chip"], "v", kernel, dilation, padding, stride)
+    got = {(r.row, r.col): r.v for r in made.collect()}
+    assert got == {(r, c): most(r, c) for r in range(h) for c in range(w)}
+    assert "Join" not in made._jdf.queryExecution().toString()  # a join would sort all pixels of a task
+
+
 def test_zones_and_boxes(spark):
     values, labels = [[0.5, 1.5, 0.0, -0.5], [-1.0, 1.0, 10.0, 100.0]], [[0, 1, 0, 1], [1, 0, 1, 0]]
     rows = [(1, r, c, values[r][c], labels[r][c]) for r in range(2) for c in range(4)]

@@ -56,3 +56,16 @@ def test_ragged_last_chip(spark, tmp_path, name, rows):
         assert canonical(got) == canonical(want)
         seen[n] = set(got["chip"]) if n != "filtered_spaces" else set(got[got["filter"].notna()]["chip"])
     assert f"{name}_all" not in seen or 2 in seen[f"{name}_all"] - seen[name] or name == "filtered_spaces"
+
+
+def test_majority_window_odd_rows(spark, tmp_path):
+    """Missing and repeated rows, a missing key, missing, empty and shorter vectors, null and NaN components."""
+    con, width = duckdb.connect(), 12
+    vector = f"list_transform(range({width}), lambda i: CASE WHEN (i * 7 + n) % 11 = 0 THEN NULL WHEN (i + n) % 13 = 0 THEN 'nan'::FLOAT ELSE sin(i * i + n * 3)::FLOAT END)"
+    odd = "CASE WHEN n = 20 THEN NULL WHEN n = 21 THEN []::FLOAT[] WHEN n % 16 = 9 THEN v[1:5] ELSE v END"
+    rows = f"SELECT n AS vec_id, {vector} AS v FROM range(0, 75) t(n) WHERE n NOT BETWEEN 3 AND 8 AND n NOT BETWEEN 30 AND 50"
+    rows = f"SELECT vec_id, v, vec_id AS n FROM ({rows}) UNION ALL SELECT 17, {vector}, n FROM range(90, 91) t(n) UNION ALL SELECT NULL, {vector}, n FROM range(91, 92) t(n)"
+    con.execute(f"COPY (SELECT vec_id, {odd} AS embedding, 0 AS label FROM ({rows})) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got, want = registry.queries()["majority_window"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["majority_window"]).df()
+    assert len(want) > 100 and canonical(got) == canonical(want)
