@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import balance_weights
@@ -48,8 +49,9 @@ def make(name: str, **params):
 
 
 def fit(df: DataFrame, estimator, features: Sequence[str], label: str = "label", mask_label: int | None = -1, balanced: bool = False, weight: str | None = None) -> PipelineModel:
-    """Rows with the mask label, nulls or NaN do not train; balanced: class weights n / (k n_c); weight: own weight column."""
+    """Rows with the mask label, nulls, NaN or infinite features do not train; balanced: class weights n / (k n_c); weight: own weight column."""
     rows = df.where(F.col(label) != mask_label) if mask_label is not None else df
+    rows = rows.where(_finite(features))
     rows = rows.select(*features, F.col(label).cast("double").alias("label"), *([weight] if weight else [])).dropna()
     if balanced:
         rows = balance_weights(rows, "label", "_weight")
@@ -57,7 +59,13 @@ def fit(df: DataFrame, estimator, features: Sequence[str], label: str = "label",
     est = estimator.copy().setLabelCol("label").setFeaturesCol("features")
     if weight:
         est = est.setWeightCol(weight)
-    return _without_summary(Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), est]).fit(rows), df.sparkSession)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")  # predict tells which rows have no features
+    return _without_summary(Pipeline(stages=[assembler, est]).fit(rows), df.sparkSession)
+
+
+def _finite(features: Sequence[str]) -> Column:
+    """Whether every feature is there and a finite number; never null."""
+    return reduce(Column.__and__, [F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in features])
 
 
 def _without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
@@ -71,11 +79,14 @@ def _without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel
 
 
 def predict(model: PipelineModel, df: DataFrame, probabilities: bool = False) -> DataFrame:
-    """df with prediction (and, if asked, an array of class probabilities); works on streams as well."""
-    out = model.transform(df)
+    """df with prediction (and, if asked, an array of class probabilities); works on streams as well.
+
+    Rows with null, NaN or infinite features stay; their prediction and probabilities are null.
+    """
+    out, known = model.transform(df), _finite(model.stages[0].getInputCols())
     if probabilities and "probability" in out.columns:
-        out = out.withColumn("probabilities", vector_to_array("probability"))
-    return out.drop("features", "rawPrediction", "probability").withColumn("prediction", F.col("prediction").cast("int"))
+        out = out.withColumn("probabilities", F.when(known, vector_to_array("probability")))
+    return out.drop("features", "rawPrediction", "probability").withColumn("prediction", F.when(known, F.col("prediction").cast("int")))
 
 
 def fit_per_channel(df: DataFrame, estimator: Callable[[], object], channels: Sequence[str], label: str = "label") -> dict[str, PipelineModel]:

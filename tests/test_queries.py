@@ -69,3 +69,19 @@ def test_majority_window_odd_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     got, want = registry.queries()["majority_window"](spark, str(tmp_path)).toPandas(), con.execute(registry.oracle_sql()["majority_window"]).df()
     assert len(want) > 100 and canonical(got) == canonical(want)
+
+
+@pytest.mark.parametrize("name", ["linear_svc"])
+def test_models_on_odd_vectors(spark, tmp_path, name):
+    """Missing, short, NaN and infinite vectors are neither trained on nor predicted; the other rows are as without them."""
+    con, all_rows = duckdb.connect(), f"'{DATA}/embeddings.parquet'"
+    odd = "CASE vec_id WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 8 THEN ['nan'::FLOAT FOR x IN embedding] WHEN 9 THEN ['nan'::FLOAT FOR x IN embedding] WHEN 12 THEN embedding[1:3] WHEN 13 THEN embedding[1:3] WHEN 16 THEN ['inf'::FLOAT FOR x IN embedding] WHEN 17 THEN ['-inf'::FLOAT FOR x IN embedding] ELSE embedding END"
+    bad = {4, 5, 8, 9, 12, 13, 16, 17}
+    rows = {}
+    for part, query in (("odd", f"SELECT vec_id, {odd} AS embedding, label FROM {all_rows}"), ("plain", f"SELECT * FROM {all_rows} WHERE vec_id NOT IN {tuple(sorted(bad))}")):
+        (tmp_path / part).mkdir()
+        con.execute(f"COPY ({query} ORDER BY vec_id) TO '{tmp_path}/{part}/embeddings.parquet' (FORMAT parquet)")
+        rows[part] = {r.id: (r.label, r.prediction) for r in registry.queries()[name](spark, f"{tmp_path}/{part}").collect()}
+    assert len(rows["odd"]) == con.execute(f"SELECT count(*) FROM {all_rows}").fetchone()[0]
+    assert {i for i, (_, prediction) in rows["odd"].items() if prediction is None} == bad
+    assert {i: r for i, r in rows["odd"].items() if i not in bad} == rows["plain"]
