@@ -75,7 +75,10 @@ def _without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel
         return model
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     save(model, path)
-    return load(path)
+    out = load(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # a model is read whole
+    return out
 
 
 def predict(model: PipelineModel, df: DataFrame, probabilities: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Worked examples, properties and edge cases of the analytics operators."""
 
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -364,6 +365,15 @@ def test_models_go_to_tasks_after_an_observation(spark, blobs, name, params):
     scored = estimators.predict(estimators.fit(df, estimators.make(name, **params), ["a", "b"], balanced=True), df)
     assert scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] > 0.8
 
+@pytest.mark.parametrize("name, params", [("rf", {"trees": 3, "leaves": 4}), ("sgd", {"loss": "hinge"}), ("sgd", {"loss": "log"})])
+def test_fit_leaves_no_stored_model(spark, blobs, name, params):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before, df = set(folder.glob("model-*")), blobs.withColumnRenamed("y", "label")
+    model = estimators.fit(df, estimators.make(name, **params), ["a", "b"])
+    assert set(folder.glob("model-*")) == before
+    assert estimators.predict(model, df).where("prediction is null").count() == 0
+
+
 
 # ---------------------------------------------------------------- results, lineage, grids
 

@@ -1,6 +1,7 @@
 """Every registered query with a SQL twin against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -71,7 +72,7 @@ def test_majority_window_odd_rows(spark, tmp_path):
     assert len(want) > 100 and canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["linear_svc"])
+@pytest.mark.parametrize("name", ["linear_svc", "logistic"])
 def test_models_on_odd_vectors(spark, tmp_path, name):
     """Missing, short, NaN and infinite vectors are neither trained on nor predicted; the other rows are as without them."""
     con, all_rows = duckdb.connect(), f"'{DATA}/embeddings.parquet'"
@@ -85,3 +86,22 @@ def test_models_on_odd_vectors(spark, tmp_path, name):
     assert len(rows["odd"]) == con.execute(f"SELECT count(*) FROM {all_rows}").fetchone()[0]
     assert {i for i, (_, prediction) in rows["odd"].items() if prediction is None} == bad
     assert {i: r for i, r in rows["odd"].items() if i not in bad} == rows["plain"]
+
+
+def test_logistic_is_the_optimum(spark):
+    """Newton steps on the same weighted likelihood; rows within a thin margin of the boundary may go either way."""
+    rows = duckdb.sql(f"SELECT vec_id, label % 2 AS y, embedding[1:4]::DOUBLE[] AS x FROM '{DATA}/embeddings.parquet'").fetchall()
+    ids, y, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    train = ids % 4 != 0
+    a, t = np.c_[x, np.ones(len(x))][train], y[train]
+    w = np.where(t == 1, 0.5 / t.sum(), 0.5 / (1 - t).sum())
+    spread = a[:, :4].std(axis=0)
+    penalty, beta = 1e-4 * np.r_[spread**2, 0], np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ beta))
+        beta -= np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (w * (p - t)) + penalty * beta)
+    margin = np.c_[x, np.ones(len(x))] @ beta
+    got = {r.id: r.prediction for r in registry.queries()["logistic"](spark, DATA).collect()}
+    clear = np.abs(margin) > 1e-3
+    assert clear.mean() > 0.98 and set(got) == set(ids.tolist())
+    assert all(got[i] == int(m > 0) for i, m in zip(ids[clear].tolist(), margin[clear]))
